@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import sharding
+from assayloom.llm import language, sharding
 from assayloom.session import table
 
 
@@ -52,8 +52,15 @@ FROM numbered JOIN done USING (row_number)
 """
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.drop("lang"), language.train(docs))
+    return found.select("doc_id", language.held_out_expr().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op8_language": op8_language,
 }
 
 ORACLE: dict[str, str] = {
