@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import language, sharding
+from assayloom.llm import language, sharding, toxicity
 from assayloom.session import table
 
 
@@ -52,6 +52,12 @@ FROM numbered JOIN done USING (row_number)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out_expr().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs.drop("lang"), language.train(docs))
@@ -60,6 +66,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op8_language": op8_language,
 }
 
