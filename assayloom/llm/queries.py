@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import language, sharding, toxicity
-from assayloom.session import table
+from assayloom.llm import language, sharding, store, tokens, toxicity
+from assayloom.session import scratch_path, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out_expr().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-store")
+    store.write_store(table(spark, sf_dir, "documents"), path, tokens.vocabulary("word_bpe_49k.json"), "drop")
+    return store.read_digests(spark, path)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs.drop("lang"), language.train(docs))
@@ -67,6 +73,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op4_store": op4_store,
     "op8_language": op8_language,
 }
 
