@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import language, sharding, store, tokens, toxicity
+from assayloom.llm import language, packing, sharding, store, tokens, toxicity
 from assayloom.session import scratch_path, table
 
 
@@ -64,6 +64,10 @@ def op4_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_digests(spark, path)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), "space")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs.drop("lang"), language.train(docs))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op4_store": op4_store,
+    "op5_packing": op5_packing,
     "op8_language": op8_language,
 }
 
