@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import language, packing, sharding, store, tokens, toxicity
+from assayloom.llm import language, media, packing, sharding, store, tokens, toxicity
 from assayloom.session import scratch_path, table
 
 
@@ -74,12 +74,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out_expr().alias("held_out"), "lang_pred", "score")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_features(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op4_store": op4_store,
     "op5_packing": op5_packing,
     "op8_language": op8_language,
+    "op10_media": op10_media,
 }
 
 ORACLE: dict[str, str] = {
