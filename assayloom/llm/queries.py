@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import language, media, packing, sharding, store, tokens, toxicity
+from assayloom.llm import language, media, neardup, packing, sharding, store, tokens, toxicity
 from assayloom.session import scratch_path, table
 
 
@@ -68,6 +68,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), "space")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language.identify(docs.drop("lang"), language.train(docs))
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_store": op4_store,
     "op5_packing": op5_packing,
+    "op7_neardup": op7_neardup,
     "op8_language": op8_language,
     "op10_media": op10_media,
 }
