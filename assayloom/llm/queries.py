@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import language, media, neardup, packing, sharding, store, tokens, toxicity
+from assayloom.llm import language, media, neardup, packing, pii, sharding, store, tokens, toxicity
 from assayloom.session import scratch_path, table
 
 
@@ -58,6 +58,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out_expr().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"CAST(size(filter(base, c -> c.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op4_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     store.write_store(table(spark, sf_dir, "documents"), path, tokens.vocabulary("word_bpe_49k.json"), "drop")
@@ -85,6 +91,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op3_pii": op3_pii,
     "op4_store": op4_store,
     "op5_packing": op5_packing,
     "op7_neardup": op7_neardup,
