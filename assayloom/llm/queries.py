@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import language, media, neardup, packing, pii, sharding, store, tokens, toxicity
+from assayloom.llm import decontaminate, language, media, neardup, packing, pii, sharding, store, tokens, toxicity
 from assayloom.session import scratch_path, table
 
 
@@ -84,6 +84,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out_expr().alias("held_out"), "lang_pred", "score")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_features(table(spark, sf_dir, "documents"))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op7_neardup": op7_neardup,
     "op8_language": op8_language,
+    "op9_decontaminate": op9_decontaminate,
     "op10_media": op10_media,
 }
 
