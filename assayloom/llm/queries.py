@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm import decontaminate, language, media, neardup, packing, pii, sharding, store, tokens, toxicity
+from assayloom.llm import decontaminate, language, media, neardup, packing, pii, secrets, sharding, store, tokens, toxicity
 from assayloom.session import scratch_path, table
 
 
@@ -74,6 +74,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), "space")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings()))
+    counts = [F.expr(f"CAST(size(filter(found, c -> c.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}") for kind in secrets.BASE]
+    base = f"filter(found, c -> c.kind IN ({', '.join(repr(k) for k in secrets.BASE)}))"
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed("found").alias("spans"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_store": op4_store,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op7_neardup": op7_neardup,
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
