@@ -162,14 +162,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ``lang_pred`` and ``score`` of the input are replaced.
     """
     keep = [c for c in (keep or [id_col]) if c not in ("lang_pred", "score", "_text")]
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    own = text_col in keep  # then the text isn't sent twice
+    rows = docs.select(*keep) if own else docs.select(*keep, F.col(text_col).alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
-            found = [scorer.score(t if isinstance(t, str) else None) for t in batch["_text"]]
-            out = batch.drop(columns="_text")
+            found = [scorer.score(t if isinstance(t, str) else None) for t in batch[text_col if own else "_text"]]
+            out = batch if own else batch.drop(columns="_text")
             out["lang_pred"] = [f[0] for f in found]
             out["score"] = [f[1] for f in found]
             yield out
