@@ -7,9 +7,11 @@
    bands with a probability below 3 in a million.
 4. Stars: each document is compared with one hub, the least id of a bucket, namely that which it shares most bands with.
    Confirmed links give components.
-5. What is left are pairs in one bucket but in different components. In such a bucket the members outside its commonest
-   component are compared with all members of other components; so no colliding pair goes unexamined, while a large
-   group of copies, being one component by now, gives no pairs.
+5. What is left are pairs in one bucket but in different components. The members of such buckets are joined exactly by
+   prefixes: with each set's shingles ordered rarest first (by their count among these members), two sets that are
+   similar enough share one early in both, where enough of both is still to come. Those outside the commonest component
+   of a bucket look for partners of each size class only as far as that class allows. So no colliding pair that could
+   be a link goes unexamined, while a large group of loose copies doesn't give all its pairs.
 6. Links are confirmed on the full sets: 100 * intersection >= 75 * union. Components by repeated least-neighbour stars.
 
 Nothing grows in the driver: ids, links and components stay in tables, cut from their lineage in the shared folder. Ids
@@ -96,26 +98,64 @@ def similar_sizes(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, shingles of the wanted ids, from their texts. The ids are broadcast if few, else shuffled."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                yield pd.DataFrame({"id": part["id"], "shingles": [shingles.shingle_set(bytes(d), WORDS).view(np.int64) for d in part["data"]]})
+
+    return rows.join(wanted, "id", "left_semi").mapInPandas(run, "id long, shingles array<long>")
+
+
+def size_class(n: str) -> str:
+    """SQL of the size class of a set: steps of about five percent."""
+    return f"CAST(floor(20 * ln({n})) AS INT)"
+
+
+def prefix_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of members with different labels that may be similar enough, one of each a stray; exact: every pair
+    that is similar enough is among them.
+
+    members: id, n, label, stray. Two sets of sizes n and m need o = ceil(75 * (n + m) / 175) common shingles; so their
+    first common shingle, at places i and j, has i <= n - o and j <= m - o. A stray's shingle at place i can be that
+    only for partners with m <= 175 * (n - i) / 75 - n, which bounds the size classes it is sent to.
+    """
+    need = 100 + PERCENT
+    each = shingle_sets(docs, members.select("id"), id_col, text_col).select("id", F.explode("shingles").alias("s")).distinct()
+    each = materialize(each, "shingles")
+    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(counts, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
+    # Places are counted over the whole set; ids that repeat with other texts have the union here, so its size holds.
+    ordered = ordered.join(members.select("id", "label", "stray"), "id").withColumn("n", F.size("all"))
+    placed = ordered.select("id", "n", "label", "stray", F.posexplode(F.expr(f"slice(all, 1, n - CAST(ceil(n * {PERCENT} / 100D) AS INT) + 1)")).alias("i", "x"))
+    placed = placed.where("x.df > 1").select("id", "n", "label", "stray", "i", F.col("x.s").alias("s"))
+    placed = materialize(placed, "prefixes")
+    top = f"{need} * (n - i) / {PERCENT}D - n + 0.001"
+    seek = placed.where(f"stray AND {top} >= 1").select(
+        "s", F.explode(F.expr(f"sequence({size_class(f'greatest(n * {PERCENT - 1} / 100D, 1D)')}, greatest({size_class(f'least({top}, n * 100 / {PERCENT - 1}D)')}, {size_class(f'greatest(n * {PERCENT - 1} / 100D, 1D)')}))")).alias("class"),
+        F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("i").alias("i_a"),
+    )
+    offer = placed.select("s", F.expr(size_class("n")).alias("class"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("i").alias("i_b"))
+    both = seek.join(offer, ["s", "class"]).where((F.col("label_a") != F.col("label_b")) & similar_sizes("n_a", "n_b"))
+    both = both.where(F.expr(f"{need} * least(n_a - i_a, n_b - i_b) >= {PERCENT} * (n_a + n_b)"))
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of the pairs (a, b) those whose full sets are similar enough. ``pairs`` is a written table.
 
     Each side's texts are read anew and become sets; the sets of ``a`` travel to those of ``b``. Ids that repeat with
     other texts are linked if any of their texts are.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
 
     def sets(of: str) -> DataFrame:
-        wanted = pairs.select(F.col(of).alias("id")).distinct()
-        if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for at in range(0, len(batch), 500):
-                    part = batch.iloc[at : at + 500]
-                    yield pd.DataFrame({"id": part["id"], "shingles": [shingles.shingle_set(bytes(d), WORDS).view(np.int64) for d in part["data"]]})
-
-        return rows.join(wanted, "id", "left_semi").mapInPandas(run, "id long, shingles array<long>")
+        return shingle_sets(docs, pairs.select(F.col(of).alias("id")).distinct(), id_col, text_col)
 
     left = pairs.join(sets("a").withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
     both = left.join(sets("b").withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
@@ -173,9 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(labelled(buckets.select("key", "id", "n"), components(links)), "members")
     mixed = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_size")).groupBy("key").agg(F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_size", "label")).alias("_top")).where("_labels > 1")
     inside = members.join(mixed.select("key", F.col("_top.label").alias("_main")), "key")
-    strays = inside.where("label <> _main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    pairs = inside.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b")).join(strays, "key")
-    pairs = pairs.where((F.col("label_a") != F.col("label_b")) & similar_sizes("n_a", "n_b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    inside = inside.groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max(F.col("label") != F.col("_main")).alias("stray"))
+    pairs = prefix_pairs(docs, materialize(inside, "inside"), id_col, text_col)
     known = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialize(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
     more = confirm(docs, pairs, id_col, text_col)
