@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm.shingles import windows
+from assayloom.llm.worker import held
+from assayloom.session import small_batches
 
 WINDOW = 8
 #: Words in a window that aren't placeholders, at least (or all words of a shorter item).
@@ -217,12 +219,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         index = Index(sorted(((r[0], r[1]) for r in part), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
 
         def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
-            lexicon = Lexicon()
+            lexicon = held("lexicon", Lexicon)
             for batch in batches:
                 found = [(doc, *leak) for doc, text in zip(batch["doc_id"], batch["_text"], strict=True) for leak in index.leaks(text.split(), lexicon)]
                 frame = pd.DataFrame(found, columns=["doc_id", "item_id", "n_tokens", "cover", "consistency", "same_slots", "first_word", "last_word"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "same_slots": bool})
 
-        one = rows.mapInPandas(run, schema)
+        one = small_batches(rows).mapInPandas(run, schema)
         out = one if out is None else out.unionByName(one)
     return out

@@ -11,6 +11,7 @@ every whole text. The model has at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,6 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.llm.worker import held
+from assayloom.session import small_batches
+
 #: At most about so many labelled documents are fitted, in all languages together.
 TRAIN_DOCS = 4000
 MAX_WORDS = 120_000
@@ -39,6 +43,8 @@ class Model:
     words: dict[str, int] = field(default_factory=dict)
     grams: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    #: Tells models apart in a worker.
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -167,7 +173,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorer = held(("language", model.name), lambda: Scorer(model))
         for batch in batches:
             found = [scorer.score(t if isinstance(t, str) else None) for t in batch[text_col if own else "_text"]]
             out = batch if own else batch.drop(columns="_text")
@@ -175,7 +181,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             out["score"] = [f[1] for f in found]
             yield out
 
-    return rows.mapInPandas(run, schema)
+    return small_batches(rows).mapInPandas(run, schema)
 
 
 def train(docs: DataFrame, bound: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from assayloom.llm.worker import held
+
 #: Words that a worker remembers the hash of.
 MEMO = 400_000
-#: Words hashed at a time.
-PART = 500_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -22,9 +22,6 @@ class WordHashes(dict):
         return h
 
 
-_WORDS = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -35,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def words_of(data: bytes) -> np.ndarray:
     """Hashes of the words of UTF-8 text: A-Z lower-cased, cut at the space and 0x09 to 0x0D."""
     words = data.lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(held("words", WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def windows(words: np.ndarray, n: int) -> np.ndarray:

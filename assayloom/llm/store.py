@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayloom.llm.tokens import encoder
-from assayloom.session import materialize
+from assayloom.session import materialize, small_batches
 
 WINDOW, CUT_BITS = 16, 9
 MIN_CHUNK, MAX_CHUNK = 64, 4096
@@ -134,7 +134,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, style: str, width: i
                 yield found.astype({"doc_id": "Int64", "n_tokens": "Int64"})
 
     schema = "kind string, key binary, data binary, doc_id long, n_tokens long, root binary"
-    blobs = rows.mapInPandas(run, schema).groupBy("kind", "key").agg(
+    blobs = small_batches(rows).mapInPandas(run, schema).groupBy("kind", "key").agg(
         F.first("data").alias("data"), F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.count(F.lit(1)).alias("copies"),
     )
     blobs.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blobs")

@@ -1,5 +1,5 @@
 """Fast exact encoding with the ``tokenizers`` library: whole texts are cut where pre-tokenisation always cuts, and what
-lies between two cuts is encoded once by the library and remembered.
+lies between two cuts is encoded once by the library and remembered, under a 64-bit hash of its bytes.
 
 A cut before a single space (``space`` vocabularies: byte-level BPE, whose pre-tokens may begin with one space) or at a
 space (``drop`` vocabularies, which drop white space) never changes the ids, as no pre-token reaches over it. Texts in
@@ -8,16 +8,21 @@ which runs of white space could reach over a cut are encoded whole by the librar
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
+import xxhash
+
+from assayloom.llm.shingles import mix
+from assayloom.llm.worker import held
 
 #: Segments that a worker remembers, about.
 MEMO = 1_500_000
 #: Texts are encoded in groups of at most so many characters or one text.
-GROUP = 2_000_000
+GROUP = 1_000_000
 #: White space other than the space and the line feed.
 RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -29,17 +34,94 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-class Memo(dict):
-    """Number of each segment; unknown ones get the next number and wait to be encoded."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.waiting: list[str] = []
+#: A word of Latin letters with at most one full stop or comma: pre-tokenisation gives the letters, then the mark.
+SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
+
+
+def byte_letters() -> dict[int, str]:
+    """Latin-1 characters as the letters that stand for their UTF-8 bytes in byte-level vocabularies."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    letter, other = {}, 0
+    for byte in range(256):
+        letter[byte] = chr(byte if byte in printable else 256 + other)
+        other += byte not in printable
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+MULTIPLIER = 0x9E3779B97F4A7C15
+#: Bytes hashed at a time.
+BLOCK = 1 << 20
+
+
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2**64."""
+    up = np.ones(BLOCK, np.uint64)
+    down = np.ones(BLOCK, np.uint64)
+    up[1:], down[1:] = np.uint64(MULTIPLIER), np.uint64(pow(MULTIPLIER, -1, 1 << 64))
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of bytes, in order and without overlap: a polynomial over the bytes, then a bijective mix
+    with the length. Never 0."""
+    out = np.empty(len(starts), np.uint64)
+    up, down = powers()
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, base + BLOCK - 1, "right")))
+        s, e = starts[first:last] - base, ends[first:last] - base
+        if e[-1] >= BLOCK:  # one piece longer than a block
+            out[first] = xxhash.xxh64_intdigest(data[base : base + int(e[-1])].tobytes())
+        else:
+            sums = np.zeros(int(e[-1]) + 1, np.uint64)
+            np.cumsum((data[base : base + int(e[-1])].astype(np.uint64) + np.uint64(1)) * up[: int(e[-1])], out=sums[1:])
+            out[first:last] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        first = last
+    out[out == 0] = 1
+    return out
+
+
+class Memo:
+    """An open-addressing table in arrays: number of each hash; unknown ones get the next numbers."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers, -1 where unknown."""
+        out = np.full(len(hashes), -1, np.int64)
+        todo, mask = np.arange(len(hashes)), (1 << self.bits) - 1
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            key = self.keys[slot]
+            same = key == hashes[todo]
+            out[todo[same]] = self.values[slot[same]]
+            more = ~same & (key != 0)
+            todo, slot = todo[more], (slot[more] + 1) & mask
+        return out
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = place = len(self)
-        self.waiting.append(piece)
-        return place
+    def add(self, hashes: np.ndarray) -> None:
+        """Number distinct unknown hashes in order."""
+        while 2 * (self.size + len(hashes)) > len(self.keys):
+            keys, values = self.keys[self.keys != 0], self.values[self.keys != 0]
+            self.bits += 1
+            self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._place(keys, values)
+        self._place(hashes, np.arange(self.size, self.size + len(hashes), dtype=np.int32))
+        self.size += len(hashes)
+
+    def _place(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(hashes):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[free]
+            won = free & (self.keys[slot] == hashes)
+            self.values[slot[won]] = values[won]
+            hashes, values, slot = hashes[~won], values[~won], (slot[~won] + 1) & mask
 
 
 class Encoder:
@@ -54,6 +136,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.style = style
+        # The same model without its text handling, for words of which the result of that handling is plain.
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare, self.letters = Tokenizer.from_str(json.dumps(bare)), byte_letters()
+        self.bare_between = f" {self.letters[1]} "
+        self.bare_mark = self.bare.encode(self.bare_between, add_special_tokens=False).ids
         #: What stands between segments that are encoded in one call, and its id: a pre-token of its own.
         self.between = " \x01 " if style == "drop" else "\n"
         self.mark = self.direct([self.between])[0]
@@ -61,23 +148,15 @@ class Encoder:
 
     def forget(self) -> None:
         self.memo, self.used = Memo(), 0
-        self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         """By the library alone."""
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def segments(self, text: str) -> list[str] | None:
-        """Pieces that can be encoded on their own; None if the text must be encoded whole.
-
-        In style ``space`` every piece but the first follows a space, so it's encoded with it; a piece that begins with
-        a line feed doesn't.
-        """
-        if self.style == "drop":
-            return text.replace("\n", " ").split(" ")
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or RARE.search(text):
-            return None
-        return text.replace(" ", " \x00").replace("\n", " \n").split(" ") if "\x00" not in text else None
+    def whole(self, text: str) -> bool:
+        """Whether white space could reach over a cut, so that the text must be encoded by the library as it is."""
+        return self.style == "space" and ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or RARE.search(text) is not None)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -92,43 +171,73 @@ class Encoder:
         return out
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.segments(t) for t in texts]
-        whole = [i for i, pieces in enumerate(cut) if pieces is None]
-        ids = dict(zip(whole, self.direct([texts[i] for i in whole]), strict=True))
-        if len(self.memo) > MEMO or self.used > 8 * MEMO:
+        odd = [i for i, t in enumerate(texts) if self.whole(t)]
+        ids = dict(zip(odd, self.direct([texts[i] for i in odd]), strict=True))
+        if self.memo.size > MEMO or self.used > 8 * MEMO:
             self.forget()
-        counts = [len(p) if p is not None else 0 for p in cut]
-        pieces = chain.from_iterable(p for p in cut if p is not None)
-        places = np.fromiter(map(self.memo.__getitem__, pieces), np.int64, sum(counts))
-        self._learn()
+        parts = [b"" if i in ids else t.encode() for i, t in enumerate(texts)]
+        data = b"".join(parts)
+        view = np.frombuffer(data, np.uint8)
+        begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        # A piece begins with a text, a space or a line feed; in style ``drop`` without that white space.
+        white = (view == 32) | (view == 10)
+        cuts = white.copy()
+        cuts[begins[:-1][begins[:-1] < begins[1:]]] = True
+        starts = np.flatnonzero(cuts)
+        ends = np.append(starts[1:], len(view))[: len(starts)]
+        first = np.searchsorted(starts, begins)  # first piece of each text
+        if self.style == "drop" and len(starts):
+            starts = starts + white[starts]
+        hashes = piece_hashes(view, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        places = self.memo.find(hashes)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            fresh, at = np.unique(hashes[missing], return_index=True)
+            at = missing[at]
+            self._learn([data[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self.memo.add(fresh)
+            places[missing] = self.memo.size - len(fresh) + np.searchsorted(fresh, hashes[missing])
         lengths = self.length[places]
-        ends = np.cumsum(lengths)
-        flat = self.flat[np.repeat(self.start[places] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        ends = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
-        return [np.array(ids[i], np.uint32) if i in ids else flat[ends[i] : ends[i + 1]] for i in range(len(texts))]
-
-    def _learn(self) -> None:
-        """Encode the waiting segments: joined by marks, many in a call; those that could blur the marks one by one."""
-        listed, first = self.memo.waiting, len(self.memo) - len(self.memo.waiting)
-        self.memo.waiting = []
-        space = self.style == "space"
-        plain = [" " + s[1:] if s[:1] == "\x00" else s for s in listed] if space else listed
-        odd = [i for i, s in enumerate(plain) if not s or ("\n" in s if space else "\x01" in s)]
-        strange = set(odd)
-        even = [i for i in range(len(plain)) if i not in strange]
-        found: dict[int, np.ndarray] = {i: np.array(x, np.uint32) for i, x in zip(odd, self.direct([plain[i] for i in odd]), strict=True)}
-        for at in range(0, len(even), 20_000):
-            part = even[at : at + 20_000]
-            ids = np.array(self.direct([self.between.join([plain[i] for i in part])])[0], np.uint32)
-            marks = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, int)
-            if len(marks) == len(part) - 1:
-                begins, ends = np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(ids)]])
-                found.update((i, ids[b:e]) for i, b, e in zip(part, begins, ends, strict=True))
+        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        flat = self.flat[np.repeat(self.start[places] - upto[:-1], lengths) + np.arange(upto[-1])]
+        cut = upto[first]
+        return [np.array(ids[i], np.uint32) if i in ids else flat[cut[i] : cut[i + 1]] for i in range(len(texts))]
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        return np.array(self.direct([self.between.join(words)])[0], np.uint32), self.mark
+
+    def _bare(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Simple words: letters and mark are pre-tokens; only bytes have to be spelt as letters."""
+        text = "\n".join(words)
+        text = (text if self.style == "space" else text.lower()).replace(".", "\r.").replace(",", "\r,").translate(self.letters)
+        text = text.replace(self.letters[10], self.bare_between).replace(self.letters[13], " ")
+        return np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32), self.bare_mark
+
+    def _learn(self, plain: list[str]) -> None:
+        """Encode new pieces: joined by marks, many in a call; those that could blur the marks one by one."""
+        first, space = self.memo.size, self.style == "space"
+        simple, even, odd = [], [], []
+        for i, s in enumerate(plain):
+            if SIMPLE.fullmatch(s, 1 if space and s[:1] == " " else 0):
+                simple.append(i)
             else:
-                found.update((i, np.array(x, np.uint32)) for i, x in zip(part, self.direct([plain[i] for i in part]), strict=True))
-        if not listed:
-            return
-        fresh = [found[i] for i in range(len(listed))]
+                (odd if not s or ("\n" in s if space else "\x01" in s) else even).append(i)
+        found: dict[int, np.ndarray] = {i: np.array(x, np.uint32) for i, x in zip(odd, self.direct([plain[i] for i in odd]), strict=True)}
+        for places, join in ((simple, self._bare), (even, self._joined)):
+            for at in range(0, len(places), 5000):
+                part = places[at : at + 5000]
+                words = [plain[i] for i in part]
+                ids, mark = join(words)
+                marks = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else np.zeros(0, int)
+                if len(marks) == len(part) - 1:
+                    ends = [*marks.tolist(), len(ids)]
+                    begin = 0
+                    for i, end in zip(part, ends, strict=True):
+                        found[i] = ids[begin:end]
+                        begin = end + 1
+                else:
+                    found.update((i, np.array(x, np.uint32)) for i, x in zip(part, self.direct(words), strict=True))
+        fresh = [found[i] for i in range(len(plain))]
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         total, end = int(sizes.sum()), first + len(fresh)
         while len(self.start) < end:
@@ -141,11 +250,6 @@ class Encoder:
         self.used += total
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, style: str) -> Encoder:
     """The encoder of this worker, kept from task to task."""
-    if (path, style) not in _ENCODERS:
-        _ENCODERS[path, style] = Encoder(path, style)
-    return _ENCODERS[path, style]
+    return held(("encoder", path, style), lambda: Encoder(path, style))
