@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: Amino acids of the codons in the order T, C, A, G of each base.
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -157,7 +158,7 @@ def affine_score(a: str, b: str, match: float = 2, mismatch: float = -1, start:
     return float(max(m[-1], x[-1], y[-1]))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def alignment_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """Affine global alignment of two columns; null if either is."""
     return pd.Series([affine_score(p.upper(), q.upper()) if p is not None and q is not None else None for p, q in zip(a, b, strict=True)], dtype="float64")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def signif(x: Column, digits: int) -> Column:
@@ -91,7 +92,7 @@ def normalize_pixels(pixels: pd.Series, method: str = "minmax", reset_zero: bool
 def pixel_normalizer(method: str = "minmax", reset_zero: bool = False):
     """A column function on arrays of double."""
 
-    @pandas_udf("array<double>")
+    @pandas_udf(ArrayType(DoubleType()))
     def run(pixels: pd.Series) -> pd.Series:
         return normalize_pixels(pixels, method, reset_zero)
 
@@ -138,28 +139,28 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, math.fsum(math.exp(v) for v in logs.values() if v <= logs[a] + 1e-7))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) if a == a and b == b and b > 0 else None for a, b in zip(t.astype(float), df.astype(float), strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def hypergeom_pvalue(k: pd.Series, total: pd.Series, good: pd.Series, drawn: pd.Series) -> pd.Series:
     return pd.Series([hypergeom_tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, total, good, drawn, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def fisher_pvalue(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_two_sided(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def probit(p: pd.Series) -> pd.Series:
     """Normal quantile of probabilities strictly between 0 and 1."""
     inv = NormalDist().inv_cdf
     return p.map(lambda q: inv(q) if q is not None and 0 < q < 1 else None).astype("float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None).astype("float64")
