@@ -108,9 +108,9 @@ def flank_coverage(regions: DataFrame, reads: DataFrame, key: str, size: int = 1
     """Reads over each region's body and the stretches left and right of it: counts, and densities per 1000 places."""
     bodies = regions.select(key, "chrom", "start", "end")
     parts = bodies.select(key, "chrom", F.inline(F.array(
-        F.struct(F.lit("body").alias("part"), F.col("start"), F.col("end")),
-        F.struct(F.lit("left"), F.greatest(F.col("start") - size, F.lit(1)).cast("long"), (F.col("start") - 1).cast("long")),
-        F.struct(F.lit("right"), (F.col("end") + 1).cast("long"), (F.col("end") + size).cast("long")),
+        F.struct(F.lit("body").alias("part"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")),
+        F.struct(F.lit("left").alias("part"), F.greatest(F.col("start") - size, F.lit(1)).cast("long").alias("start"), (F.col("start") - 1).cast("long").alias("end")),
+        F.struct(F.lit("right").alias("part"), (F.col("end") + 1).cast("long").alias("start"), (F.col("end") + size).cast("long").alias("end")),
     )))
     n = overlap_join(parts, reads.select("chrom", "start", "end"), width).groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
     wide = n.groupBy(key).pivot("part", ["body", "left", "right"]).agg(F.first("n"))

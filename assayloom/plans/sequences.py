@@ -1 +1,292 @@
-x=1
+"""Intervals, sequences, expression, screens and variants on driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from assayloom.functions import dna
+from assayloom.operators import design as D
+from assayloom.operators import expression as E
+from assayloom.operators import intervals as I
+from assayloom.plans.registry import query
+
+#: Intervals: [l_partkey, l_partkey + l_quantity] on a chromosome for each supplier; the return flag is the sample.
+IV = "iv AS (SELECT l_orderkey, l_linenumber, 's' || l_suppkey AS chrom, l_partkey AS \"start\", l_partkey + l_quantity::BIGINT AS \"end\", l_returnflag AS sample, l_tax AS score FROM lineitem)"
+#: Regions: one per part and supplier flag line; points: a start for each 40th part number of every supplier.
+MERGE = """o AS (SELECT {by}, "start", "end", max("end") OVER (PARTITION BY {by} ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM {src}),
+i AS (SELECT *, sum(CASE WHEN prev IS NULL OR "start" > prev + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS k FROM o),
+m AS (SELECT {by}, min("start") AS "start", max("end") AS "end", count(*) AS n_merged FROM i GROUP BY {by}, k)"""
+
+
+def intervals(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.concat(F.lit("s"), "l_suppkey").alias("chrom"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"), F.col("l_returnflag").alias("sample"), F.col("l_tax").alias("score"))
+
+
+def regions(t):
+    """A region for each part of every supplier with a number divisible by the supplier's: key, chrom, start, end."""
+    s = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("chrom"), "s_nationkey", "s_suppkey")
+    return s.select((F.col("s_suppkey") * 10).alias("key"), "chrom", (F.col("s_nationkey") * 60 + 1).alias("start"), (F.col("s_nationkey") * 60 + 200).alias("end")).withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+
+
+REG = "rg AS (SELECT s_suppkey * 10 AS key, 's' || s_suppkey AS chrom, (s_nationkey * 60 + 1)::BIGINT AS \"start\", (s_nationkey * 60 + 200)::BIGINT AS \"end\" FROM supplier)"
+
+
+@query(f"WITH {IV}, {MERGE.format(by='chrom, sample', src='iv')} SELECT * FROM m")
+def interval_reduce(t):
+    return I.reduce_ranges(intervals(t), ["chrom", "sample"])
+
+
+COV = """e AS (SELECT chrom, "start" AS p, 1 AS d FROM iv UNION ALL SELECT chrom, "end" + 1, -1 FROM iv), s AS (SELECT chrom, p, sum(d) AS d FROM e GROUP BY 1, 2),
+cov AS (SELECT chrom, p AS "start", lead(p) OVER w - 1 AS "end", (sum(d) OVER w)::BIGINT AS depth FROM s WINDOW w AS (PARTITION BY chrom ORDER BY p))"""
+
+
+@query(f"WITH {IV}, {COV} SELECT * FROM cov WHERE depth > 0")
+def interval_coverage(t):
+    return I.coverage(intervals(t), ["chrom"])
+
+
+@query(f"WITH {IV}, {COV}, band AS (SELECT * FROM cov WHERE depth BETWEEN 5 AND 9), {MERGE.format(by='chrom', src='band')} SELECT chrom, \"start\", \"end\" FROM m")
+def interval_slice(t):
+    return I.slice_depth(I.coverage(intervals(t), ["chrom"]), ["chrom"], 5, 9)
+
+
+@query(f"""WITH {IV}, {MERGE.format(by='chrom, sample', src='iv')},
+e AS (SELECT chrom, "start" AS p, 1 AS d FROM m UNION ALL SELECT chrom, "end" + 1, -1 FROM m), s AS (SELECT chrom, p, sum(d) AS d FROM e GROUP BY 1, 2), cov AS (SELECT chrom, p AS "start", lead(p) OVER w - 1 AS "end", sum(d) OVER w AS depth FROM s WINDOW w AS (PARTITION BY chrom ORDER BY p)), band AS (SELECT chrom, "start", "end" FROM cov WHERE depth >= 2),
+{MERGE.format(by='chrom', src='band').replace('o AS', 'o2 AS', 1).replace('FROM o)', 'FROM o2)').replace('i AS (', 'i2 AS (', 1).replace('FROM i GROUP', 'FROM i2 GROUP').replace('m AS (', 'm2 AS (', 1)} SELECT 'all' AS target, chrom, "start", "end" FROM m2""")
+def interval_consensus(t):
+    return I.consensus(intervals(t).withColumn("target", F.lit("all")), ["target"], "sample", 2).select("target", "chrom", "start", "end")
+
+
+@query(f"WITH {IV}, {REG} SELECT rg.key, rg.chrom, rg.\"start\", rg.\"end\", count(iv.chrom) AS n_overlaps FROM rg LEFT JOIN iv ON rg.chrom = iv.chrom AND rg.\"start\" <= iv.\"end\" AND iv.\"start\" <= rg.\"end\" GROUP BY ALL")
+def interval_overlap_count(t):
+    return I.count_overlaps(regions(t), intervals(t), "key", width=100)
+
+
+@query(f"WITH {IV} SELECT a.chrom, count(*) AS n, sum(least(a.\"end\", b.\"end\") - greatest(a.\"start\", b.\"start\") + 1)::BIGINT AS shared FROM iv a JOIN iv b ON a.chrom = b.chrom AND a.\"start\" <= b.\"end\" AND b.\"start\" <= a.\"end\" WHERE least(a.\"end\", b.\"end\") - greatest(a.\"start\", b.\"start\") + 1 >= 10 GROUP BY 1")
+def interval_overlap_pairs(t):
+    a = intervals(t).select("chrom", "start", "end")
+    return I.overlap_join(a, a, width=50, min_overlap=10).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("shared"))
+
+
+@query(f"WITH {IV}, {REG} SELECT iv.l_orderkey, iv.l_linenumber, iv.chrom, iv.\"start\" FROM iv WHERE NOT EXISTS (SELECT 1 FROM rg WHERE rg.chrom = iv.chrom AND rg.\"start\" <= iv.\"end\" AND iv.\"start\" <= rg.\"end\")")
+def interval_anti(t):
+    x = intervals(t).withColumn("k", F.struct("l_orderkey", "l_linenumber", "chrom", "start", "end", "score"))
+    return I.overlaps_any(x, regions(t), "k", keep=False, width=100).select("l_orderkey", "l_linenumber", "chrom", "start")
+
+
+PARTS = """p AS (SELECT key, chrom, 'body' AS part, "start" AS a, "end" AS b FROM rg UNION ALL SELECT key, chrom, 'left', greatest("start" - 100, 1), "start" - 1 FROM rg UNION ALL SELECT key, chrom, 'right', "end" + 1, "end" + 100 FROM rg),
+n AS (SELECT key, count(*) FILTER (part = 'body') AS body, count(*) FILTER (part = 'left') AS l, count(*) FILTER (part = 'right') AS r FROM p JOIN iv ON p.chrom = iv.chrom AND p.a <= iv."end" AND iv."start" <= p.b GROUP BY 1)"""
+
+
+@query(f"WITH {IV}, {REG}, {PARTS} SELECT rg.key, coalesce(body, 0) AS body, coalesce(l, 0) AS \"left\", coalesce(r, 0) AS \"right\", coalesce(body, 0) / nullif(coalesce(l, 0) + coalesce(r, 0), 0) AS cov_ratio, coalesce(l, 0) * 1000.0::DOUBLE / 100 AS left_density FROM rg LEFT JOIN n USING (key)", ["cov_ratio", "left_density"])
+def flank_ratio(t):
+    return I.flank_coverage(regions(t), intervals(t), "key", 100, width=100).select("key", "body", "left", "right", "cov_ratio", "left_density")
+
+
+@query("SELECT s_suppkey, CASE WHEN strand = '-' THEN e - 9 ELSE s END AS a5, CASE WHEN strand = '-' THEN e ELSE s + 9 END AS b5, CASE WHEN strand = '-' THEN e + 1 ELSE s - 20 END AS fa, CASE WHEN strand = '-' THEN e + 20 ELSE s - 1 END AS fb, CASE WHEN strand = '-' THEN e - 499 ELSE s - 1000 END AS pa, CASE WHEN strand = '-' THEN e + 1000 ELSE s + 499 END AS pb FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, s_nationkey * 100 + 2000 AS s, s_nationkey * 100 + 2500 AS e FROM supplier)")
+def interval_resize(t):
+    g = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("s_nationkey") * 100 + 2000).alias("start"), (F.col("s_nationkey") * 100 + 2500).alias("end"))
+    a = I.resize(g, 10, "start").select("s_suppkey", F.col("start").alias("a5"), F.col("end").alias("b5"))
+    b = I.flank(g, 20).select("s_suppkey", F.col("start").alias("fa"), F.col("end").alias("fb"))
+    c = I.promoters(g, 1000, 500).select("s_suppkey", F.col("start").alias("pa"), F.col("end").alias("pb"))
+    return a.join(b, "s_suppkey").join(c, "s_suppkey")
+
+
+PTS = "pt AS (SELECT 's' || ps AS chrom, p_partkey AS tss, p_name || p_partkey AS gene, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part, (SELECT s_suppkey AS ps FROM supplier) WHERE p_partkey % 100 = ps % 100)"
+
+
+@query(f"""WITH {IV}, {PTS}, d AS (SELECT l_orderkey, l_linenumber, iv.chrom, iv."start", iv."end", gene, tss, strand, greatest(iv."start" - tss, tss - iv."end", 0) AS away FROM iv JOIN pt USING (chrom)),
+b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, chrom, "start", "end" ORDER BY away, CASE WHEN tss <= "end" AND tss >= "start" THEN -tss ELSE 0 END, gene) = 1)
+SELECT chrom, count(*) AS n, sum(away)::BIGINT AS total FROM b GROUP BY 1""")
+def nearest_feature(t):
+    s = t.supplier.select("s_suppkey")
+    p = t.part.join(s, F.col("p_partkey") % 100 == F.col("s_suppkey") % 100)
+    pts = p.select(F.concat(F.lit("s"), "s_suppkey").alias("chrom"), F.col("p_partkey").alias("tss"), F.concat("p_name", "p_partkey").alias("gene"), F.when(F.col("p_size") % 2 == 0, "+").otherwise("-").alias("strand"))
+    x = intervals(t).select(F.monotonically_increasing_id().alias("k"), "chrom", "start", "end")
+    return I.nearest(x, pts, "k").groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("distance")).alias("total"))
+
+
+@query(f"WITH {IV}, {MERGE.format(by='chrom', src='iv')}, j AS (SELECT m.chrom, m.\"start\", m.\"end\", iv.sample, iv.score FROM m JOIN iv ON m.chrom = iv.chrom AND m.\"start\" <= iv.\"end\" AND iv.\"start\" <= m.\"end\") SELECT chrom, \"start\", \"end\", count(DISTINCT sample) AS n_samples, avg(score) AS score FROM j GROUP BY 1, 2, 3 HAVING count(DISTINCT sample) >= 2", ["score"])
+def supported_consensus(t):
+    return I.supported_consensus(intervals(t), "sample", ["score"]).drop("peak_id")
+
+
+@query(f"WITH {IV}, {MERGE.format(by='sample, chrom', src='iv')} SELECT sample, chrom, sum(\"end\" - \"start\" + 1)::BIGINT AS length FROM m GROUP BY 1, 2")
+def union_length(t):
+    return I.union_exon_length(intervals(t).withColumn("g", F.concat_ws("|", "sample", "chrom")), "g").select(F.split("g", "[|]")[0].alias("sample"), F.split("g", "[|]")[1].alias("chrom"), "length")
+
+
+@query(f"""WITH {IV}, {REG}, g AS (SELECT key, chrom, bin, ("start" + "end") // 2 - 100 + bin * 20 AS a, ("start" + "end") // 2 - 100 + (bin + 1) * 20 - 1 AS b FROM rg, (SELECT unnest(range(0, 10))::INTEGER AS bin)),
+v AS (SELECT key, bin, sum(score * (least(b, "end") - greatest(a, "start") + 1)) / 20 AS value FROM g JOIN iv ON g.chrom = iv.chrom AND a <= "end" AND "start" <= b GROUP BY 1, 2) SELECT key, bin, coalesce(value, 0) AS value FROM g LEFT JOIN v USING (key, bin)""", ["value"])
+def signal_matrix(t):
+    return I.signal_matrix(regions(t), intervals(t), "key", 10, 100, width=50)
+
+
+# --- Sequences --------------------------------------------------------------------------------------------------------
+
+SEQ = "translate(substr(md5({k}::VARCHAR), 1, {n}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+def seqs(t, n=16):
+    return t.part.select("p_partkey", F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, n), "0123456789abcdef", "ACGTACGTACGTACGT").alias("s"))
+
+
+PLOGP = " + ".join(f"(CASE WHEN contains(s, '{b}') THEN -(length(s) - length(replace(s, '{b}', ''))) / length(s) * log2((length(s) - length(replace(s, '{b}', ''))) / length(s)) ELSE 0 END)" for b in "ACGT")
+
+
+@query(f"SELECT p_partkey, s, reverse(translate(s, 'ACGT', 'TGCA')) AS rc, length(regexp_replace(s, '[^GC]', '', 'g')) / length(s) AS gc, {PLOGP} AS entropy, regexp_matches(s, 'AAA|CCC|GGG|TTT') AS run, regexp_matches(s, 'ATG|TAA|TGA|TAG') AS motif FROM (SELECT p_partkey, {SEQ.format(k='p_partkey', n=16)} AS s FROM part)", ["gc", "entropy"])
+def seq_features(t):
+    s = F.col("s")
+    return seqs(t).select("p_partkey", "s", dna.revcomp(s).alias("rc"), dna.gc(s).alias("gc"), dna.entropy(s).alias("entropy"), dna.homopolymer(s).alias("run"), dna.excluded(s).alias("motif"))
+
+
+@query(f"""SELECT p_partkey, list_sum([CASE WHEN s[i] <> r[i] THEN 1 ELSE 0 END FOR i IN range(1, 17)])::INTEGER AS hamming, levenshtein(s, r)::INTEGER AS lev, list_sum([(instr('ACGT', s[i]) - 1)::BIGINT * (1::BIGINT << (2 * (i - 1))) FOR i IN range(1, 17)])::BIGINT AS code
+FROM (SELECT p_partkey, s, reverse(translate(s, 'ACGT', 'TGCA')) AS r FROM (SELECT p_partkey, {SEQ.format(k='p_partkey', n=16)} AS s FROM part))""")
+def seq_distances(t):
+    x = seqs(t).withColumn("r", dna.revcomp(F.col("s")))
+    return x.select("p_partkey", dna.hamming("s", "r").alias("hamming"), F.levenshtein("s", "r").alias("lev"), dna.to_int("s").alias("code"))
+
+
+CODON_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in dna.CODONS.items()) + "}"
+
+
+@query(f"SELECT p_partkey, list_aggregate([{CODON_MAP}[substr(s, i, 3)] FOR i IN range(1, length(s) - 1, 3)], 'string_agg', '') AS protein FROM (SELECT p_partkey, {SEQ.format(k='p_partkey', n=31)} AS s FROM part)")
+def seq_translate(t):
+    return seqs(t, 31).select("p_partkey", dna.translate_dna("s").alias("protein"))
+
+
+@query(f"WITH s AS (SELECT DISTINCT {SEQ.format(k='p_partkey', n=10)} AS s FROM part) SELECT a.s AS a, b.s AS b, levenshtein(a.s, b.s)::INTEGER AS distance FROM s a JOIN s b ON a.s < b.s WHERE levenshtein(a.s, b.s) < 3")
+def barcode_conflicts(t):
+    return D.similar_pairs(seqs(t, 10).withColumnRenamed("s", "barcode"), 3)
+
+
+@query(f"SELECT s AS barcode FROM (SELECT {SEQ.format(k='p_partkey', n=10)} AS s FROM part) WHERE length(regexp_replace(s, '[^GC]', '', 'g')) / length(s) BETWEEN 0.35 AND 0.65 AND NOT regexp_matches(s, 'AAA|CCC|GGG|TTT') AND NOT regexp_matches(s, 'ATG|TAA|TGA|TAG')")
+def barcode_filter(t):
+    return D.constrain(seqs(t, 10).select(F.col("s").alias("barcode")))
+
+
+@query()
+def barcode_greedy(t):
+    """A sequential selection; equal to a plain scan in the tests."""
+    return D.prune(seqs(t, 10).groupBy(F.col("s").alias("barcode")).agg(F.min("p_partkey").alias("rank")), 4)
+
+
+@query(f"SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY s, p_partkey) AS replicate, 'CACCG' || s AS forward, 'AAAC' || reverse(translate(s, 'ACGT', 'TGCA')) || 'C' AS reverse FROM (SELECT p_partkey, p_brand, {SEQ.format(k='p_partkey', n=20)} AS s FROM part)")
+def guide_oligos(t):
+    x = seqs(t, 20).join(t.part.select("p_partkey", "p_brand"), "p_partkey").select("p_partkey", F.col("p_brand").alias("symbol"), F.col("s").alias("guide"))
+    out = D.guide_oligos(x)
+    k = F.row_number().over(Window.partitionBy("symbol").orderBy("guide", "p_partkey")).cast("long")
+    return out.select("p_partkey", k.alias("replicate"), "forward", "reverse")
+
+
+# --- Expression, screens, variants ------------------------------------------------------------------------------------
+
+COUNTS = "x AS (SELECT 'g' || l_partkey AS symbol, 's' || (l_suppkey % 8) AS sample, sum(l_quantity) AS count, min(p_size) AS length FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+
+
+def counts(t):
+    j = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return j.groupBy(F.concat(F.lit("g"), "l_partkey").alias("symbol"), F.concat(F.lit("s"), F.col("l_suppkey") % 8).alias("sample")).agg(F.sum("l_quantity").alias("count"), F.min("p_size").alias("length"))
+
+
+@query(f"WITH {COUNTS} SELECT symbol, sample, count / length * 1e6 / sum(count / length) OVER (PARTITION BY sample) AS tpm, count * 1e6 / sum(count) OVER (PARTITION BY sample) AS cpm FROM x", ["tpm", "cpm"])
+def tpm_cpm(t):
+    return E.cpm(E.tpm(counts(t))).select("symbol", "sample", "tpm", "cpm")
+
+
+@query(f"WITH {COUNTS}, k AS (SELECT DISTINCT symbol FROM (SELECT symbol, (substr(sample, 2)::INTEGER % 2) AS grp, avg(count) AS m FROM x GROUP BY 1, 2) WHERE m > 150) SELECT symbol, sample, count FROM x WHERE symbol IN (SELECT symbol FROM k)", ["count"])
+def expressed_filter(t):
+    x = counts(t).withColumn("grp", F.substring("sample", 2, 5).cast("int") % 2)
+    return E.expressed(x, "symbol", "grp", "count", 150).select("symbol", "sample", "count")
+
+
+@query(f"WITH {COUNTS}, l AS (SELECT *, ln(count) AS l FROM x), g AS (SELECT symbol, avg(l) AS g FROM l GROUP BY 1) SELECT sample, exp(median(l - g)) AS size_factor FROM l JOIN g USING (symbol) GROUP BY 1", ["size_factor"])
+def size_factors(t):
+    return E.size_factors(counts(t))
+
+
+@query(f"WITH {COUNTS} SELECT symbol, var_samp(count) AS variance FROM x GROUP BY 1 ORDER BY variance DESC NULLS LAST, symbol LIMIT 50", ["variance"])
+def most_variable(t):
+    return E.most_variable(counts(t), "symbol", "count", 50)
+
+
+@query()
+def wald_test(t):
+    """Negative binomial test; p-values need the error function. Checked on planted genes in the tests."""
+    return E.wald_test(counts(t).withColumn("grp", F.when(F.substring("sample", 2, 5).cast("int") % 2 == 0, "ctrl").otherwise("treated")), "grp", "ctrl")
+
+
+SETS = "sets AS (SELECT DISTINCT 'C' AS collection, p_brand AS gs_id, 'g' || p_partkey AS gene FROM part), lists AS (SELECT DISTINCT 'l' || (o_custkey % 5) AS list, 'g' || (o_custkey % 2000) AS gene FROM orders WHERE o_totalprice > 300000)"
+
+
+@query(f"WITH {SETS}, sz AS (SELECT collection, gs_id, count(*) AS set_size FROM sets GROUP BY 1, 2 HAVING count(*) BETWEEN 10 AND 500), kn AS (SELECT list, collection, gene FROM lists JOIN (SELECT DISTINCT collection, gene FROM sets) USING (gene)), dr AS (SELECT list, collection, count(*) AS list_size FROM kn GROUP BY 1, 2 HAVING count(*) >= 20), tot AS (SELECT collection, count(DISTINCT gene) AS total FROM sets GROUP BY 1), h AS (SELECT list, collection, gs_id, count(*) AS overlap FROM kn JOIN sets USING (collection, gene) GROUP BY 1, 2, 3) SELECT collection, list, gs_id, overlap, set_size, list_size, total FROM h JOIN sz USING (collection, gs_id) JOIN dr USING (list, collection) JOIN tot USING (collection)")
+def ora_counts(t):
+    sets = t.part.select(F.lit("C").alias("collection"), F.col("p_brand").alias("gs_id"), F.concat(F.lit("g"), "p_partkey").alias("gene"))
+    lists = t.orders.where("o_totalprice > 300000").select(F.concat(F.lit("l"), F.col("o_custkey") % 5).alias("list"), F.concat(F.lit("g"), F.col("o_custkey") % 2000).alias("gene"))
+    return E.enrich_ora(lists, sets, pvalue=False)
+
+
+RANKED = "rk AS (SELECT 'g' || p_partkey AS gene, sin(p_partkey) AS stat, row_number() OVER (ORDER BY sin(p_partkey) DESC, p_partkey) AS k, count(*) OVER () AS n FROM part)"
+
+
+@query(f"""WITH {RANKED}, s AS (SELECT DISTINCT p_brand AS gs_id, 'g' || p_partkey AS gene FROM part), j AS (SELECT gs_id, k, n, count(*) OVER (PARTITION BY gs_id) AS z, abs(stat) / sum(abs(stat)) OVER (PARTITION BY gs_id) AS w FROM s JOIN rk USING (gene)),
+r AS (SELECT *, sum(w) OVER (PARTITION BY gs_id ORDER BY k) AS h, row_number() OVER (PARTITION BY gs_id ORDER BY k) AS i FROM j WHERE z BETWEEN 10 AND 500), d AS (SELECT gs_id, z, h - (k - i) / (n - z) AS up, h - (k - i) / (n - z) - w AS down FROM r)
+SELECT gs_id, min(z) AS set_size, CASE WHEN max(up) >= -min(down) THEN max(up) ELSE min(down) END AS es FROM d GROUP BY 1""", ["es"])
+def gsea_score(t):
+    ranked = t.part.select(F.concat(F.lit("g"), "p_partkey").alias("gene"), F.sin("p_partkey").alias("stat"))
+    return E.running_score(ranked, t.part.select(F.col("p_brand").alias("gs_id"), F.concat(F.lit("g"), "p_partkey").alias("gene")))
+
+
+@query("WITH m AS (SELECT DISTINCT 's' || l_suppkey AS gs_id, l_partkey AS gene FROM lineitem), n AS (SELECT gs_id, count(*) AS n FROM m GROUP BY 1), c AS (SELECT a.gs_id AS a, b.gs_id AS b, count(*) AS c FROM m a JOIN m b ON a.gene = b.gene AND a.gs_id < b.gs_id GROUP BY 1, 2) SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM c JOIN n x ON x.gs_id = a JOIN n y ON y.gs_id = b WHERE c / (x.n + y.n - c) >= 0.15", ["jaccard"])
+def term_similarity(t):
+    return E.term_similarity(t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("gs_id"), F.col("l_partkey").alias("gene")), 0.15)
+
+
+@query("SELECT gs_id, sample, avg(value) AS score FROM (SELECT DISTINCT p_brand AS gs_id, p_partkey AS gene FROM part) JOIN (SELECT l_partkey AS gene, l_suppkey % 8 AS sample, l_quantity AS value FROM lineitem) USING (gene) GROUP BY 1, 2", ["score"])
+def group_mean_score(t):
+    return E.group_mean_score(t.lineitem.select(F.col("l_partkey").alias("gene"), (F.col("l_suppkey") % 8).alias("sample"), F.col("l_quantity").alias("value")), t.part.select(F.col("p_brand").alias("gs_id"), F.col("p_partkey").alias("gene")))
+
+
+@query(f"""WITH {COUNTS}, w AS (SELECT 'g' || p_partkey AS symbol, p_brand AS source, p_size - 25.0::DOUBLE AS weight FROM part), n AS (SELECT sample, count(*) AS n, sum(count) AS sy, sum(count * count) AS syy FROM x GROUP BY 1),
+j AS (SELECT source, sample, sum(weight) AS sx, sum(weight * weight) AS sxx, sum(weight * count) AS sxy, sum(weight * count) / nullif(sum(abs(weight)), 0) AS weighted_mean FROM x JOIN w USING (symbol) GROUP BY 1, 2),
+r AS (SELECT source, sample, weighted_mean, n, (sxy - sx * sy / n) / nullif(sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)), 0) AS r FROM j JOIN n USING (sample)) SELECT source, sample, weighted_mean, r * sqrt(n - 2) / nullif(sqrt(1 - r * r), 0) AS ulm FROM r""", ["weighted_mean", "ulm"])
+def activity_ulm(t):
+    w = t.part.select(F.concat(F.lit("g"), "p_partkey").alias("gene"), F.col("p_brand").alias("source"), (F.col("p_size") - 25.0).alias("weight"))
+    return E.activity(counts(t).select(F.col("symbol").alias("gene"), "sample", F.col("count").alias("value")), w)
+
+
+@query("SELECT l_partkey, CASE WHEN p < 0.05 AND lfc > 0.58 THEN 'pos' WHEN p < 0.05 AND lfc < -0.58 THEN 'neg' ELSE 'ns' END AS class, count(*) AS n FROM (SELECT l_partkey, l_discount AS p, log2(l_quantity / 25) AS lfc FROM lineitem) GROUP BY 1, 2")
+def screen_class(t):
+    x = t.lineitem.select("l_partkey", F.col("l_discount").alias("p"), F.log2(F.col("l_quantity") / 25).alias("lfc"))
+    return x.groupBy("l_partkey", E.screen_class(F.col("p"), F.col("lfc")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS id, p_size % 7 / 7 AS neg_score, p_size % 5 / 5 AS pos_score, p_retailprice / 3000 AS np, p_retailprice / 2500 AS pp, p_size AS lfc FROM part)
+SELECT id AS symbol, lfc, CASE WHEN neg_score < pos_score THEN neg_score ELSE pos_score END AS score, CASE WHEN neg_score < pos_score THEN log10(np) ELSE -log10(pp) END AS logpvalue FROM x""", ["score", "logpvalue"])
+def rra_genes(t):
+    s = F.col("p_size")
+    x = t.part.select(F.col("p_partkey").alias("id"), (s % 7 / 7).alias("neg_score"), (s % 5 / 5).alias("pos_score"), (F.col("p_retailprice") / 3000).alias("neg_pvalue"), (F.col("p_retailprice") / 2500).alias("pos_pvalue"), s.alias("neg_lfc"), F.lit(0.1).alias("neg_fdr"), F.lit(0.2).alias("pos_fdr"), F.lit(3).alias("neg_goodsgrna"), F.lit(4).alias("pos_goodsgrna"))
+    return E.rra_genes(x).select("symbol", "lfc", "score", "logpvalue")
+
+
+VARIANTS = "v AS (SELECT 'p' || l_partkey AS gene, l_returnflag AS sample, sum(l_discount * 100)::BIGINT AS alt, sum(l_quantity)::BIGINT AS depth FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {VARIANTS}, w AS (SELECT gene, " + ", ".join(f"coalesce(max(coalesce(alt / nullif(depth, 0), 0)) FILTER (sample = '{s}'), 0) AS {s}_af, coalesce(max(depth) FILTER (sample = '{s}'), 0) AS {s}_depth" for s in "ANR") + " FROM v GROUP BY 1) SELECT * FROM w WHERE A_depth > 300 OR N_depth > 300 OR R_depth > 300", [f"{s}_af" for s in "ANR"])
+def allele_freq_wide(t):
+    v = t.lineitem.groupBy(F.concat(F.lit("p"), "l_partkey").alias("gene"), F.col("l_returnflag").alias("sample")).agg(F.round(F.sum(F.col("l_discount") * 100)).cast("long").alias("t_alt_count"), F.sum("l_quantity").cast("long").alias("t_depth"))
+    return E.frequencies_wide(v, ["gene"], "sample", ["A", "N", "R"], 300)
+
+
+@query("SELECT l_suppkey, " + ", ".join(f"count(*) FILTER (l_returnflag = '{s}') AS {s}" for s in "ANR") + " FROM lineitem WHERE l_linestatus <> 'O' GROUP BY 1")
+def mutation_matrix(t):
+    x = t.lineitem.select("l_suppkey", "l_returnflag", F.col("l_linestatus").alias("Variant_Classification"))
+    return E.mutation_matrix(x, "l_suppkey", "l_returnflag", ["A", "N", "R"], "O")
+
+
+@query("""WITH a AS (SELECT l_partkey AS gene, count(DISTINCT l_suppkey) AS a FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), b AS (SELECT l_partkey AS gene, count(DISTINCT l_suppkey) AS b FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), n AS (SELECT count(DISTINCT l_suppkey) FILTER (l_linestatus = 'O') AS na, count(DISTINCT l_suppkey) FILTER (l_linestatus = 'F') AS nb FROM lineitem)
+SELECT gene, coalesce(a, 0) AS a, coalesce(b, 0) AS b, na, nb, (coalesce(a, 0) + 0.5::DOUBLE) * (nb - coalesce(b, 0) + 0.5::DOUBLE) / ((na - coalesce(a, 0) + 0.5::DOUBLE) * (coalesce(b, 0) + 0.5::DOUBLE)) AS odds_ratio FROM a FULL JOIN b USING (gene), n""", ["odds_ratio"])
+def compare_cohorts(t):
+    x = t.lineitem.select(F.col("l_partkey").alias("gene"), "l_suppkey", "l_linestatus")
+    return E.compare_cohorts(x.where("l_linestatus = 'O'"), x.where("l_linestatus = 'F'"), "gene", "l_suppkey", pvalue=False)
