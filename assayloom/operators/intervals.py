@@ -216,3 +216,72 @@ def union_exon_length(exons: DataFrame, gene: str) -> DataFrame:
     """Places covered by any exon, per gene."""
     merged = reduce_ranges(exons, [gene, "chrom"])
     return merged.groupBy(gene).agg(F.sum(F.col("end") - F.col("start") + 1).alias("length"))
+
+
+# --- Comparisons on counted regions -----------------------------------------------------------------------------------
+
+
+def region_matrix(regions: DataFrame, reads: DataFrame, key: str, sample: str, groups: DataFrame, control: str, names: list[str], size: int = 1000, width: int = 10_000) -> DataFrame:
+    """Per region: body-to-flank ratio of each group's reads in columns, and each group's difference to the control.
+
+    reads carry ``sample``, groups (sample, group) say whose they are.
+    """
+    tagged = reads.join(F.broadcast(groups), sample)  # a row per sample
+    parts = regions.select(key, "chrom", "start", "end").select(key, "chrom", F.inline(F.array(
+        F.struct(F.lit("body").alias("part"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")),
+        F.struct(F.lit("flank").alias("part"), F.greatest(F.col("start") - size, F.lit(1)).cast("long").alias("start"), (F.col("start") - 1).cast("long").alias("end")),
+        F.struct(F.lit("flank").alias("part"), (F.col("end") + 1).cast("long").alias("start"), (F.col("end") + size).cast("long").alias("end")),
+    )))
+    n = overlap_join(parts, tagged.select("chrom", "start", "end", "group"), width).groupBy(key, F.col("group_b").alias("group")).agg(
+        F.sum((F.col("part") == "body").cast("int")).alias("body"), F.sum((F.col("part") == "flank").cast("int")).alias("flank"))
+    wide = n.withColumn("r", ratio(F.col("body"), F.col("flank"))).groupBy(key).pivot("group", names).agg(F.first("r"))
+    return wide.withColumns({f"{g}_diff": F.col(g) - F.col(control) for g in names if g != control}).orderBy(key)
+
+
+def relative_difference(df: DataFrame, group: str, by: list[str], value: str, a: str, b: str) -> DataFrame:
+    """Ratio of two groups' mean values, largest change first."""
+    wide = df.groupBy(*by).pivot(group, [a, b]).agg(F.avg(value))
+    return wide.withColumn("relative_diff", ratio(F.col(a), F.col(b))).orderBy(F.abs(F.log2(F.when(F.col("relative_diff") > 0, F.col("relative_diff")))).desc_nulls_last(), *by)
+
+
+def replicate_profile(matrices: DataFrame, reads: DataFrame | None = None) -> DataFrame:
+    """Mean of the replicates per condition, region and bin; per-million values turned into reads where depths are given."""
+    m = matrices.join(F.broadcast(reads), "sample").withColumn("value", F.col("value") * F.col("reads") / 1e6) if reads is not None else matrices
+    return m.groupBy("condition", "key", "bin").agg(F.avg("value").alias("value"))
+
+
+def category_totals(df: DataFrame, annotation: str, cols: list[str]) -> DataFrame:
+    """Sums per coarse class of the annotation."""
+    return df.groupBy(annotation_class(F.col(annotation)).alias("category")).agg(*[F.sum(c).alias(c) for c in cols])
+
+
+def binding_class(fold: Column, fdr: Column, least: float = 1.0, alpha: float = 0.05) -> Column:
+    return F.when((fdr < alpha) & (fold >= least), "Gain").when((fdr < alpha) & (fold <= -least), "Loss").otherwise("NS")
+
+
+def direction_class(lfc: Column, cpm: Column, least: float = 1.0, low: float = 1.0) -> Column:
+    """up, down, up_low, down_low (few reads) or others."""
+    return F.when((lfc >= least) & (cpm >= low), "up").when((lfc <= -least) & (cpm >= low), "down").when(lfc >= least, "up_low").when(lfc <= -least, "down_low").otherwise("others")
+
+
+def cross_expression(peaks: DataFrame, genes: DataFrame, gene: str = "symbol", fold: str = "fold") -> DataFrame:
+    """Mean fold of each gene's promoter peaks beside its expression change."""
+    p = peaks.where("promoter").groupBy(gene).agg(F.avg(fold).alias("fold_peak"), F.count(F.lit(1)).alias("n_peaks"))
+    return p.join(genes.select(gene, F.col("log2FoldChange").alias("lfc_rna")), gene)
+
+
+def frip(reads: DataFrame, peaks: DataFrame, key: str, sample: str) -> DataFrame:
+    """Share of each sample's reads that overlap a peak."""
+    hit = overlaps_any(reads, peaks.select("chrom", "start", "end"), key)
+    return hit.groupBy(sample).agg(F.count(F.lit(1)).alias("reads"), F.avg(F.col("overlaps").cast("double")).alias("frip"))
+
+
+def fragment_lengths(fragments: DataFrame, sample: str) -> DataFrame:
+    return fragments.groupBy(sample, (F.col("end") - F.col("start") + 1).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bin_signal(signal: DataFrame, sample: str, width: int) -> DataFrame:
+    """Mean signal of fixed bins of the genome per sample, weighted by the places it covers."""
+    x = binned(signal, width)
+    shared = F.least(F.col("end"), (F.col("_bin") + 1) * width - 1) - F.greatest(F.col("start"), F.col("_bin") * width) + 1
+    return x.groupBy(sample, "chrom", F.col("_bin").alias("bin")).agg((F.sum(F.col("score") * shared) / width).alias("value"))

@@ -178,6 +178,31 @@ def test_nearest_consensus_regions(spark):
     assert [v[1] for v in values(m, "bin", "value")] == [0.0, 2.0, 0.0, 0.0] and intervals.matrix_order(m, "k").count() == 1
 
 
+def test_region_comparisons(spark):
+    reads = spark.createDataFrame([("a", "c", 10, 12), ("a", "c", 11, 15), ("a", "c", 5, 6), ("b", "c", 12, 13), ("b", "c", 2, 3), ("b", "c", 31, 33)], "sample string, chrom string, start long, end long").withColumn("k", F.monotonically_increasing_id())
+    regions = spark.createDataFrame([(1, "c", 10, 20)], "key int, chrom string, start long, end long")
+    groups = spark.createDataFrame([("a", "t"), ("b", "n")], "sample string, group string")
+    row = intervals.region_matrix(regions, reads, "key", "sample", groups, "n", ["n", "t"], 20).first()
+    assert (row.n, row.t, row.t_diff) == (0.5, 2.0, 1.5)
+    assert values(intervals.frip(reads, regions, "k", "sample"), "sample", "reads", "frip") == [("a", 3, 2 / 3), ("b", 3, 1 / 3)]
+    assert values(intervals.fragment_lengths(reads, "sample"), "sample", "length", "n") == [("a", 2, 1), ("a", 3, 1), ("a", 5, 1), ("b", 2, 2), ("b", 3, 1)]
+    sig = spark.createDataFrame([("s", "c", 5, 14, 2.0)], "sample string, chrom string, start long, end long, score double")
+    assert values(intervals.bin_signal(sig, "sample", 10), "bin", "value") == [(0, 1.0), (1, 1.0)]
+    d = intervals.relative_difference(spark.createDataFrame([("x", "a", 2.0), ("x", "b", 4.0), ("y", "a", 1.0), ("y", "b", 1.0)], "k string, g string, v double"), "g", ["k"], "v", "a", "b")
+    assert [(r.k, r.relative_diff) for r in d.collect()] == [("x", 0.5), ("y", 1.0)]
+    c = spark.createDataFrame([(2.0, 0.01, 5.0), (-2.0, 0.01, 0.5), (0.1, 0.01, 1.0)], "f double, p double, c double")
+    assert [tuple(r) for r in c.select(intervals.binding_class(F.col("f"), F.col("p")), intervals.direction_class(F.col("f"), F.col("c"))).collect()] == [("Gain", "up"), ("Loss", "down_low"), ("NS", "others")]
+    cat = intervals.category_totals(spark.createDataFrame([("Promoter (1kb)", 1), ("Intron 2", 2), ("Distal Intergenic", 4), ("Exon 1", 8)], "a string, n int"), "a", ["n"])
+    assert values(cat, "category", "n") == [("Distal", 4), ("Gene Body", 10), ("Promoter", 1)]
+    x = intervals.cross_expression(spark.createDataFrame([("g", 2.0, True), ("g", 4.0, True), ("h", 1.0, False)], "symbol string, fold double, promoter boolean"), spark.createDataFrame([("g", 1.5), ("h", 2.0)], "symbol string, log2FoldChange double"))
+    assert values(x, "symbol", "fold_peak", "lfc_rna") == [("g", 3.0, 1.5)]
+    prof = intervals.replicate_profile(spark.createDataFrame([("x", "r1", 1, 0, 1.0), ("x", "r2", 1, 0, 3.0)], "condition string, sample string, key int, bin int, value double"), spark.createDataFrame([("r1", 1e6), ("r2", 2e6)], "sample string, reads double"))
+    assert values(prof, "value") == [(3.5,)]
+    sim = expression.term_similarity(spark.createDataFrame([(t, g) for t, gs in {"a": "xyz", "b": "xyw", "c": "pqr"}.items() for g in gs], "gs_id string, gene string"))
+    assert values(sim, "a", "b", "jaccard") == [("a", "b", 0.5)]
+    assert values(expression.term_clusters(sim, spark.createDataFrame([("a",), ("b",), ("c",)], "gs_id string")), "gs_id", "cluster") == [("a", "a"), ("b", "a"), ("c", "c")]
+
+
 # --- Sequence design --------------------------------------------------------------------------------------------------
 
 
