@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm.shingles import windows
-from assayloom.llm.worker import held
+from assayloom.llm.worker import held, tidy
 from assayloom.session import small_batches
 
 WINDOW = 8
@@ -34,7 +34,7 @@ LEAST_WORDS = 4
 COVER = 0.5
 LEAST_CONSISTENT = 0.8
 BLOCK_WINDOWS = 500_000
-MEMO = 600_000
+MEMO = 300_000
 BITS = 20
 #: Words of a text handled at a time; parts overlap by the longest item.
 PART = 400_000
@@ -225,6 +225,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 frame = pd.DataFrame(found, columns=["doc_id", "item_id", "n_tokens", "cover", "consistency", "same_slots", "first_word", "last_word"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "same_slots": bool})
 
-        one = small_batches(rows).mapInPandas(run, schema)
+        one = small_batches(rows).mapInPandas(tidy(run), schema)
         out = one if out is None else out.unionByName(one)
     return out

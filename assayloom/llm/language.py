@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.worker import held
+from assayloom.llm.worker import held, tidy
 from assayloom.session import small_batches
 
 #: At most about so many labelled documents are fitted, in all languages together.
@@ -29,7 +29,7 @@ TRAIN_DOCS = 4000
 MAX_WORDS = 120_000
 MAX_GRAMS = 120_000
 #: Unseen words whose scores a worker remembers.
-MEMO = 300_000
+MEMO = 200_000
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             out["score"] = [f[1] for f in found]
             yield out
 
-    return small_batches(rows).mapInPandas(run, schema)
+    return small_batches(rows).mapInPandas(tidy(run), schema)
 
 
 def train(docs: DataFrame, bound: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.llm.worker import tidy
 from assayloom.session import small_batches
 
 SIDE, BLOCKS = 24, 9
@@ -383,7 +384,7 @@ def clips(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> Da
             found = pd.DataFrame(out, columns=schema.names)
             yield found.astype({"clip": "Int32", "start_ms": "Int64", "end_ms": "Int64", "n_frames": "Int32"})
 
-    return small_batches(rows).mapInPandas(run, schema)
+    return small_batches(rows).mapInPandas(tidy(run), schema)
 
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,4 +409,4 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield found.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return small_batches(rows).mapInPandas(run, schema)
+    return small_batches(rows).mapInPandas(tidy(run), schema)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm import shingles
+from assayloom.llm.worker import tidy
 from assayloom.session import materialize, small_batches
 
 WORDS = 5
@@ -90,7 +91,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     bands.append(band_keys(signature(found)) if len(found) else None)
                 yield pd.DataFrame({"id": part["id"].astype("Int64"), "n": sizes, "digest": digests, "bands": bands})
 
-    return small_batches(rows).mapInPandas(run, "id long, n long, digest binary, bands array<long>")
+    return small_batches(rows).mapInPandas(tidy(run), "id long, n long, digest binary, bands array<long>")
 
 
 def similar_sizes(a: str, b: str):
@@ -110,7 +111,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                 part = batch.iloc[at : at + 500]
                 yield pd.DataFrame({"id": part["id"], "shingles": [shingles.shingle_set(bytes(d), WORDS).view(np.int64) for d in part["data"]]})
 
-    return small_batches(rows).join(wanted, "id", "left_semi").mapInPandas(run, "id long, shingles array<long>")
+    return small_batches(rows).join(wanted, "id", "left_semi").mapInPandas(tidy(run), "id long, shingles array<long>")
 
 
 def size_class(n: str) -> str:

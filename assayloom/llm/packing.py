@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from assayloom.llm.tokens import encoder
+from assayloom.llm.worker import tidy
 from assayloom.session import materialize, small_batches
 
 SEQUENCE = 2048
@@ -122,7 +123,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUE
                 found = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
                 yield found.astype({"doc_id": "Int64"})
 
-    return small_batches(rows).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return small_batches(rows).mapInPandas(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, style: str, limits: tuple[int, int, int] = (SEQUENCE, 256, SEQUENCE), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,4 +153,4 @@ def conversation_pieces(turns: DataFrame, tokenizer: str, style: str, size: int
                     out.append((conv, turn, start, length, length if role in loss_roles else 0))
             yield pd.DataFrame(out, columns=["conv_id", "turn", "start", "length", "loss"])
 
-    return small_batches(rows).mapInPandas(run, "conv_id long, turn long, start long, length long, loss long")
+    return small_batches(rows).mapInPandas(tidy(run), "conv_id long, turn long, start long, length long, loss long")

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.llm.worker import tidy
 from assayloom.session import small_batches
 
 BASE = ("assign", "access", "hex")
@@ -213,4 +214,4 @@ def find_secrets(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
                     out.append([{"kind": c[0], "start": c[1], "end": c[2], "score": c[3]} for c in sorted(kept, key=lambda c: (c[1], KINDS.index(c[0]), c[2]))])
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "found": out})
 
-    return small_batches(rows).mapInPandas(run, "doc_id long, found array<struct<kind: string, start: int, end: int, score: double>>")
+    return small_batches(rows).mapInPandas(tidy(run), "doc_id long, found array<struct<kind: string, start: int, end: int, score: double>>")

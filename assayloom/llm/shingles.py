@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
-from assayloom.llm.worker import held
-
-#: Words that a worker remembers the hash of.
-MEMO = 400_000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -29,10 +17,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+MULTIPLIER = 0x9E3779B97F4A7C15
+#: Bytes hashed at a time.
+BLOCK = 1 << 20
+
+
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2**64."""
+    up = np.ones(BLOCK, np.uint64)
+    down = np.ones(BLOCK, np.uint64)
+    up[1:], down[1:] = np.uint64(MULTIPLIER), np.uint64(pow(MULTIPLIER, -1, 1 << 64))
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of bytes, in order and without overlap: a polynomial over the bytes, then a bijective mix
+    with the length. Never 0."""
+    out = np.empty(len(starts), np.uint64)
+    up, down = powers()
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, base + BLOCK - 1, "right")))
+        s, e = starts[first:last] - base, ends[first:last] - base
+        if e[-1] >= BLOCK:  # one piece longer than a block
+            out[first] = xxhash.xxh64_intdigest(data[base : base + int(e[-1])].tobytes())
+        else:
+            sums = np.zeros(int(e[-1]) + 1, np.uint64)
+            np.cumsum((data[base : base + int(e[-1])].astype(np.uint64) + np.uint64(1)) * up[: int(e[-1])], out=sums[1:])
+            out[first:last] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        first = last
+    out[out == 0] = 1
+    return out
+
+
 def words_of(data: bytes) -> np.ndarray:
     """Hashes of the words of UTF-8 text: A-Z lower-cased, cut at the space and 0x09 to 0x0D."""
-    words = data.lower().split()
-    return np.fromiter(map(held("words", WordHashes).__getitem__, words), np.uint64, len(words))
+    view = np.frombuffer(data.lower(), np.uint8)
+    word = (view != 32) & ((view < 9) | (view > 13))
+    edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts = np.flatnonzero(edge == 1)
+    return piece_hashes(view, starts, np.flatnonzero(edge == -1)) if len(starts) else np.zeros(0, np.uint64)
 
 
 def windows(words: np.ndarray, n: int) -> np.ndarray:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayloom.llm.tokens import encoder
+from assayloom.llm.worker import tidy
 from assayloom.session import materialize, small_batches
 
 WINDOW, CUT_BITS = 16, 9
@@ -134,7 +135,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, style: str, width: i
                 yield found.astype({"doc_id": "Int64", "n_tokens": "Int64"})
 
     schema = "kind string, key binary, data binary, doc_id long, n_tokens long, root binary"
-    blobs = small_batches(rows).mapInPandas(run, schema).groupBy("kind", "key").agg(
+    blobs = small_batches(rows).mapInPandas(tidy(run), schema).groupBy("kind", "key").agg(
         F.first("data").alias("data"), F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.count(F.lit(1)).alias("copies"),
     )
     blobs.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blobs")
@@ -172,7 +173,7 @@ def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             b["ids"] = [np.frombuffer(b"".join(p), f"<u{width}").astype(np.int64) for p in b.pop("parts")]
             yield b
 
-    return joined.mapInPandas(run, "doc_id long, n_tokens long, ids array<long>")
+    return joined.mapInPandas(tidy(run), "doc_id long, n_tokens long, ids array<long>")
 
 
 def _times(a: int, b: int) -> int:
@@ -228,7 +229,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 n.append(len(ids))
             yield pd.DataFrame({"key": b["key"], "n": n, "crc": crc})
 
-    chunks = read_chunks(spark, path).mapInPandas(check, "key binary, n long, crc long")
+    chunks = read_chunks(spark, path).mapInPandas(tidy(check), "key binary, n long, crc long")
     recipes = read_recipes(spark, path)
     steps = recipe_steps(recipes).join(chunks, "key").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "n", "crc", "key"))).alias("parts"))
 
@@ -245,7 +246,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 roots.append(merkle([bytes(p["key"]) for p in parts]))
             yield pd.DataFrame({"k": b["k"], "ids_crc32": crcs, "found": sizes, "n_chunks": b["parts"].map(len), "root": roots})
 
-    built = steps.mapInPandas(build, "k long, ids_crc32 long, found long, n_chunks int, root binary")
+    built = steps.mapInPandas(tidy(build), "k long, ids_crc32 long, found long, n_chunks int, root binary")
     sums = recipes.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row per part of the files

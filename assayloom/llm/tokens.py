@@ -11,18 +11,16 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
-import xxhash
 
-from assayloom.llm.shingles import mix
+from assayloom.llm.shingles import piece_hashes
 from assayloom.llm.worker import held
 
 #: Segments that a worker remembers, about.
-MEMO = 1_500_000
+MEMO = 1_000_000
 #: Texts are encoded in groups of at most so many characters or one text.
-GROUP = 1_000_000
+GROUP = 600_000
 #: White space other than the space and the line feed.
 RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -48,41 +46,6 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
-MULTIPLIER = 0x9E3779B97F4A7C15
-#: Bytes hashed at a time.
-BLOCK = 1 << 20
-
-
-@lru_cache(1)
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64."""
-    up = np.ones(BLOCK, np.uint64)
-    down = np.ones(BLOCK, np.uint64)
-    up[1:], down[1:] = np.uint64(MULTIPLIER), np.uint64(pow(MULTIPLIER, -1, 1 << 64))
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pieces of bytes, in order and without overlap: a polynomial over the bytes, then a bijective mix
-    with the length. Never 0."""
-    out = np.empty(len(starts), np.uint64)
-    up, down = powers()
-    first = 0
-    while first < len(starts):
-        base = int(starts[first])
-        last = max(first + 1, int(np.searchsorted(ends, base + BLOCK - 1, "right")))
-        s, e = starts[first:last] - base, ends[first:last] - base
-        if e[-1] >= BLOCK:  # one piece longer than a block
-            out[first] = xxhash.xxh64_intdigest(data[base : base + int(e[-1])].tobytes())
-        else:
-            sums = np.zeros(int(e[-1]) + 1, np.uint64)
-            np.cumsum((data[base : base + int(e[-1])].astype(np.uint64) + np.uint64(1)) * up[: int(e[-1])], out=sums[1:])
-            out[first:last] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        first = last
-    out[out == 0] = 1
-    return out
-
-
 class Memo:
     """An open-addressing table in arrays: number of each hash; unknown ones get the next numbers."""
 
@@ -240,10 +203,11 @@ class Encoder:
         fresh = [found[i] for i in range(len(plain))]
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         total, end = int(sizes.sum()), first + len(fresh)
-        while len(self.start) < end:
-            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
-        while len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat, self.flat])
+        if len(self.start) < end:
+            more = np.zeros(max(end - len(self.start), len(self.start) // 2), np.int32)
+            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
+        if len(self.flat) < self.used + total:
+            self.flat = np.concatenate([self.flat, np.zeros(max(self.used + total - len(self.flat), len(self.flat) // 2), np.uint32)])
         self.flat[self.used : self.used + total] = np.concatenate(fresh)
         self.length[first:end] = sizes
         self.start[first:end] = self.used + np.cumsum(sizes) - sizes

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.llm.worker import tidy
 from assayloom.session import small_batches
 
 #: At most about so many labelled documents are fitted.
@@ -189,4 +190,4 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             out["score"] = [scorer.score(t if isinstance(t, str) else None) for t in batch["_text"]]
             yield out
 
-    return small_batches(rows).mapInPandas(run, schema)
+    return small_batches(rows).mapInPandas(tidy(run), schema)

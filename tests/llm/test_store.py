@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from assayloom.llm import store, tokens
+from assayloom.llm import shingles, store, tokens
 
 STYLES = [("word_bpe_49k.json", "drop"), ("byte_bpe_50k.json", "space")]
 ODD = ["", "a", " a", "a ", "  ", "a  b", "a\n b", "a \nb", "\n\n\nx", "it's 's ' s 12 3a", "a\x00b \x00c", "a\x01 \x01b", "x\xa0y z", "é́ ́a", "<|endoftext|> x", "😀 😀a", "a\tb", "foo.\nBar b", "\nx", "x\n", " \x00"]
@@ -24,12 +24,12 @@ def test_ids_equal_the_library(name, style):
         assert [x.tolist() for x in encode.encode(texts)] == encode.direct(texts)
 
     any_texts()
-    memo, block = tokens.MEMO, tokens.BLOCK
+    memo, block = tokens.MEMO, shingles.BLOCK
     try:
-        tokens.MEMO, tokens.BLOCK = 3, 50  # forgets all the time, hashes in small blocks
+        tokens.MEMO, shingles.BLOCK = 3, 50  # forgets all the time, hashes in small blocks
         assert [x.tolist() for x in encode.encode(ODD * 3)] == encode.direct(ODD * 3)
     finally:
-        tokens.MEMO, tokens.BLOCK = memo, block
+        tokens.MEMO, shingles.BLOCK = memo, block
 
 
 def test_cuts_cover_and_realign():
