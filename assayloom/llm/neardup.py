@@ -161,7 +161,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> Da
     left = pairs.join(sets("a").withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
     both = left.join(sets("b").withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sum"))
-    return both.where(F.expr(f"100 * common >= {PERCENT} * (sum - common)")).select("a", "b").distinct()
+    return both.where(F.expr(f"100 * common >= {PERCENT} * (sum - common)")).select("a", "b")
 
 
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = confirm(docs, pairs, id_col, text_col)
 
     labels = materialize(components(links.unionByName(more)), "labels")
-    classes = labelled(reps.select("digest", "id"), labels).select("digest", F.col("label").alias("_label"))
+    # Written first, so that the join below is between two shuffles and a digest of very many copies can be split.
+    classes = materialize(labelled(reps.select("digest", "id"), labels).select("digest", F.col("label").alias("_label")), "classes")
     out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(classes, "digest", "left")
     component = F.coalesce("_label", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -269,8 +269,8 @@ def listed(spans: str) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one, of the first kind.
 
-    Rows are matched with their spans by position in neither table: candidates are found in the same select as the text
-    they replace, so repeated ids do no harm. All columns stay.
+    A row travels with its own candidates, so nothing is joined and repeated ids do no harm. Null and empty texts stay as
+    they are; all columns stay. Texts are searched twice: for the counts that train the classifier, then to replace.
     """
     found = find_candidates(docs.select(F.struct("*").alias("_row"), F.col(text_col)), "_row", text_col)
     model = fit(count_candidates(find_candidates(docs, id_col, text_col)))

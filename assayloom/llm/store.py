@@ -186,14 +186,12 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-@lru_cache(8192)
-def shift_table(n: int) -> list[list[int]]:
-    """Tables that carry a CRC-32 over ``n`` further bytes, one for each byte of it."""
-    power, square, left = 1 << 31, 1 << 23, n  # 1 and x ** 8
-    while left:
-        if left & 1:
-            power = _times(power, square)
-        square, left = _times(square, square), left >> 1
+@lru_cache(64)
+def shift_table(k: int) -> tuple[list[int], ...]:
+    """Tables that carry a CRC-32 over 2**k further bytes, one for each byte of it."""
+    power = 1 << 23  # x ** 8
+    for _ in range(k):
+        power = _times(power, power)
     bits = [_times(power, 1 << i) for i in range(32)]
     tables = []
     for j in range(4):
@@ -201,13 +199,18 @@ def shift_table(n: int) -> list[list[int]]:
         for i in range(8):
             t += [x ^ bits[8 * j + i] for x in t]
         tables.append(t)
-    return tables
+    return tuple(tables)
 
 
 def crc32_join(first: int, second: int, second_bytes: int) -> int:
     """CRC-32 of two strings put together, from theirs."""
-    a, b, c, d = shift_table(second_bytes)
-    return a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24] ^ second
+    k = 0
+    while second_bytes:
+        if second_bytes & 1:
+            a, b, c, d = shift_table(k)
+            first = a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24]
+        second_bytes, k = second_bytes >> 1, k + 1
+    return first ^ second
 
 
 def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -229,7 +232,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 n.append(len(ids))
             yield pd.DataFrame({"key": b["key"], "n": n, "crc": crc})
 
-    chunks = read_chunks(spark, path).mapInPandas(tidy(check), "key binary, n long, crc long")
+    chunks = read_chunks(spark, path).mapInPandas(check, "key binary, n long, crc long")
     recipes = read_recipes(spark, path)
     steps = recipe_steps(recipes).join(chunks, "key").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "n", "crc", "key"))).alias("parts"))
 
@@ -246,7 +249,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 roots.append(merkle([bytes(p["key"]) for p in parts]))
             yield pd.DataFrame({"k": b["k"], "ids_crc32": crcs, "found": sizes, "n_chunks": b["parts"].map(len), "root": roots})
 
-    built = steps.mapInPandas(tidy(build), "k long, ids_crc32 long, found long, n_chunks int, root binary")
+    built = steps.mapInPandas(build, "k long, ids_crc32 long, found long, n_chunks int, root binary")
     sums = recipes.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row per part of the files

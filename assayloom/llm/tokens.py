@@ -18,7 +18,7 @@ from assayloom.llm.shingles import piece_hashes
 from assayloom.llm.worker import held
 
 #: Segments that a worker remembers, about.
-MEMO = 1_000_000
+MEMO = 1_500_000
 #: Texts are encoded in groups of at most so many characters or one text.
 GROUP = 600_000
 #: White space other than the space and the line feed.

@@ -8,6 +8,8 @@ import gc
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import pyarrow
+
 _HELD: dict[Hashable, Any] = {}
 
 
@@ -18,18 +20,27 @@ def release() -> None:
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The function of a task's batches, with free memory given back at its end: idle workers stay for a while."""
+    """The function of a task's batches, with free memory given back now and then, and at its end: idle workers stay for
+    a while, and what their allocators keep counts against the executor."""
 
     def inner(batches: Iterator) -> Iterator:
-        yield from run(batches)
+        for i, out in enumerate(run(batches)):
+            yield out
+            if i % 4 == 3:
+                give_back()
         trim()
 
     return inner
 
 
 def trim() -> None:
-    """Give free memory back to the system where the C library can."""
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow's pool and, where the C library can, of the heap goes back to the system."""
+    pyarrow.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
@@ -41,4 +52,5 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in _HELD:
         release()
         _HELD[key] = make()
+        trim()
     return _HELD[key]
