@@ -27,6 +27,8 @@ SEQUENCE = 2048
 #: Pieces per block, about.
 BLOCK = 8192
 END = 1
+#: Pieces of text that a worker remembers the ids of; fewer than it could, as pipelines end with packing.
+REMEMBERED = 1_000_000
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
@@ -108,7 +110,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUE
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, style)
+        encode = encoder(tokenizer, style, REMEMBERED)
         for batch in batches:
             names, texts = batch["doc_id"].tolist(), batch["_text"].tolist()
             for at in range(0, len(texts), 1024):
@@ -143,7 +145,7 @@ def conversation_pieces(turns: DataFrame, tokenizer: str, style: str, size: int
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, style)
+        encode = encoder(tokenizer, style, REMEMBERED)
         for batch in batches:
             out = []
             for conv, turn, role, ids in zip(batch["conv_id"], batch["turn"], batch["role"], encode.encode(batch["_text"].tolist()), strict=True):

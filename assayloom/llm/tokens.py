@@ -18,7 +18,7 @@ from assayloom.llm.shingles import piece_hashes
 from assayloom.llm.worker import held
 
 #: Segments that a worker remembers, about.
-MEMO = 1_500_000
+MEMO = 2_500_000
 #: Texts are encoded in groups of at most so many characters or one text.
 GROUP = 600_000
 #: White space other than the space and the line feed.
@@ -68,7 +68,7 @@ class Memo:
 
     def add(self, hashes: np.ndarray) -> None:
         """Number distinct unknown hashes in order."""
-        while 2 * (self.size + len(hashes)) > len(self.keys):
+        while 10 * (self.size + len(hashes)) > 7 * len(self.keys):
             keys, values = self.keys[self.keys != 0], self.values[self.keys != 0]
             self.bits += 1
             self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
@@ -90,7 +90,7 @@ class Memo:
 class Encoder:
     """Ids of whole texts; special strings in a text are ordinary text."""
 
-    def __init__(self, path: str, style: str) -> None:
+    def __init__(self, path: str, style: str, most: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,7 +98,7 @@ class Encoder:
             raise ValueError("style must be space or drop")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.style = style
+        self.style, self.most = style, most
         # The same model without its text handling, for words of which the result of that handling is plain.
         bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.bare, self.letters = Tokenizer.from_str(json.dumps(bare)), byte_letters()
@@ -136,7 +136,8 @@ class Encoder:
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         odd = [i for i, t in enumerate(texts) if self.whole(t)]
         ids = dict(zip(odd, self.direct([texts[i] for i in odd]), strict=True))
-        if self.memo.size > MEMO or self.used > 8 * MEMO:
+        most = self.most or MEMO
+        if self.memo.size > most or self.used > 8 * most:
             self.forget()
         parts = [b"" if i in ids else t.encode() for i, t in enumerate(texts)]
         data = b"".join(parts)
@@ -214,6 +215,6 @@ class Encoder:
         self.used += total
 
 
-def encoder(path: str, style: str) -> Encoder:
-    """The encoder of this worker, kept from task to task."""
-    return held(("encoder", path, style), lambda: Encoder(path, style))
+def encoder(path: str, style: str, most: int | None = None) -> Encoder:
+    """The encoder of this worker, kept from task to task; it remembers ``most`` pieces, ``MEMO`` by default."""
+    return held(("encoder", path, style, most), lambda: Encoder(path, style, most))
