@@ -34,7 +34,7 @@ LEAST_WORDS = 4
 COVER = 0.5
 LEAST_CONSISTENT = 0.8
 BLOCK_WINDOWS = 500_000
-MEMO = 300_000
+MEMO = 600_000
 BITS = 20
 #: Words of a text handled at a time; parts overlap by the longest item.
 PART = 400_000
