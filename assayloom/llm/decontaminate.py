@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a row of tokens in which numbers, units (after a number) and names (capitalised inside a sentence) are
-typed placeholders and all other words are lower-cased without outer punctuation. Windows of ``WINDOW`` tokens of a
+A text becomes a row of tokens in which numbers, units (after a number) and names are typed placeholders and all other
+words are lower-cased without outer punctuation; a run of numbers or of names is one placeholder. Two readings are
+indexed: names are the words capitalised inside a sentence, or all capitalised words. Windows of ``WINDOW`` tokens of a
 benchmark item and of a document that are equal as templates are matches, whatever stands in the slots. On each diagonal
 (document place minus item place) the slots of the matched stretch are compared: a question that was only given other
 numbers or names maps each slot value to one value, and no two to the same; what breaks that in more than a fifth of its
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.shingles import windows
+from assayloom.llm.shingles import mix
 from assayloom.llm.worker import held, tidy
 from assayloom.session import small_batches
 
@@ -38,6 +39,8 @@ MEMO = 600_000
 BITS = 20
 #: Words of a text handled at a time; parts overlap by the longest item.
 PART = 400_000
+#: Words of short texts handled together, about.
+TOGETHER = 40_000
 
 # Fixed values of the canonical forms.
 UNITS = frozenset("mm cm m km mg g kg t ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years inch inches ft foot feet yard yards mile miles oz lb lbs pound pounds mph kmh percent degree degrees dollar dollars euro euros cent cents usd eur gb mb kb tb hz khz mhz ghz w kw mw v mv a ma".split())
@@ -45,6 +48,8 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%|[$€£])?")
 OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%$€£]+$")
 IS_NUMBER, IS_UNIT, IS_CAPITAL, ENDS, IS_EMPTY = 1, 2, 4, 8, 16
+#: Words that no text has, before a text and before a part that goes on inside a sentence: no window spans them.
+BEFORE, BEFORE_INSIDE = " ", "  "
 SLOTS = {name: xxhash.xxh64_intdigest(f"<{name}>") for name in ("number", "unit", "name")}
 
 
@@ -67,6 +72,8 @@ class Lexicon(dict):
 
     def read(self, word: str) -> tuple[int, int]:
         """Hash of the bare form, and flags."""
+        if word in (BEFORE, BEFORE_INSIDE):
+            return xxhash.xxh64_intdigest(word), ENDS if word == BEFORE else 0
         bare = word if word.isalpha() else OUTER.sub("", word)
         low = bare.lower()
         flag = ENDS if word.rstrip("\"')]}»”’")[-1:] in ".!?:" else 0
@@ -80,11 +87,8 @@ class Lexicon(dict):
             flag |= IS_CAPITAL
         return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), flag
 
-    def canonical(self, words: list[str], inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token hashes, whether each is a placeholder, and its word's place; words without letter or digit are left out.
-
-        inside: the first word follows one that doesn't end a sentence.
-        """
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and flags of each word, and its place; words without letter or digit are left out."""
         if len(self) > MEMO:
             self.forget()
         places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -96,108 +100,198 @@ class Lexicon(dict):
             self.waiting = []
         token, flag = self.hashes[places], self.flags[places]
         at = np.flatnonzero(flag & IS_EMPTY == 0)
-        if len(at) < len(token):
-            token, flag = token[at], flag[at]
-        number = flag & IS_NUMBER > 0
-        before = np.concatenate([[False], number[:-1]]) if len(number) else number
-        unit = (flag & IS_UNIT > 0) & before
-        open_ = np.concatenate([[not inside], flag[:-1] & ENDS > 0]) if len(flag) else number
-        name = (flag & IS_CAPITAL > 0) & ~open_ & ~number & ~unit
-        token = token.copy()
-        token[number], token[unit], token[name] = SLOTS["number"], SLOTS["unit"], SLOTS["name"]
-        return token, number | unit | name, at
+        return token[at], flag[at], at
+
+
+@dataclass
+class Reading:
+    """Tokens of one reading: hashes, whether each is a placeholder, and the first word of each (and the end)."""
+
+    token: np.ndarray
+    slot: np.ndarray
+    start: np.ndarray
+
+
+def readings(token: np.ndarray, flag: np.ndarray) -> list[Reading]:
+    """Names inside sentences; all capitalised words as names."""
+    number, ends = flag & IS_NUMBER > 0, flag & ENDS > 0
+    after = np.zeros(len(flag), bool)
+    after[1:] = number[:-1]
+    unit = (flag & IS_UNIT > 0) & after & ~number
+    capital = (flag & IS_CAPITAL > 0) & ~number & ~unit
+    opens = np.ones(len(flag), bool)
+    opens[1:] = ends[:-1]
+    out = []
+    for name in (capital & ~opens, capital):
+        typed = token.copy()
+        typed[number], typed[unit], typed[name] = SLOTS["number"], SLOTS["unit"], SLOTS["name"]
+        first = np.ones(len(flag), bool)
+        first[1:] = ends[:-1] | ~((number[1:] & number[:-1]) | (name[1:] & name[:-1]))
+        start = np.flatnonzero(first)
+        out.append(Reading(typed[start], (number | unit | name)[start], np.append(start, len(flag))))
+    return out
+
+
+class Runs:
+    """Hashes of the windows of a row of tokens, from those of half the width."""
+
+    def __init__(self, token: np.ndarray) -> None:
+        self.by = {1: token}
+
+    def of(self, n: int) -> np.ndarray:
+        if n not in self.by:
+            half = 1 << ((n - 1).bit_length() - 1)
+            a = self.of(half)
+            self.by[n] = mix(a[: len(a) - (n - half)] * np.uint64(0x9E3779B97F4A7C15) + a[n - half :] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)) if len(a) > n - half else a[:0]
+        return self.by[n]
+
+
+def salted(found: np.ndarray, reading: int, n: int) -> np.ndarray:
+    """Windows of another reading or width have other hashes; bijective, and spread by the product."""
+    return (found ^ np.uint64(reading * 64 + n)) * np.uint64(0xA0761D6478BD642F)
 
 
 @dataclass
 class Item:
     item_id: int
     words: list[str]
-    slot: np.ndarray
+    readings: list[Reading]
 
 
 def bare(word: str) -> str:
     return OUTER.sub("", word).lower()
 
 
+def value(words: list[str]) -> str:
+    return " ".join(map(bare, words))
+
+
 class Index:
     """Windows of the benchmark items, sorted by hash."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
-        lexicon, self.items, self.short = Lexicon(), [], defaultdict(list)
-        hashes, items, places = [], [], []
+        lexicon, self.items = Lexicon(), []
+        hashes, items, places, kinds = [], [], [], []
         for item_id, text in rows:
             words = text.split()
-            token, slot, at = lexicon.canonical(words)
+            token, flag, at = lexicon.tokens(words)
             if not len(token):
                 continue
             number = len(self.items)
-            self.items.append(Item(item_id, [words[i] for i in at.tolist()], slot))
-            n = min(WINDOW, len(token))
-            found = windows(token, n)
-            plain = np.convolve(~slot, np.ones(n, int), "valid") >= min(LEAST_WORDS, n)
-            if n < WINDOW:
-                if plain[0]:
-                    self.short[n].append((int(found[0]), number))
-                continue
-            keep = np.flatnonzero(plain)
-            hashes.append(found[keep])
-            items.append(np.full(len(keep), number))
-            places.append(keep)
+            self.items.append(Item(item_id, [words[i] for i in at.tolist()], readings(token, flag)))
+            for r, reading in enumerate(self.items[-1].readings):
+                runs = Runs(reading.token)
+                for n, least in self.widths(r, len(reading.token)):
+                    keep = np.flatnonzero(np.convolve(~reading.slot, np.ones(n, int), "valid") >= least)
+                    hashes.append(salted(runs.of(n)[keep], r, n))
+                    items.append(np.full(len(keep), number))
+                    places.append(keep)
+                    kinds.append(np.full(len(keep), r * 64 + n))
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(self.hash, kind="stable")
         self.hash = self.hash[order]
-        self.item = np.concatenate(items)[order] if items else np.zeros(0, int)
-        self.place = np.concatenate(places)[order] if places else np.zeros(0, int)
+        self.item, self.place, self.kind = (np.concatenate(x)[order].astype(np.int32) if x else np.zeros(0, np.int32) for x in (items, places, kinds))
+        self.kinds = [(int(k) // 64, int(k) % 64) for k in np.unique(self.kind)]
         self.here = np.zeros(1 << BITS, bool)
         self.here[self.hash >> np.uint64(64 - BITS)] = True
         self.longest = max((len(i.words) for i in self.items), default=0)
 
-    def hits(self, token: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, place in the document, place in the item) of all equal windows."""
-        out = []
-        if len(token) >= WINDOW and len(self.hash):
-            found = windows(token, WINDOW)
-            maybe = np.flatnonzero(self.here[found >> np.uint64(64 - BITS)])
-            first = np.searchsorted(self.hash, found[maybe], "left")
-            last = np.searchsorted(self.hash, found[maybe], "right")
-            for at, a, b in zip(maybe[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
-                out += [(int(self.item[k]), at, int(self.place[k])) for k in range(a, b)]
-        for n, listed in self.short.items():
-            if len(token) >= n:
-                found = windows(token, n)
-                for h, item in listed:
-                    out += [(item, at, 0) for at in np.flatnonzero(found == np.uint64(h)).tolist()]
-        return out
+    @staticmethod
+    def widths(reading: int, size: int) -> list[tuple[int, int]]:
+        """Widths of the windows of an item of so many tokens, and the words each must have that aren't placeholders."""
+        n = min(WINDOW, size)
+        return [(n, min(LEAST_WORDS, n))]
+
+    def hits(self, found: list[Reading]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(item, reading, width, place in the document, place in the item) of all equal windows."""
+        runs = [Runs(r.token) for r in found]
+        for r, n in self.kinds:
+            h = salted(runs[r].of(n), r, n)
+            maybe = np.flatnonzero(self.here[h >> np.uint64(64 - BITS)])
+            first = np.searchsorted(self.hash, h[maybe], "left")
+            last = np.searchsorted(self.hash, h[maybe], "right")
+            some = last > first
+            for at, a, b in zip(maybe[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
+                for k in range(a, b):
+                    yield int(self.item[k]), r, n, at, int(self.place[k])
 
     def leaks(self, words: list[str], lexicon: Lexicon) -> list[tuple[int, int, float, float, bool, int, int]]:
         """(item_id, matched tokens, cover, slot consistency, same slots, first and last word) of one document."""
-        best: dict[int, tuple] = {}
-        step = PART
-        for start in range(0, max(1, len(words)), step):
-            part = words[start : start + step + self.longest]
-            inside = start > 0 and not lexicon.read(words[start - 1])[1] & ENDS
-            token, _, at = lexicon.canonical(part, inside)
-            diagonals: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for item, doc, place in self.hits(token):
-                diagonals[item, doc - place].append((doc, place))
-            for (number, shift), matched in diagonals.items():
-                item = self.items[number]
-                n = min(WINDOW, len(item.words))
-                covered = sorted({p + j for _, p in matched for j in range(n)})
-                cover = len(covered) / len(item.words)
-                if cover < COVER:
-                    continue
-                pairs = [(bare(item.words[p]), bare(part[at[p + shift]])) for p in covered if item.slot[p]]
-                forth, back = defaultdict(Counter), defaultdict(Counter)
-                for a, b in pairs:
-                    forth[a][b] += 1
-                    back[b][a] += 1
-                agree = sum(forth[a].most_common(1)[0][0] == b and back[b].most_common(1)[0][0] == a for a, b in pairs)
-                consistency = agree / len(pairs) if pairs else 1.0
-                row = (item.item_id, len(covered), cover, consistency, all(a == b for a, b in pairs), int(start + at[covered[0] + shift]), int(start + at[covered[-1] + shift]))
-                if consistency >= LEAST_CONSISTENT and (number not in best or (row[1], -row[5]) > (best[number][1], -best[number][5])):
+        return next(self.leaks_of([words], lexicon))
+
+    def leaks_of(self, texts: Iterable[list[str]], lexicon: Lexicon) -> Iterator[list[tuple]]:
+        """The leaks of each document: short ones are read together, long ones in parts."""
+        words, parts, best = [], [], []
+        for text in texts:
+            best.append({})
+            for start in range(0, max(1, len(text)), PART):
+                words.append(BEFORE if start == 0 or lexicon.read(text[start - 1])[1] & ENDS else BEFORE_INSIDE)
+                parts.append((len(words), start, best[-1]))
+                words += text[start : start + PART + 2 * self.longest]
+                if len(words) >= TOGETHER:
+                    self.read(words, parts, lexicon)
+                    words, parts = [], []
+            if not parts:
+                yield from (sorted(b.values()) for b in best)
+                best = []
+        self.read(words, parts, lexicon)
+        yield from (sorted(b.values()) for b in best)
+
+    def read(self, words: list[str], parts: list[tuple[int, int, dict]], lexicon: Lexicon) -> None:
+        """Put the leaks of parts of documents (first word, its place in the document, best leak by item) to the best."""
+        token, flag, at = lexicon.tokens(words)
+        found = readings(token, flag)
+        begins = np.array([p[0] for p in parts])
+        matched: dict[tuple[int, int], dict[tuple[int, int], set[int]]] = defaultdict(lambda: defaultdict(set))
+        for item, r, n, doc, place in self.hits(found):
+            part = int(np.searchsorted(begins, at[found[r].start[doc]], "right")) - 1
+            matched[part, item][r, doc - place].update(range(place, place + n))
+        for (part, number), stretches in matched.items():
+            begin, start, best = parts[part]
+            for row in self.judge(self.items[number], stretches, found, words, at):
+                row = (*row[:5], row[5] - begin + start, row[6] - begin + start)
+                if number not in best or (row[1], -row[5]) > (best[number][1], -best[number][5]):
                     best[number] = row
-        return sorted(best.values())
+
+    def judge(self, item: Item, stretches: dict[tuple[int, int], set[int]], found: list[Reading], words: list[str], at: np.ndarray) -> Iterator[tuple]:
+        """The leaks among the matched stretches (reading, shift) of an item: one for each diagonal at most."""
+        diagonals = defaultdict(list)
+        for (r, shift), places in sorted(stretches.items()):
+            mine, theirs = item.readings[r].start, found[r].start
+            first = min(places)
+            diagonal = int(theirs[first + shift] - mine[first])
+            for p in sorted(places):
+                diagonals[diagonal].append((r, p, int(mine[p]), int(mine[p + 1]), int(theirs[p + shift]), int(theirs[p + shift + 1])))
+        for cells in diagonals.values():
+            if (row := self.leak(item, cells, words, at)) is not None:
+                yield row
+
+    def leak(self, item: Item, cells: list[tuple[int, int, int, int, int, int]], words: list[str], at: np.ndarray) -> tuple | None:
+        """What equal tokens (reading, place, words of the item from and to, of the document from and to) make up."""
+        covered: set[int] = set()
+        pairs, low, high = [], len(at), 0
+        for r, p, a, b, c, d in cells:
+            if not covered.isdisjoint(range(a, b)):
+                continue
+            covered.update(range(a, b))
+            low, high = min(low, c), max(high, d)
+            if item.readings[r].slot[p]:
+                pair = value(item.words[a:b]), value([words[i] for i in at[c:d].tolist()])
+                # A sentence's first word that stays is no slot.
+                if r == 0 or pair[0] != pair[1]:
+                    pairs.append(pair)
+        cover = len(covered) / len(item.words)
+        if cover < COVER:
+            return None
+        forth, back = defaultdict(Counter), defaultdict(Counter)
+        for a, b in pairs:
+            forth[a][b] += 1
+            back[b][a] += 1
+        agree = sum(forth[a].most_common(1)[0][0] == b and back[b].most_common(1)[0][0] == a for a, b in pairs)
+        consistency = agree / len(pairs) if pairs else 1.0
+        if consistency < LEAST_CONSISTENT:
+            return None
+        return item.item_id, len(covered), cover, consistency, all(a == b for a, b in pairs), int(at[low]), int(at[high - 1])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -221,7 +315,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
             lexicon = held("lexicon", Lexicon)
             for batch in batches:
-                found = [(doc, *leak) for doc, text in zip(batch["doc_id"], batch["_text"], strict=True) for leak in index.leaks(text.split(), lexicon)]
+                texts = (text.split() for text in batch["_text"])
+                found = [(doc, *leak) for doc, leaks in zip(batch["doc_id"], index.leaks_of(texts, lexicon), strict=True) for leak in leaks]
                 frame = pd.DataFrame(found, columns=["doc_id", "item_id", "n_tokens", "cover", "consistency", "same_slots", "first_word", "last_word"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "same_slots": bool})
 

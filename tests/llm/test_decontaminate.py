@@ -40,3 +40,11 @@ def test_tables(spark, monkeypatch):
         found = decontaminate.find_leaks(docs, bench).collect()
         assert sorted((r.doc_id or 0, r.item_id, r.same_slots) for r in found) == [(0, 7, True), (1, 7, True), (1, 7, True), (2, 7, False), (6, 7, True)]
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_opening_names_and_runs():
+    tom = "Tom buys 5 red apples. Mia buys 7 green apples. Tom eats 2 of them. Mia gives 3 away. How many are left?"
+    ben = tom.replace("Tom", "Ben").replace("Mia", "Ana").replace("5", "9")
+    assert [(r[0], r[2], r[3], r[4]) for r in leaks("Here it is. " + ben + " So it ends.", [(7, tom)])] == [(7, 1.0, 1.0, False)]
+    longer = ITEM.replace("Bob", "Bob Lee").replace("12", "twenty five")
+    assert [(r[0], r[2]) for r in leaks("Before it. " + longer, [(7, ITEM)])] == [(7, 1.0)]
