@@ -2,7 +2,8 @@
 
 A text becomes a row of tokens in which numbers, units (after a number) and names are typed placeholders and all other
 words are lower-cased without outer punctuation; a run of numbers or of names is one placeholder. Two readings are
-indexed: names are the words capitalised inside a sentence, or all capitalised words. Windows of ``WINDOW`` tokens of a
+indexed: names are the words capitalised inside a sentence, or all capitalised words; beside them the lower-cased words
+themselves, whatever share of them are numbers and names, so that exact copies are always found. Windows of ``WINDOW`` tokens of a
 benchmark item and of a document that are equal as templates are matches, whatever stands in the slots. On each diagonal
 (document place minus item place) the slots of the matched stretch are compared: a question that was only given other
 numbers or names maps each slot value to one value, and no two to the same; what breaks that in more than a fifth of its
@@ -48,6 +49,8 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%|[$€£])?")
 OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%$€£]+$")
 IS_NUMBER, IS_UNIT, IS_CAPITAL, ENDS, IS_EMPTY = 1, 2, 4, 8, 16
+#: The reading without placeholders.
+LITERAL = 2
 #: Words that no text has, before a text and before a part that goes on inside a sentence: no window spans them.
 BEFORE, BEFORE_INSIDE = " ", "  "
 SLOTS = {name: xxhash.xxh64_intdigest(f"<{name}>") for name in ("number", "unit", "name")}
@@ -113,7 +116,7 @@ class Reading:
 
 
 def readings(token: np.ndarray, flag: np.ndarray) -> list[Reading]:
-    """Names inside sentences; all capitalised words as names."""
+    """Names inside sentences; all capitalised words as names; the words as they are, with the first one's placeholders marked."""
     number, ends = flag & IS_NUMBER > 0, flag & ENDS > 0
     after = np.zeros(len(flag), bool)
     after[1:] = number[:-1]
@@ -129,7 +132,7 @@ def readings(token: np.ndarray, flag: np.ndarray) -> list[Reading]:
         first[1:] = ends[:-1] | ~((number[1:] & number[:-1]) | (name[1:] & name[:-1]))
         start = np.flatnonzero(first)
         out.append(Reading(typed[start], (number | unit | name)[start], np.append(start, len(flag))))
-    return out
+    return [*out, Reading(token, number | unit | (capital & ~opens), np.arange(len(flag) + 1))]
 
 
 class Runs:
@@ -200,7 +203,7 @@ class Index:
     def widths(reading: int, size: int) -> list[tuple[int, int]]:
         """Widths of the windows of an item of so many tokens, and the words each must have that aren't placeholders."""
         n = min(WINDOW, size)
-        return [(n, min(LEAST_WORDS, n))]
+        return [(n, 0 if reading == LITERAL else min(LEAST_WORDS, n))]
 
     def hits(self, found: list[Reading]) -> Iterator[tuple[int, int, int, int, int]]:
         """(item, reading, width, place in the document, place in the item) of all equal windows."""
@@ -256,7 +259,8 @@ class Index:
     def judge(self, item: Item, stretches: dict[tuple[int, int], set[int]], found: list[Reading], words: list[str], at: np.ndarray) -> Iterator[tuple]:
         """The leaks among the matched stretches (reading, shift) of an item: one for each diagonal at most."""
         diagonals = defaultdict(list)
-        for (r, shift), places in sorted(stretches.items()):
+        # Words as they are come first: a name that the document lengthens at an end of the copy doesn't count then.
+        for (r, shift), places in sorted(stretches.items(), reverse=True):
             mine, theirs = item.readings[r].start, found[r].start
             first = min(places)
             diagonal = int(theirs[first + shift] - mine[first])
@@ -271,14 +275,15 @@ class Index:
         covered: set[int] = set()
         pairs, low, high = [], len(at), 0
         for r, p, a, b, c, d in cells:
-            if not covered.isdisjoint(range(a, b)):
+            if all(i in covered for i in range(a, b)):
                 continue
+            new = covered.isdisjoint(range(a, b))
             covered.update(range(a, b))
             low, high = min(low, c), max(high, d)
-            if item.readings[r].slot[p]:
+            if new and item.readings[r].slot[p]:
                 pair = value(item.words[a:b]), value([words[i] for i in at[c:d].tolist()])
                 # A sentence's first word that stays is no slot.
-                if r == 0 or pair[0] != pair[1]:
+                if r != 1 or pair[0] != pair[1]:
                     pairs.append(pair)
         cover = len(covered) / len(item.words)
         if cover < COVER:

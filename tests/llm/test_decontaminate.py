@@ -48,3 +48,11 @@ def test_opening_names_and_runs():
     assert [(r[0], r[2], r[3], r[4]) for r in leaks("Here it is. " + ben + " So it ends.", [(7, tom)])] == [(7, 1.0, 1.0, False)]
     longer = ITEM.replace("Bob", "Bob Lee").replace("12", "twenty five")
     assert [(r[0], r[2]) for r in leaks("Before it. " + longer, [(7, ITEM)])] == [(7, 1.0)]
+
+
+def test_exact_copies_of_slots():
+    for item in ("What is 12 + 35 + 18 + 27 ?", "12 35 18 27 41 9 77 3 15", "Alice Bob 12 Carol Dora 13", "So 12 kg 13 kg 14 kg 15 kg then 16 kg"):
+        assert [(r[0], r[2], r[4]) for r in leaks("they asked it once: " + item + " nobody knew", [(7, item)])] == [(7, 1.0, True)], item
+    assert leaks("they asked it once: What is 12 + 35 + 19 + 27 ? nobody knew", [(7, "What is 12 + 35 + 18 + 27 ?")]) == []
+    ends = "Carol has seven red apples now and three are for Carol"
+    assert [(r[0], r[2], r[3]) for r in leaks("They say that " + ends + " Smith and others", [(7, ends)])] == [(7, 1.0, 1.0)]
