@@ -3,14 +3,16 @@
 A text becomes a row of tokens in which numbers, units (after a number) and names are typed placeholders and all other
 words are lower-cased without outer punctuation; a run of numbers or of names is one placeholder. Two readings are
 indexed: names are the words capitalised inside a sentence, or all capitalised words; beside them the lower-cased words
-themselves, whatever share of them are numbers and names, so that exact copies are always found. Windows of ``WINDOW`` tokens of a
-benchmark item and of a document that are equal as templates are matches, whatever stands in the slots. On each diagonal
+themselves, whatever share of them are numbers and names, so that exact copies are always found. Windows of ``WINDOW``
+tokens (for items of under ``LONG`` also of about a third of the item) of a benchmark item and of a document that are
+equal as templates are matches, whatever stands in the slots. On each diagonal
 (document place minus item place) the slots of the matched stretch are compared: a question that was only given other
 numbers or names maps each slot value to one value, and no two to the same; what breaks that in more than a fifth of its
-slots is no leak. A document leaks an item if the matched stretch covers at least ``COVER`` of the item's tokens.
+slots is no leak. A document leaks an item if what matches on a diagonal, or on all diagonals within a quarter of the item
+(words put in or left out), covers at least ``COVER`` of the item's tokens, and no fewer than ``least_tokens``.
 
-The benchmark is a stated query set: its windows are joined by hash against every document in blocks of at most
-``BLOCK_WINDOWS`` windows (counted), one pass over the documents for each block.
+The benchmark is a stated query set: its windows are joined by hash against every document in blocks of about
+``BLOCK_WINDOWS`` words (counted), with up to six windows a word, one pass over the documents for each block.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ WINDOW = 8
 #: Words in a window that aren't placeholders, at least (or all words of a shorter item).
 LEAST_WORDS = 4
 COVER = 0.5
+#: Items of fewer tokens have shorter windows too, as long as the piece that two changed words leave somewhere.
+LONG, LEAST_WINDOW = 26, 3
 LEAST_CONSISTENT = 0.8
 BLOCK_WINDOWS = 500_000
 MEMO = 600_000
@@ -161,6 +165,11 @@ class Item:
     readings: list[Reading]
 
 
+def least_tokens(size: int) -> int:
+    """Tokens that a leak of an item of so many tokens has: all of a short one's, a window of a long one's."""
+    return size if size < WINDOW else min(WINDOW, -(-3 * size // 4))
+
+
 def bare(word: str) -> str:
     return OUTER.sub("", word).lower()
 
@@ -203,7 +212,11 @@ class Index:
     def widths(reading: int, size: int) -> list[tuple[int, int]]:
         """Widths of the windows of an item of so many tokens, and the words each must have that aren't placeholders."""
         n = min(WINDOW, size)
-        return [(n, 0 if reading == LITERAL else min(LEAST_WORDS, n))]
+        out = [(n, 0 if reading == LITERAL else min(LEAST_WORDS, n))]
+        if WINDOW <= size < LONG:
+            n = max(LEAST_WINDOW, (size - 2) // 3)
+            out.append((n, -(-LEAST_WORDS * n // WINDOW)))
+        return out
 
     def hits(self, found: list[Reading]) -> Iterator[tuple[int, int, int, int, int]]:
         """(item, reading, width, place in the document, place in the item) of all equal windows."""
@@ -257,7 +270,8 @@ class Index:
                     best[number] = row
 
     def judge(self, item: Item, stretches: dict[tuple[int, int], set[int]], found: list[Reading], words: list[str], at: np.ndarray) -> Iterator[tuple]:
-        """The leaks among the matched stretches (reading, shift) of an item: one for each diagonal at most."""
+        """The leaks among the matched stretches (reading, shift) of an item: each diagonal, and each with its neighbours."""
+        size = len(item.words)
         diagonals = defaultdict(list)
         # Words as they are come first: a name that the document lengthens at an end of the copy doesn't count then.
         for (r, shift), places in sorted(stretches.items(), reverse=True):
@@ -266,12 +280,24 @@ class Index:
             diagonal = int(theirs[first + shift] - mine[first])
             for p in sorted(places):
                 diagonals[diagonal].append((r, p, int(mine[p]), int(mine[p + 1]), int(theirs[p + shift]), int(theirs[p + shift + 1])))
-        for cells in diagonals.values():
-            if (row := self.leak(item, cells, words, at)) is not None:
+        order, last = sorted(diagonals), 0
+        for i, diagonal in enumerate(order):
+            if (row := self.leak(item, diagonals[diagonal], words, at)) is not None:
                 yield row
+            last = max(last, i)
+            while last + 1 < len(order) and order[last + 1] - diagonal <= max(2, size // 4):
+                last += 1
+            if last > i:
+                near = order[i : last + 1]
+                cells = [cell for d in sorted(near, key=lambda d: -len(diagonals[d])) for cell in diagonals[d]]
+                if (row := self.leak(item, cells, words, at)) is not None:
+                    yield row
 
     def leak(self, item: Item, cells: list[tuple[int, int, int, int, int, int]], words: list[str], at: np.ndarray) -> tuple | None:
         """What equal tokens (reading, place, words of the item from and to, of the document from and to) make up."""
+        need = max(COVER * len(item.words), least_tokens(len(item.words)))
+        if sum(b - a for _, _, a, b, _, _ in cells) < need:
+            return None
         covered: set[int] = set()
         pairs, low, high = [], len(at), 0
         for r, p, a, b, c, d in cells:
@@ -286,7 +312,7 @@ class Index:
                 if r != 1 or pair[0] != pair[1]:
                     pairs.append(pair)
         cover = len(covered) / len(item.words)
-        if cover < COVER:
+        if len(covered) < need:
             return None
         forth, back = defaultdict(Counter), defaultdict(Counter)
         for a, b in pairs:
@@ -307,7 +333,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     documents give the same rows each. Empty tables give an empty result; other columns aren't read.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    # Blocks by the running size of the items: a window for each word at most.
+    # Blocks by the size of the items: in each of three readings up to two windows for each word.
     sizes = items.select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
     blocks = max(1, -(-sizes // BLOCK_WINDOWS))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))

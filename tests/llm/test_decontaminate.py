@@ -56,3 +56,19 @@ def test_exact_copies_of_slots():
     assert leaks("they asked it once: What is 12 + 35 + 19 + 27 ? nobody knew", [(7, "What is 12 + 35 + 18 + 27 ?")]) == []
     ends = "Carol has seven red apples now and three are for Carol"
     assert [(r[0], r[2], r[3]) for r in leaks("They say that " + ends + " Smith and others", [(7, ends)])] == [(7, 1.0, 1.0)]
+
+
+def test_stretches_on_neighbouring_diagonals():
+    w = ITEM.split()
+    two = [*w[:8], "very", *w[8:16], "really", *w[16:]]
+    assert [(r[0], r[2], r[4]) for r in leaks("It says: " + " ".join(two), [(7, ITEM)])] == [(7, 1.0, True)]
+    less = [*w[:7], *w[8:15], *w[16:]]
+    assert [r[0] for r in leaks("It says: " + " ".join(less), [(7, ITEM)])] == [7]
+    assert [(r[0], r[2], r[4]) for r in leaks("it says " + ITEM.lower(), [(7, ITEM)])] == [(7, 1.0, True)]
+    item = "the old miller walked slowly over seven wooden bridges until evening came down to him"
+    assert [(r[0], r[1]) for r in leaks("once " + item.replace("wooden", "narrow"), [(7, item)])] == [(7, 14)]
+    # Pieces far apart, out of place, or too few words of a short item are no leak.
+    far = " ".join(f"f{i}" for i in range(40))
+    assert leaks(f"{' '.join(w[:8])} {far} {' '.join(w[8:16])} {far} {' '.join(w[16:])}", [(7, ITEM)]) == []
+    assert leaks("how many of the other things", [(7, "how many of the birds are left")]) == []
+    assert leaks("how many of the other things", [(7, "how many of the birds are there now")]) == []
