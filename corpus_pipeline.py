@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages: language ID, near duplicates, decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes every stage's result as
-Parquet in the shared folder and reads it again. All stages but the last return the columns of ``documents``.
+Parquet in the shared folder and reads it again. All stages but the last return the columns of ``documents``. Stages that
+drop rows by a decision number them first, so that decisions take effect on rows without an id and on repeated ids.
 """
 
 from __future__ import annotations
@@ -16,15 +17,21 @@ from assayloom.session import materialize, table
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id isn't among ``ids`` (a written table); broadcast up to a counted bound, else shuffled.
+#: The key of a row within a stage; ids may be missing or repeat.
+ROW = "_row"
 
-    Documents without an id stay.
-    """
-    ids = ids.distinct()
-    if ids.count() <= neardup.BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The stage's input with a running number for each row, written once, so that every later reading has the same."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), f"{name}-rows")
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key isn't among ``keys`` (a written table); broadcast up to a counted bound, else shuffled."""
+    keys = keys.distinct()
+    if keys.count() <= neardup.BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, ROW, "left_anti").drop(ROW)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +44,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    classes = neardup.near_duplicates(docs)
-    return without(docs, materialize(classes.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "duplicates"))
+    """Of each group of near duplicates the row with the least id stays (of several such, the first; one without an id
+    only if none has one). Rows count one by one, whatever their ids."""
+    rows = keyed(docs, "near_duplicates")
+    groups = materialize(neardup.near_duplicates(rows, ROW).select(ROW, F.col("component_id").alias("_group")), "groups")
+    first = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", ROW)).alias("_least"))
+    dropped = groups.join(first.select(F.col(f"_least.{ROW}").alias(ROW)), ROW, "left_anti").select(ROW)
+    return without(rows, materialize(dropped, "duplicates")).select(docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, materialize(leaks.where(F.col("doc_id").isNotNull()).select("doc_id"), "leaks"))
+    """Rows that leak a benchmark item go."""
+    rows = keyed(docs, "decontaminate")
+    leaks = decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return without(rows, materialize(leaks.select(F.col("doc_id").alias(ROW)), "leaks")).select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

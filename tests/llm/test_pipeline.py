@@ -58,3 +58,17 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_missing_and_repeated_ids(spark, tmp_path):
+    text = [" ".join(f"{SENTENCES[(i * 7 + j) % len(SENTENCES)]} u{i}x{j}" for j in range(8)) for i in range(5)]
+    rows = [(1, text[0]), (1, text[0]), (None, text[0]), (None, text[0] + " tail"), (2, text[1]), (2, text[2]), (None, text[3]), (None, text[3]), (9, text[4]), (3, text[4])]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, text[0]), (2, text[1]), (2, text[2]), (0, text[3]), (3, text[4])])
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "so " + ITEM), (None, text[0]), (4, "so " + ITEM), (4, text[1]), (5, text[2])]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    clean = corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted([(0, text[0]), (4, text[1]), (5, text[2])])
