@@ -87,19 +87,22 @@ def one_letter(residue: Column) -> Column:
 
 
 def kmer_windows(s: str, k: int) -> Column:
-    """(pos, kmer) blocks for a search within distance k - 1: k pieces of the string, each also one place to either side,
-    so that two strings with fewer than k edits share one."""
-    w = f"CAST(ceil(length({s}) / CAST({k} AS DOUBLE)) AS INT)"
+    """(size, pos, kmer) blocks for a search within distance k - 1: for each length that a string so near can have, the
+    places where its k pieces can stand in this one, so that two strings with fewer than k edits share one with the
+    other's ``piece_blocks``. An untouched piece is off by d places after at least abs(d) edits, and those behind it make
+    up the rest of the difference in length; the first one stands at the start, the last one at the end."""
+    w = f"CAST(ceil(l / CAST({k} AS DOUBLE)) AS INT)"
+    places = f"filter(sequence(-({k} - 1), {k} - 1), d -> abs(d) + abs(length({s}) - l - d) < {k} AND (i > 0 OR d = 0) AND ((i + 1) * {w} < l OR d = length({s}) - l))"
     return F.expr(
-        f"array_distinct(flatten(transform(sequence(0, {k} - 1), i -> transform(sequence(-({k} - 1), {k} - 1), d -> "
-        f"named_struct('pos', i, 'kmer', IF(i * {w} + d < 0, '', substring({s}, greatest(i * {w} + d, 0) + 1, {w})))))))"
+        f"array_distinct(flatten(flatten(transform(sequence(greatest(length({s}) - ({k} - 1), 0), length({s}) + {k} - 1), l -> transform(sequence(0, {k} - 1), i -> transform({places}, d -> "
+        f"named_struct('size', l, 'pos', i, 'kmer', IF(i * {w} + d < 0, '', substring({s}, i * {w} + d + 1, least({w}, greatest(l - i * {w}, 0)))))))))))"
     )
 
 
 def piece_blocks(s: str, k: int) -> Column:
-    """The k pieces of a string themselves: (pos, kmer)."""
+    """The k pieces of a string themselves, with its length: (size, pos, kmer)."""
     w = f"CAST(ceil(length({s}) / CAST({k} AS DOUBLE)) AS INT)"
-    return F.expr(f"transform(sequence(0, {k} - 1), i -> named_struct('pos', i, 'kmer', substring({s}, i * {w} + 1, {w})))")
+    return F.expr(f"transform(sequence(0, {k} - 1), i -> named_struct('size', length({s}), 'pos', i, 'kmer', substring({s}, i * {w} + 1, {w})))")
 
 
 def split_by_sequence(dna: Column, marker: str) -> tuple[Column, Column, Column]:

@@ -353,3 +353,22 @@ def test_structures(spark):
     lig = spark.createDataFrame([("L", 9, 0.0, 3.0, 0.0)], "chain string, resnum int, x double, y double, z double")
     assert values(structures.hot_spots(atoms, lig, 4.0), "resnum", "distance", "hydrophobic") == [(1, 3.0, True)]
     assert structures.hot_spots(atoms, lig, 3.0).isEmpty()
+
+
+def test_similarity_join_of_mixed_lengths(spark):
+    rng = random.Random(9)
+    seqs = {"AAAACCCCGG", "AAAACCCCG", "", "A", "AC", "CCC"}
+    for _ in range(40):
+        s = "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 13)))
+        seqs.add(s)
+        for _ in range(3):
+            i = rng.randrange(len(s) + 1)
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("ACGT") + s[i:], s[:i] + rng.choice("ACGT") + s[i + 1 :]])
+            seqs.add(s)
+    df = spark.createDataFrame([(s,) for s in sorted(seqs)], "barcode string").repartition(2)
+    for k in (1, 2, 3, 4):
+        want = {(r.a, r.b, r.distance) for r in design.all_pairs_below(df, k).collect()}
+        assert {(r.a, r.b, r.distance) for r in design.similar_pairs(df, k).collect()} == want
+        both = {(a, b) for a, b, _ in want} | {(b, a) for a, b, _ in want} | {(s, s) for s in seqs}
+        found = design.similar_pairs(df, k, other=df)
+        assert {(r.a, r.b) for r in found.collect()} == both
