@@ -23,9 +23,13 @@ def get_session(app: str = "assayloom", cores: int | str = 8, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of this machine
+    serves a local session; elsewhere that is an error, as executors couldn't read one another's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="assayloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -43,12 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """For queries over whole texts: Arrow batches of at most about so many bytes, if the session allows larger ones. The
+    operators leave the session's settings alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, f"{size}b")
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Before a Python function over whole texts: at most so many rows an Arrow batch, so that a worker's memory follows
-    the length of a thousand texts, not of ten thousand."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key, "10000")) > rows:
-        conf.set(key, str(rows))
+    """Superseded by ``bound_batches``."""
     return df
 
 
