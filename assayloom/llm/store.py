@@ -25,12 +25,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayloom.llm.tokens import encoder
-from assayloom.llm.worker import tidy
-from assayloom.session import materialize, small_batches
+from assayloom.llm.worker import map_arrow, parts, record, tidy
+from assayloom.session import materialize
 
 WINDOW, CUT_BITS = 16, 9
 MIN_CHUNK, MAX_CHUNK = 64, 4096
@@ -109,40 +110,37 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, style: str, width: i
     kind = np.dtype(f"<u{width}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = encoder(tokenizer, style), set()
-        for batch in batches:
-            ids_of = batch["doc_id"].tolist()
-            texts = batch["_text"].tolist()
-            for at in range(0, len(texts), 256):
-                out: list[tuple] = []
-                for doc, ids in zip(ids_of[at : at + 256], encode.encode(texts[at : at + 256]), strict=True):
-                    ids = np.append(ids, np.uint32(END))
-                    data, last, parts = ids.astype(kind).tobytes(), 0, []
-                    for end in cuts(ids):
-                        chunk = data[last * width : end * width]
-                        parts.append(name := digest(chunk))
-                        last = end
-                        if name not in seen:
-                            if len(seen) >= SEEN:
-                                seen.clear()
-                            seen.add(name)
-                            out.append(("chunk", name, chunk, None, None, None))
-                    recipe = b"".join(parts)
-                    doc = None if doc is None or doc != doc else int(doc)
-                    out.append(("recipe", digest(f"{doc}:".encode() + recipe), recipe, doc, len(ids), merkle(parts)))
-                found = pd.DataFrame(out, columns=["kind", "key", "data", "doc_id", "n_tokens", "root"])
-                yield found.astype({"doc_id": "Int64", "n_tokens": "Int64"})
+        for part in parts(batches, 256):
+            out: list[tuple] = []
+            for doc, ids in zip(part.column(0).to_pylist(), encode.encode(part.column(1).to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(END))
+                data, last, names = ids.astype(kind).tobytes(), 0, []
+                for end in cuts(ids):
+                    chunk = data[last * width : end * width]
+                    names.append(name := digest(chunk))
+                    last = end
+                    if name not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(name)
+                        out.append(("chunk", name, chunk, None, None, None))
+                recipe = b"".join(names)
+                out.append(("recipe", digest(f"{doc}:".encode() + recipe), recipe, doc, len(ids), merkle(names)))
+            kinds, keys, datas, docs_, sizes, roots = (list(x) for x in zip(*out, strict=True))
+            yield record(kind=(kinds, "string"), key=(keys, "binary"), data=(datas, "binary"), doc_id=(docs_, "int64"), n_tokens=(sizes, "int64"), root=(roots, "binary"))
 
     schema = "kind string, key binary, data binary, doc_id long, n_tokens long, root binary"
-    blobs = small_batches(rows).mapInPandas(tidy(run), schema).groupBy("kind", "key").agg(
+    blobs = map_arrow(rows, run, schema).groupBy("kind", "key").agg(
         F.first("data").alias("data"), F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.count(F.lit(1)).alias("copies"),
     )
     blobs.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blobs")
     spark = docs.sparkSession
     blobs = spark.read.schema(f"{schema}, copies long").parquet(f"{path}/blobs")
     recipes = blobs.where("kind = 'recipe'").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    recipes = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("key")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key"), F.col("_copy")]  # many rows alike don't meet in one part
+    recipes = recipes.repartitionByRange(*order).sortWithinPartitions(*order)
     recipes.select("doc_id", "n_tokens", "root", F.col("data").alias("recipe"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("k")).write.parquet(f"{path}/recipes")
     part_roots(read_recipes(spark, path)).write.parquet(f"{path}/manifest")
 
@@ -163,17 +161,18 @@ def recipe_steps(recipes: DataFrame) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """The documents' ids from the files: doc_id, n_tokens, ids (array of long)."""
+    """The documents' ids from the files: doc_id, n_tokens, ids (array of long), a row for each row written. A null or
+    empty text has the end id alone; an empty store gives none."""
     steps = recipe_steps(read_recipes(spark, path)).join(read_chunks(spark, path), "key")
     whole = steps.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "data"))).alias("parts"))
     joined = read_recipes(spark, path).join(whole, "k").select("doc_id", "n_tokens", F.expr("transform(parts, p -> p.data)").alias("parts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["ids"] = [np.frombuffer(b"".join(p), f"<u{width}").astype(np.int64) for p in b.pop("parts")]
-            yield b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, 256):
+            ids = [np.frombuffer(b"".join(p), f"<u{width}").astype(np.int64) for p in b.column(2).to_pylist()]
+            yield record(doc_id=b.column(0), n_tokens=b.column(1), ids=pa.array(ids, pa.list_(pa.int64())))
 
-    return joined.mapInPandas(tidy(run), "doc_id long, n_tokens long, ids array<long>")
+    return map_arrow(joined, run, "doc_id long, n_tokens long, ids array<long>")
 
 
 def _times(a: int, b: int) -> int:
@@ -232,7 +231,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 n.append(len(ids))
             yield pd.DataFrame({"key": b["key"], "n": n, "crc": crc})
 
-    chunks = read_chunks(spark, path).mapInPandas(check, "key binary, n long, crc long")
+    chunks = read_chunks(spark, path).mapInPandas(tidy(check), "key binary, n long, crc long")
     recipes = read_recipes(spark, path)
     steps = recipe_steps(recipes).join(chunks, "key").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "n", "crc", "key"))).alias("parts"))
 
@@ -249,7 +248,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 roots.append(merkle([bytes(p["key"]) for p in parts]))
             yield pd.DataFrame({"k": b["k"], "ids_crc32": crcs, "found": sizes, "n_chunks": b["parts"].map(len), "root": roots})
 
-    built = steps.mapInPandas(build, "k long, ids_crc32 long, found long, n_chunks int, root binary")
+    built = steps.mapInPandas(tidy(build), "k long, ids_crc32 long, found long, n_chunks int, root binary")
     sums = recipes.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row per part of the files

@@ -1,5 +1,7 @@
 """Fast exact encoding with the ``tokenizers`` library: whole texts are cut where pre-tokenisation always cuts, and what
-lies between two cuts is encoded once by the library and remembered, under a 64-bit hash of its bytes.
+lies between two cuts is encoded once by the library and remembered. A piece is looked up by a 64-bit hash of its bytes,
+and its bytes are compared with those remembered; a text with a piece that differs is encoded whole by the library, as are
+texts that hold the string of a special token.
 
 A cut before a single space (``space`` vocabularies: byte-level BPE, whose pre-tokens may begin with one space) or at a
 space (``drop`` vocabularies, which drop white space) never changes the ids, as no pre-token reaches over it. Texts in
@@ -14,11 +16,13 @@ import re
 
 import numpy as np
 
-from assayloom.llm.shingles import piece_hashes
+from assayloom.llm.shingles import LONG, MASK, first_lanes, lanes_of, piece_hashes
 from assayloom.llm.worker import held
 
 #: Segments that a worker remembers, about.
 MEMO = 2_500_000
+#: Bytes of long pieces that a worker remembers, about.
+LONG_BYTES = 32_000_000
 #: Texts are encoded in groups of at most so many characters or one text.
 GROUP = 600_000
 #: White space other than the space and the line feed.
@@ -47,7 +51,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memo:
-    """An open-addressing table in arrays: number of each hash; unknown ones get the next numbers."""
+    """An open-addressing table in arrays: a number for each hash."""
 
     def __init__(self, bits: int = 16) -> None:
         self.bits, self.size = bits, 0
@@ -66,14 +70,14 @@ class Memo:
             todo, slot = todo[more], (slot[more] + 1) & mask
         return out
 
-    def add(self, hashes: np.ndarray) -> None:
-        """Number distinct unknown hashes in order."""
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Put in distinct unknown hashes."""
         while 10 * (self.size + len(hashes)) > 7 * len(self.keys):
             keys, values = self.keys[self.keys != 0], self.values[self.keys != 0]
             self.bits += 1
             self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
             self._place(keys, values)
-        self._place(hashes, np.arange(self.size, self.size + len(hashes), dtype=np.int32))
+        self._place(hashes, numbers)
         self.size += len(hashes)
 
     def _place(self, hashes: np.ndarray, values: np.ndarray) -> None:
@@ -87,8 +91,13 @@ class Memo:
             hashes, values, slot = hashes[~won], values[~won], (slot[~won] + 1) & mask
 
 
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, at least so long."""
+    return array if len(array) >= size else np.concatenate([array, np.zeros(max(size - len(array), len(array) // 2), array.dtype)])
+
+
 class Encoder:
-    """Ids of whole texts; special strings in a text are ordinary text."""
+    """Ids of whole texts, as by the library with ``add_special_tokens=False``."""
 
     def __init__(self, path: str, style: str, most: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -97,7 +106,9 @@ class Encoder:
         if style not in ("space", "drop"):
             raise ValueError("style must be space or drop")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that are searched in the normalised text")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.style, self.most = style, most
         # The same model without its text handling, for words of which the result of that handling is plain.
         bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
@@ -110,16 +121,20 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.memo, self.used = Memo(), 0
+        self.memo, self.count, self.used, self.kept = Memo(), 0, 0, 0
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
         self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        #: Bytes of the remembered pieces in eights: the numbers, where each piece's begin, and its size.
+        self.bytes, self.at, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         """By the library alone."""
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bool:
-        """Whether white space could reach over a cut, so that the text must be encoded by the library as it is."""
-        return self.style == "space" and ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or RARE.search(text) is not None)
+        """Whether the library must encode the text as it is: it holds a special token, or white space could reach over a cut."""
+        return any(x in text for x in self.special) or self.style == "space" and ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or RARE.search(text) is not None)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -137,11 +152,11 @@ class Encoder:
         odd = [i for i, t in enumerate(texts) if self.whole(t)]
         ids = dict(zip(odd, self.direct([texts[i] for i in odd]), strict=True))
         most = self.most or MEMO
-        if self.memo.size > most or self.used > 8 * most:
+        if self.count > most or self.used > 8 * most or self.long_bytes > LONG_BYTES:
             self.forget()
         parts = [b"" if i in ids else t.encode() for i, t in enumerate(texts)]
-        data = b"".join(parts)
-        view = np.frombuffer(data, np.uint8)
+        data = b"".join([*parts, bytes(8)])
+        view = np.frombuffer(data, np.uint8)[:-8]
         begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         # A piece begins with a text, a space or a line feed; in style ``drop`` without that white space.
         white = (view == 32) | (view == 10)
@@ -152,20 +167,65 @@ class Encoder:
         first = np.searchsorted(starts, begins)  # first piece of each text
         if self.style == "drop" and len(starts):
             starts = starts + white[starts]
-        hashes = piece_hashes(view, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        places = self._places(data, starts, ends)
+        for i in np.unique(np.searchsorted(first, np.flatnonzero(places < 0), "right") - 1).tolist():
+            ids[i] = self.direct([texts[i]])[0]
+        places[places < 0] = 0
+        lengths = self.length[places]
+        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        flat = self.flat[np.repeat(self.start[places] - upto[:-1], lengths) + np.arange(upto[-1])]
+        cut = upto[first]
+        return [np.array(ids[i], np.uint32) if i in ids else flat[cut[i] : cut[i + 1]] for i in range(len(texts))]
+
+    def _places(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Number of each piece, learnt if new; -1 where another piece has its hash."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        lanes, sizes = lanes_of(data), ends - starts
+        out = np.empty(len(starts), np.int64)
+        long = np.flatnonzero(sizes > LONG)
+        for i in long.tolist():
+            piece = data[starts[i] : ends[i]]
+            if piece not in self.long:
+                self.long[piece] = self.count
+                self.long_bytes += len(piece)
+                self._learn([piece.decode()])
+            out[i] = self.long[piece]
+        short = np.flatnonzero(sizes <= LONG) if len(long) else np.arange(len(starts))
+        starts, ends, sizes = starts[short], ends[short], sizes[short]
+        lane = first_lanes(lanes, starts, sizes)
+        hashes = piece_hashes(data, starts, ends, lanes, lane)
         places = self.memo.find(hashes)
         missing = np.flatnonzero(places < 0)
         if len(missing):
             fresh, at = np.unique(hashes[missing], return_index=True)
             at = missing[at]
+            numbers = np.arange(self.count, self.count + len(fresh))
             self._learn([data[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            self.memo.add(fresh)
-            places[missing] = self.memo.size - len(fresh) + np.searchsorted(fresh, hashes[missing])
-        lengths = self.length[places]
-        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        flat = self.flat[np.repeat(self.start[places] - upto[:-1], lengths) + np.arange(upto[-1])]
-        cut = upto[first]
-        return [np.array(ids[i], np.uint32) if i in ids else flat[cut[i] : cut[i + 1]] for i in range(len(texts))]
+            self._keep(numbers, lanes, starts[at], sizes[at])
+            self.memo.add(fresh, numbers.astype(np.int32))
+            places[missing] = numbers[np.searchsorted(fresh, hashes[missing])]
+        same = (self.size[places] == sizes) & (self.bytes[self.at[places]] == lane)
+        todo, k = np.flatnonzero(same & (sizes > 8)), 1
+        while len(todo):
+            rest = sizes[todo] - 8 * k
+            equal = self.bytes[self.at[places[todo]] + k] == lanes[starts[todo] + 8 * k] & MASK[np.minimum(rest, 8)]
+            same[todo[~equal]] = False
+            todo, k = todo[equal & (rest > 8)], k + 1
+        out[short] = np.where(same, places, -1)
+        return out
+
+    def _keep(self, numbers: np.ndarray, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the bytes of pieces."""
+        eights = np.maximum(1, (sizes + 7) // 8)
+        begin = self.kept + np.cumsum(eights) - eights
+        self.kept += int(eights.sum())
+        self.bytes = grown(self.bytes, self.kept)
+        self.at, self.size = grown(self.at, self.count), grown(self.size, self.count)
+        self.at[numbers], self.size[numbers] = begin, sizes
+        for k in range(int(eights.max())):
+            i = np.flatnonzero(eights > k)
+            self.bytes[begin[i] + k] = lanes[starts[i] + 8 * k] & MASK[np.minimum(sizes[i] - 8 * k, 8)]
 
     def _joined(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
         return np.array(self.direct([self.between.join(words)])[0], np.uint32), self.mark
@@ -179,7 +239,7 @@ class Encoder:
 
     def _learn(self, plain: list[str]) -> None:
         """Encode new pieces: joined by marks, many in a call; those that could blur the marks one by one."""
-        first, space = self.memo.size, self.style == "space"
+        first, space = self.count, self.style == "space"
         simple, even, odd = [], [], []
         for i, s in enumerate(plain):
             if SIMPLE.fullmatch(s, 1 if space and s[:1] == " " else 0):
@@ -204,15 +264,12 @@ class Encoder:
         fresh = [found[i] for i in range(len(plain))]
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         total, end = int(sizes.sum()), first + len(fresh)
-        if len(self.start) < end:
-            more = np.zeros(max(end - len(self.start), len(self.start) // 2), np.int32)
-            self.start, self.length = np.concatenate([self.start, more]), np.concatenate([self.length, more])
-        if len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat, np.zeros(max(self.used + total - len(self.flat), len(self.flat) // 2), np.uint32)])
+        self.start, self.length, self.flat = grown(self.start, end), grown(self.length, end), grown(self.flat, self.used + total)
         self.flat[self.used : self.used + total] = np.concatenate(fresh)
         self.length[first:end] = sizes
         self.start[first:end] = self.used + np.cumsum(sizes) - sizes
         self.used += total
+        self.count = end
 
 
 def encoder(path: str, style: str, most: int | None = None) -> Encoder:

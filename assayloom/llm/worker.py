@@ -9,6 +9,7 @@ from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import pyarrow
+from pyspark.sql import DataFrame
 
 _HELD: dict[Hashable, Any] = {}
 
@@ -19,6 +20,25 @@ def release() -> None:
     trim()
 
 
+def map_arrow(rows: DataFrame, run: Callable[[Iterator[pyarrow.RecordBatch]], Iterator[pyarrow.RecordBatch]], schema: Any) -> DataFrame:
+    """``mapInArrow`` with free memory given back. Columns that pass through stay Arrow arrays, so a long beside a null
+    keeps all its digits."""
+    return rows.mapInArrow(tidy(run), schema)
+
+
+def parts(batches: Iterator[pyarrow.RecordBatch], rows: int) -> Iterator[pyarrow.RecordBatch]:
+    """The batches in slices of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def record(**columns: pyarrow.Array | tuple[list, str]) -> pyarrow.RecordBatch:
+    """A batch of Arrow arrays, or of lists with the name of their type."""
+    arrays = [c if isinstance(c, pyarrow.Array) else pyarrow.array(c[0], pyarrow.type_for_alias(c[1])) for c in columns.values()]
+    return pyarrow.RecordBatch.from_arrays(arrays, list(columns))
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The function of a task's batches, with free memory given back now and then, and at its end: idle workers stay for
     a while, and what their allocators keep counts against the executor."""

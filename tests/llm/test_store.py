@@ -6,30 +6,59 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from assayloom.llm import shingles, store, tokens
 
 STYLES = [("word_bpe_49k.json", "drop"), ("byte_bpe_50k.json", "space")]
-ODD = ["", "a", " a", "a ", "  ", "a  b", "a\n b", "a \nb", "\n\n\nx", "it's 's ' s 12 3a", "a\x00b \x00c", "a\x01 \x01b", "x\xa0y z", "é́ ́a", "<|endoftext|> x", "😀 😀a", "a\tb", "foo.\nBar b", "\nx", "x\n", " \x00"]
+ODD = ["", "a", " a", "a ", "  ", "a  b", "a\n b", "a \nb", "\n\n\nx", "it's 's ' s 12 3a", "a\x00b \x00c", "a\x01 \x01b", "x\xa0y z", "é́ ́a", "<|endoftext|> x", "a<|endoftext|>b <|startoftext|>", "<|endof text|>", "q" * 70 + " " + "q" * 70 + "r", "😀 😀a", "a\tb", "foo.\nBar b", "\nx", "x\n", " \x00"]
 
 
 @pytest.mark.parametrize(("name", "style"), STYLES)
 def test_ids_equal_the_library(name, style):
-    encode = tokens.encoder(tokens.vocabulary(name), style)
-    assert [x.tolist() for x in encode.encode(ODD)] == encode.direct(ODD)
+    encode, plain = tokens.encoder(tokens.vocabulary(name), style), Tokenizer.from_file(tokens.vocabulary(name))
+
+    def library(texts):
+        return [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+    assert [x.tolist() for x in encode.encode(ODD)] == library(ODD)
 
     @settings(max_examples=300, deadline=None)
     @given(st.lists(st.text(st.sampled_from("ab.'s1 \n\tÉ\x00\x01é ")), max_size=5))
     def any_texts(texts):
-        assert [x.tolist() for x in encode.encode(texts)] == encode.direct(texts)
+        assert [x.tolist() for x in encode.encode(texts)] == library(texts)
 
     any_texts()
-    memo, block = tokens.MEMO, shingles.BLOCK
+    memo = tokens.MEMO
     try:
-        tokens.MEMO, shingles.BLOCK = 3, 50  # forgets all the time, hashes in small blocks
-        assert [x.tolist() for x in encode.encode(ODD * 3)] == encode.direct(ODD * 3)
+        tokens.MEMO = 3  # forgets all the time
+        assert [x.tolist() for x in encode.encode(ODD * 3)] == library(ODD * 3)
     finally:
-        tokens.MEMO, shingles.BLOCK = memo, block
+        tokens.MEMO = memo
+
+
+@pytest.mark.parametrize(("name", "style"), STYLES)
+def test_pieces_with_one_hash(name, style, monkeypatch):
+    encode, plain = tokens.Encoder(tokens.vocabulary(name), style), Tokenizer.from_file(tokens.vocabulary(name))
+    real = tokens.piece_hashes
+    monkeypatch.setattr(tokens, "piece_hashes", lambda *args: real(*args) & np.uint64(3) | np.uint64(4))
+    texts = [f"word{i % 50} other{i} abcdefgh{i}ijkl" for i in range(200)]
+    assert [x.tolist() for x in encode.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def thue_morse(bits: int, letters: str) -> str:
+    return "".join(letters[bin(i).count("1") & 1] for i in range(1 << bits))
+
+
+def test_structured_words_have_their_own_ids_and_hashes():
+    a, b = thue_morse(10, "ab"), thue_morse(10, "ba")
+    short = [thue_morse(k, x) for k in range(3, 7) for x in ("ab", "ba")]
+    for name, style in STYLES:
+        encode, plain = tokens.Encoder(tokens.vocabulary(name), style), Tokenizer.from_file(tokens.vocabulary(name))
+        texts = [a, b, *short, f"{a} {b}"]
+        assert [x.tolist() for x in encode.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    words = [a, b, *short]
+    assert len({int(shingles.words_of(w.encode())[0]) for w in words}) == len(words)
 
 
 def test_cuts_cover_and_realign():
@@ -55,14 +84,14 @@ def test_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     write(spark, rows, path)
     found = store.read_digests(spark, path).orderBy("start").collect()
-    encode = tokens.encoder(tokens.vocabulary("word_bpe_49k.json"), "drop")
+    plain = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
     start = 0
     for row, (doc, text) in zip(found, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
-        ids = np.array([*encode.direct([text or ""])[0], 1], "<u4")
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         assert (row.doc_id, row.start, row.n_tokens, row.ids_crc32) == (doc, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     whole = {r.doc_id: r.ids for r in store.read_ids(spark, path).collect()}
-    assert whole[5][:-1] == encode.direct([passage])[0]
+    assert whole[5][:-1] == plain.encode(passage, add_special_tokens=False).ids
     chunks = store.read_chunks(spark, path)
     assert chunks.count() == chunks.select("key").distinct().count() < sum(r.n_chunks for r in found) * 0.6
 
