@@ -3,8 +3,8 @@
 The dot-product heuristic fills one sequence at a time: of the pieces that still fit in every dimension it takes the one
 whose demand has the largest dot product with what is left of the limits (both as shares of the limits), until none fits.
 
-Pieces are dealt into blocks by the hash of their key, about ``BLOCK`` pieces each, and every block is packed on its own,
-so memory is bounded and sequences never cross tasks. Pieces of equal demand are interchangeable, so a block's work is
+Pieces are dealt into blocks by the hash of a running number, about ``BLOCK`` pieces each, whatever their keys, and every
+block is packed on its own, so memory is bounded and sequences never cross tasks. Pieces of equal demand are interchangeable, so a block's work is
 the number of its pieces times the number of its distinct demands.
 """
 
@@ -14,14 +14,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from assayloom.llm.tokens import encoder
-from assayloom.llm.worker import tidy
-from assayloom.session import materialize, small_batches
+from assayloom.llm.worker import map_arrow, parts, record
+from assayloom.session import materialize
 
 SEQUENCE = 2048
 #: Pieces per block, about.
@@ -69,35 +69,42 @@ def pack(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) ->
     return out
 
 
-def pack_pieces(pieces: DataFrame, limits: tuple[int, int, int] = (SEQUENCE, 256, SEQUENCE), length: str = "length", loss: str | None = None, keys: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
+def pack_pieces(pieces: DataFrame, limits: tuple[int, int, int] = (SEQUENCE, 256, SEQUENCE), length: str = "length", loss: str | None = None) -> DataFrame:
     """Add sequence_id and offset (tokens before it there) to every piece.
 
-    Pieces that fill a sequence alone get one of their own without being dealt out. ``keys`` spread the pieces over the
-    blocks; repeated and null keys are fine. A piece beyond the limits raises; a null length counts as 0. ``pieces`` is
-    read twice, so give a written table. Columns named ``sequence_id`` or ``offset`` are replaced.
+    Pieces that fill a sequence alone get one of their own without being dealt out. ``loss`` names the column of
+    loss-bearing tokens (all tokens without one). Repeated and null keys are fine, as rows are told apart by a running
+    number. A piece beyond the limits raises; a null length or loss counts as 0. ``pieces`` is written once, with that
+    number. Columns named ``sequence_id`` or ``offset`` are replaced; all others stay. An empty table gives none.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    blocks = max(1, -(-pieces.where(F.coalesce(F.col(length), F.lit(0)) < limits[0]).count() // BLOCK))
-    weight = F.coalesce(F.col(loss) if loss else F.col(length), F.lit(0))
-    block = F.pmod(F.xxhash64(*keys), F.lit(blocks)).alias("_block")
-    small = pieces.where(F.coalesce(F.col(length), F.lit(0)) < limits[0]).select("*", weight.cast("long").alias("_loss"), block)
-    schema = StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([length, *keys], kind="stable")
-        sizes = frame[length].fillna(0).to_numpy(np.int64)
-        number = pack(sizes, frame["_loss"].to_numpy(np.int64), limits)
-        base = int(frame["_block"].iloc[0]) << 24
-        frame = frame.assign(sequence_id=base + number)
-        frame["offset"] = (frame.assign(_n=sizes).groupby("sequence_id", sort=False)["_n"].cumsum() - sizes).astype(np.int64)
-        return frame[schema.names]
-
-    packed = small.groupBy("_block").applyInPandas(run, schema)
-    # Sequences of one piece: numbers below zero, one for each row of the written table.
-    full = pieces.where(F.col(length) >= limits[0]).select("*", weight.cast("long").alias("_loss"))
-    too_large = (F.col(length) > limits[0]) | (F.col("_loss") > limits[2])
-    number = F.when(too_large, F.raise_error(F.lit("a piece exceeds the limits of a sequence")).cast("long")).otherwise(-1 - F.monotonically_increasing_id())
-    full = full.select(*pieces.columns, number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    columns = pieces.columns
+    row, block, heavy = (f"_{name}_{'x' * max(map(len, columns))}" for name in ("row", "block", "loss"))  # no column has these names
+    size = F.coalesce(F.col(length), F.lit(0))
+    weight = F.coalesce(F.col(loss), F.lit(0)) if loss else size
+    pieces = materialize(pieces.select("*", F.monotonically_increasing_id().alias(row), weight.cast("long").alias(heavy)), "pieces")
+    blocks = max(1, -(-pieces.where(size < limits[0]).count() // BLOCK))
+    small = pieces.where(size < limits[0]).withColumn(block, F.pmod(F.xxhash64(row), F.lit(blocks)))
+    schema = StructType([pieces.schema[c] for c in columns]).add("sequence_id", "long").add("offset", "long")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(length, "ascending"), (row, "ascending")])
+        sizes = table.column(length).fill_null(0).to_numpy().astype(np.int64)
+        number = pack(sizes, table.column(heavy).to_numpy(), limits)
+        order = np.argsort(number, kind="stable")
+        before = np.cumsum(sizes[order]) - sizes[order]
+        first = np.searchsorted(number[order], number[order])
+        offset = np.empty(len(sizes), np.int64)
+        offset[order] = before - before[first]
+        out = table.select(columns).append_column("sequence_id", pa.array((table.column(block)[0].as_py() << 24) + number))
+        return out.append_column("offset", pa.array(offset))
+
+    packed = small.groupBy(block).applyInArrow(run, schema)
+    # Sequences of one piece: numbers below zero, one for each row.
+    full = pieces.where(size >= limits[0])
+    too_large = (F.col(length) > limits[0]) | (F.col(heavy) > limits[2])
+    number = F.when(too_large, F.raise_error(F.lit("a piece exceeds the limits of a sequence")).cast("long")).otherwise(-1 - F.col(row))
+    full = full.select(*columns, number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
 
 
@@ -109,50 +116,51 @@ def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUE
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, style, REMEMBERED)
-        for batch in batches:
-            names, texts = batch["doc_id"].tolist(), batch["_text"].tolist()
-            for at in range(0, len(texts), 1024):
-                out = []
-                for doc, ids in zip(names[at : at + 1024], encode.encode(texts[at : at + 1024]), strict=True):
-                    data = np.append(ids, np.uint32(END)).astype("<u4").tobytes()
-                    n = len(data) // 4
-                    doc = None if doc is None or doc != doc else int(doc)
-                    for start in range(0, n, size):
-                        part = data[4 * start : 4 * (start + size)]
-                        out.append((doc, start, len(part) // 4, zlib.crc32(part), n))
-                found = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                yield found.astype({"doc_id": "Int64"})
-
-    return small_batches(rows).mapInPandas(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-
-
-def pack_documents(docs: DataFrame, tokenizer: str, style: str, limits: tuple[int, int, int] = (SEQUENCE, 256, SEQUENCE), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Cut whole documents and pack the pieces; every token of a document bears loss.
-
-    Texts are encoded once: the pieces (a few numbers each) are written in the shared folder before they are packed.
+        for part in parts(batches, 1024):
+            out = []
+            for doc, ids in zip(part.column(0).to_pylist(), encode.encode(part.column(1).to_pylist()), strict=True):
+                data = np.append(ids, np.uint32(END)).astype("<u4").tobytes()
+                n = len(data) // 4
+                for start in range(0, n, size):
+                    piece = data[4 * start : 4 * (start + size)]
+                    out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n))
+            docs_, starts, lengths, crcs, sizes = (list(x) for x in zip(*out, strict=True))
+            yield record(doc_id=(docs_, "int64"), start=(starts, "int64"), length=(lengths, "int64"), ids_crc32=(crcs, "int64"), doc_tokens=(sizes, "int64"))
+
+    return map_arrow(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, style: str, limits: tuple[int, int, int] = (SEQUENCE, 256, SEQUENCE - 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Cut whole documents and pack the pieces. A piece's first token follows nothing that it could be foretold from, so
+    all but that one bear loss: a sequence of many short pieces bears less than one of few, and the three limits differ.
+
+    Returns the columns of ``cut_documents``, n_loss, sequence_id and offset. Null and empty texts give one piece, the
+    end id; repeated rows are packed each. Texts are encoded once.
     """
-    pieces = materialize(cut_documents(docs, tokenizer, style, limits[0], id_col, text_col), "pieces")
-    return pack_pieces(pieces, limits)
+    pieces = cut_documents(docs, tokenizer, style, limits[0], id_col, text_col).withColumn("n_loss", F.col("length") - 1)
+    return pack_pieces(pieces, limits, loss="n_loss")
 
 
 def conversation_pieces(turns: DataFrame, tokenizer: str, style: str, size: int = SEQUENCE, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Instruction data: one piece per turn: conv_id, turn, length, loss (its tokens if the role bears loss, else 0).
+    """Instruction data: one piece per turn: conv_id, turn, start, length, loss (its tokens if the role bears loss, else 0).
 
-    A turn longer than ``size`` gives several pieces (``start`` tells them apart). Null texts are empty.
+    A turn longer than ``size`` gives several pieces (``start`` tells them apart). Null and empty texts give the end id; a
+    null role bears no loss; repeated rows give their pieces each; an empty table gives none; other columns aren't read.
     """
-    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("_text"))
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").isin(*loss_roles).alias("_heavy"), F.coalesce("text", F.lit("")).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, style, REMEMBERED)
-        for batch in batches:
+        for part in parts(batches, 1024):
             out = []
-            for conv, turn, role, ids in zip(batch["conv_id"], batch["turn"], batch["role"], encode.encode(batch["_text"].tolist()), strict=True):
+            for conv, turn, heavy, ids in zip(*(part.column(i).to_pylist() for i in range(3)), encode.encode(part.column(3).to_pylist()), strict=True):
                 n = len(ids) + 1
                 for start in range(0, n, size):
                     length = min(size, n - start)
-                    out.append((conv, turn, start, length, length if role in loss_roles else 0))
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "start", "length", "loss"])
+                    out.append((conv, turn, start, length, length if heavy else 0))
+            columns = zip(("conv_id", "turn", "start", "length", "loss"), zip(*out, strict=True), strict=True)
+            yield record(**{name: (list(x), "int64") for name, x in columns})
 
-    return small_batches(rows).mapInPandas(tidy(run), "conv_id long, turn long, start long, length long, loss long")
+    return map_arrow(rows, run, "conv_id long, turn long, start long, length long, loss long")
