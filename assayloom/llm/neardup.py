@@ -1,21 +1,24 @@
 """Near duplicates by one-permutation hashing with optimal densification, banded buckets and star-shaped candidates.
 
-1. Every whole text becomes its set of distinct word shingles (64-bit hashes); equal sets share one representative.
+0. Every row gets a running number, written once with its words (A-Z lower-cased, one space between them) and signature;
+   all that follows reads that table, never the documents again. Rows of equal words share one representative.
+1. Every whole text becomes its set of distinct word shingles (64-bit hashes).
 2. One permutation, ``BANDS * ROWS`` bins: a bin's value is the least hash in its range; an empty bin takes the value of
    the full bin that ranks first in its own random order (a consistent choice, so similar sets choose alike).
 3. ``ROWS`` bins make a band; documents with an equal band share a bucket. Sets of similarity 0.75 share none of the 48
    bands with a probability below 3 in a million.
-4. Stars: each document is compared with one hub, the least id of a bucket, namely that which it shares most bands with.
-   Confirmed links give components.
+4. Stars: each document is compared with one hub, the least row of a bucket, namely that which it shares most bands with.
+   Confirmed links give components; rows that share an id are linked as well.
 5. What is left are pairs in one bucket but in different components. The members of such buckets are joined exactly by
    prefixes: with each set's shingles ordered rarest first (by their count among these members), two sets that are
    similar enough share one early in both, where enough of both is still to come. Those outside the commonest component
    of a bucket look for partners of each size class only as far as that class allows. So no colliding pair that could
    be a link goes unexamined, while a large group of loose copies doesn't give all its pairs.
-6. Links are confirmed on the full sets: 100 * intersection >= 75 * union. Components by repeated least-neighbour stars.
+6. Links are confirmed on the full sets, as words, not as hashes: 100 * intersection >= 75 * union. Components by repeated
+   least-neighbour stars.
 
-Nothing grows in the driver: ids, links and components stay in tables, cut from their lineage in the shared folder. Ids
-that need their texts again are broadcast only up to ``BROADCAST_IDS`` of them (counted), and shuffled beyond that.
+Nothing grows in the driver: rows, links and components stay in tables, cut from their lineage in the shared folder.
+Joins leave it to Spark whether a side is small enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -25,19 +28,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm import shingles
-from assayloom.llm.worker import tidy
-from assayloom.session import materialize, small_batches
+from assayloom.llm.worker import map_arrow, parts, record
+from assayloom.session import materialize
 
 WORDS = 5
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
 BANDS, ROWS = 48, 5
-BROADCAST_IDS = 1_000_000
 
 
 @lru_cache(1)
@@ -76,22 +78,23 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (size of the set), digest (of the set), bands; no bands for an empty set."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    """row (running number), id, n (size of the set), digest (of the words), words, bands; no bands for an empty set."""
+    rows = docs.select(F.monotonically_increasing_id(), F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
-                sizes, digests, bands = [], [], []
-                for data in part["data"]:
-                    found = shingles.shingle_set(bytes(data), WORDS)
-                    sizes.append(len(found))
-                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    bands.append(band_keys(signature(found)) if len(found) else None)
-                yield pd.DataFrame({"id": part["id"].astype("Int64"), "n": sizes, "digest": digests, "bands": bands})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 500):
+            sizes, digests, words, bands = [], [], [], []
+            for data in part.column(2).to_pylist():
+                words.append(plain := shingles.plain_words(data))
+                found = shingles.shingle_set(plain, WORDS)
+                sizes.append(len(found))
+                digests.append(hashlib.blake2b(plain, digest_size=16).digest())
+                bands.append(band_keys(signature(found)) if len(found) else None)
+            yield record(
+                row=part.column(0), id=part.column(1), n=(sizes, "int64"), digest=(digests, "binary"), words=(words, "binary"), bands=pa.array(bands, pa.list_(pa.int64())),
+            )
 
-    return small_batches(rows).mapInPandas(tidy(run), "id long, n long, digest binary, bands array<long>")
+    return map_arrow(rows, run, "row long, id long, n long, digest binary, words binary, bands array<long>")
 
 
 def similar_sizes(a: str, b: str):
@@ -99,19 +102,15 @@ def similar_sizes(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, shingles of the wanted ids, from their texts. The ids are broadcast if few, else shuffled."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """row, shingles (hashes) of the wanted rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                yield pd.DataFrame({"id": part["id"], "shingles": [shingles.shingle_set(bytes(d), WORDS).view(np.int64) for d in part["data"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 500):
+            sets = [shingles.shingle_set(d, WORDS).view(np.int64) for d in part.column(1).to_pylist()]
+            yield record(row=part.column(0), shingles=pa.array(sets, pa.list_(pa.int64())))
 
-    return small_batches(rows).join(wanted, "id", "left_semi").mapInPandas(tidy(run), "id long, shingles array<long>")
+    return map_arrow(texts.select("row", "words").join(wanted, "row", "left_semi"), run, "row long, shingles array<long>")
 
 
 def size_class(n: str) -> str:
@@ -119,49 +118,44 @@ def size_class(n: str) -> str:
     return f"CAST(floor(20 * ln({n})) AS INT)"
 
 
-def prefix_pairs(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def prefix_pairs(texts: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b) of members with different labels that may be similar enough, one of each a stray; exact: every pair
     that is similar enough is among them.
 
-    members: id, n, label, stray. Two sets of sizes n and m need o = ceil(75 * (n + m) / 175) common shingles; so their
+    members: row, label, stray. Two sets of sizes n and m need o = ceil(75 * (n + m) / 175) common shingles; so their
     first common shingle, at places i and j, has i <= n - o and j <= m - o. A stray's shingle at place i can be that
     only for partners with m <= 175 * (n - i) / 75 - n, which bounds the size classes it is sent to.
     """
     need = 100 + PERCENT
-    each = shingle_sets(docs, members.select("id"), id_col, text_col).select("id", F.explode("shingles").alias("s")).distinct()
-    each = materialize(each, "shingles")
+    each = materialize(shingle_sets(texts, members.select("row")).select("row", F.explode("shingles").alias("s")), "shingles")
     counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(counts, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
-    # Places are counted over the whole set; ids that repeat with other texts have the union here, so its size holds.
-    ordered = ordered.join(members.select("id", "label", "stray"), "id").withColumn("n", F.size("all"))
-    placed = ordered.select("id", "n", "label", "stray", F.posexplode(F.expr(f"slice(all, 1, n - CAST(ceil(n * {PERCENT} / 100D) AS INT) + 1)")).alias("i", "x"))
-    placed = placed.where("x.df > 1").select("id", "n", "label", "stray", "i", F.col("x.s").alias("s"))
+    ordered = each.join(counts, "s").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
+    ordered = ordered.join(members.select("row", "label", "stray"), "row").withColumn("n", F.size("all"))
+    placed = ordered.select("row", "n", "label", "stray", F.posexplode(F.expr(f"slice(all, 1, n - CAST(ceil(n * {PERCENT} / 100D) AS INT) + 1)")).alias("i", "x"))
+    placed = placed.where("x.df > 1").select("row", "n", "label", "stray", "i", F.col("x.s").alias("s"))
     placed = materialize(placed, "prefixes")
     top = f"{need} * (n - i) / {PERCENT}D - n + 0.001"
     seek = placed.where(f"stray AND {top} >= 1").select(
         "s", F.explode(F.expr(f"sequence({size_class(f'greatest(n * {PERCENT - 1} / 100D, 1D)')}, greatest({size_class(f'least({top}, n * 100 / {PERCENT - 1}D)')}, {size_class(f'greatest(n * {PERCENT - 1} / 100D, 1D)')}))")).alias("class"),
-        F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("i").alias("i_a"),
+        F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("i").alias("i_a"),
     )
-    offer = placed.select("s", F.expr(size_class("n")).alias("class"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("i").alias("i_b"))
+    offer = placed.select("s", F.expr(size_class("n")).alias("class"), F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("i").alias("i_b"))
     both = seek.join(offer, ["s", "class"]).where((F.col("label_a") != F.col("label_b")) & similar_sizes("n_a", "n_b"))
     both = both.where(F.expr(f"{need} * least(n_a - i_a, n_b - i_b) >= {PERCENT} * (n_a + n_b)"))
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets are similar enough. ``pairs`` is a written table.
+def confirm(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), a written table, those whose full sets are similar enough, compared as words."""
+    words = texts.select("row", "words")
+    both = pairs.join(words.withColumnsRenamed({"row": "a", "words": "x"}), "a").join(words.withColumnsRenamed({"row": "b", "words": "y"}), "b")
 
-    Each side's texts are read anew and become sets; the sets of ``a`` travel to those of ``b``. Ids that repeat with
-    other texts are linked if any of their texts are.
-    """
-
-    def sets(of: str) -> DataFrame:
-        return shingle_sets(docs, pairs.select(F.col(of).alias("id")).distinct(), id_col, text_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 500):
+            found = (shingles.common_and_union(x, y, WORDS) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
+            yield record(a=part.column(0), b=part.column(1)).filter(pa.array([100 * common >= PERCENT * union for common, union in found], pa.bool_()))
 
-    left = pairs.join(sets("a").withColumnsRenamed({"id": "a", "shingles": "x"}), "a")
-    both = left.join(sets("b").withColumnsRenamed({"id": "b", "shingles": "y"}), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sum"))
-    return both.where(F.expr(f"100 * common >= {PERCENT} * (sum - common)")).select("a", "b")
+    return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
@@ -187,42 +181,52 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
 
 
 def labelled(frame: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add ``label`` to rows with ``id``: the component, or the id itself."""
-    return frame.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    """Add ``label`` to rows: the component, or the row itself."""
+    return frame.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Component of every document: id, n_shingles, component_id (least id reachable, its own included), kept.
+    """Component of every row: id, n_shingles, component_id (least id reachable, its own included), kept.
 
     Words are cut at the space and 0x09 to 0x0D, A-Z lower-cased; a text with fewer than five words has its whole
     sequence as its one shingle; null, empty and blank texts have none and are linked with nothing. Rows that repeat an
-    id count as one document; a row without an id links others, but is never a component's id: it is kept only if its
-    component has no id at all. An empty table gives an empty result; other columns aren't read.
+    id are one document: those with shingles share a component. A row without an id is linked like any other, but is
+    never a component's id: its component_id is null, and it is kept, only if its component has no id at all. An empty
+    table gives an empty result; other columns aren't read.
     """
     rows = materialize(signatures(docs, id_col, text_col), "signatures")
-    full = rows.where(F.col("n") > 0)
-    reps = full.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keys = reps.where(F.col("id").isNotNull()).select(F.explode("bands").alias("key"), "id", "n")
-    hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct("id", "n")).alias("hub")).where("_size > 1").drop("_size")
-    buckets = materialize(keys.join(hubs, "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-
-    stars = buckets.where((F.col("id") != F.col("hub")) & similar_sizes("n", "hub_n")).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("_shared"))
-    stars = stars.groupBy("id").agg(F.max(F.struct("_shared", (-F.col("hub")).alias("_neg"))).alias("best"))
-    stars = materialize(stars.select(F.col("id").alias("a"), (-F.col("best._neg")).alias("b")), "stars")
-    links = materialize(confirm(docs, stars, id_col, text_col), "links")
-
-    members = materialize(labelled(buckets.select("key", "id", "n"), components(links)), "members")
+    full = rows.where("n > 0").select("row", "id", "n", "digest", "bands")
+    reps = full.groupBy("digest").agg(F.min(F.struct("row", "n", "bands")).alias("rep"), F.min("id").alias("id"))
+    reps = materialize(reps.select("digest", "rep.row", "rep.n", "rep.bands", "id"), "representatives")
+    # Rows of one id with other words: each representative is linked to the least one of the id.
+    repeated = full.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("_rows"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+    repeated = repeated.where("_rows > 1 AND least <> most").select("id", "least")
+    same_id = full.select("id", "digest").join(repeated, "id").where("digest <> least").select("digest", "least").distinct()
+    number = reps.select("digest", F.col("row").alias("a"))
+    same_id = same_id.join(number, "digest").select("a", F.col("least").alias("digest")).join(number.withColumnRenamed("a", "b"), "digest").select("a", "b")
+
+    keys = reps.select(F.explode("bands").alias("key"), "row", "n")
+    hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct("row", "n")).alias("hub")).where("_size > 1").drop("_size")
+    buckets = materialize(keys.join(hubs, "key").select("key", "row", "n", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+
+    stars = buckets.where((F.col("row") != F.col("hub")) & similar_sizes("n", "hub_n")).groupBy("row", "hub").agg(F.count(F.lit(1)).alias("_shared"))
+    stars = stars.groupBy("row").agg(F.max(F.struct("_shared", (-F.col("hub")).alias("_neg"))).alias("best"))
+    stars = materialize(stars.select(F.col("row").alias("a"), (-F.col("best._neg")).alias("b")), "stars")
+    links = materialize(confirm(rows, stars).unionByName(same_id), "links")
+
+    members = materialize(labelled(buckets.select("key", "row"), components(links)), "members")
     mixed = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_size")).groupBy("key").agg(F.count(F.lit(1)).alias("_labels"), F.max(F.struct("_size", "label")).alias("_top")).where("_labels > 1")
     inside = members.join(mixed.select("key", F.col("_top.label").alias("_main")), "key")
-    inside = inside.groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.max(F.col("label") != F.col("_main")).alias("stray"))
-    pairs = prefix_pairs(docs, materialize(inside, "inside"), id_col, text_col)
+    inside = inside.groupBy("row").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("_main")).alias("stray"))
+    pairs = prefix_pairs(rows, materialize(inside, "inside"))
     known = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialize(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-    more = confirm(docs, pairs, id_col, text_col)
 
-    labels = materialize(components(links.unionByName(more)), "labels")
+    labels = materialize(components(links.unionByName(confirm(rows, pairs))), "labels")
     # Written first, so that the join below is between two shuffles and a digest of very many copies can be split.
-    classes = materialize(labelled(reps.select("digest", "id"), labels).select("digest", F.col("label").alias("_label")), "classes")
+    of = labelled(reps.select("digest", "row", "id"), labels)
+    least = of.groupBy("label").agg(F.min("id").alias("_component"))
+    classes = materialize(of.join(least, "label").select("digest", "_component"), "classes")
     out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    component = F.coalesce("_label", "id")
+    component = F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

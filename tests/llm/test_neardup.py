@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from assayloom.llm import neardup, shingles
+from assayloom.session import materialize
 
 
 def word_set(text):
@@ -67,22 +68,43 @@ def test_prefix_pairs_are_complete(spark):
     for i, s in sets.items():
         first.setdefault(s, i)
     ids = [i for s, i in first.items() if s]
-    members = spark.createDataFrame([(i, len(sets[i]), i, True) for i in ids], "id long, n long, label long, stray boolean")
-    pairs = {(r.a, r.b) for r in neardup.prefix_pairs(docs, members, "doc_id", "text").collect()}
+    texts = materialize(neardup.signatures(docs), "signatures")
+    row = {r.id: r.row for r in texts.collect()}
+    members = spark.createDataFrame([(row[i], row[i], True) for i in ids], "row long, label long, stray boolean")
+    pairs = {(r.a, r.b) for r in neardup.prefix_pairs(texts, members).collect()}
     for k, a in enumerate(ids):
         for b in ids[:k]:
             n = len(sets[a] & sets[b])
             if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
-                assert (max(a, b), min(a, b)) in pairs
+                assert (max(row[a], row[b]), min(row[a], row[b])) in pairs
 
 
 def test_repeated_and_missing_ids(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u v"), (7, "x y z w v u")], "doc_id long, text string")
-    got = neardup.near_duplicates(docs).collect()
-    assert len(got) == 5 and [r.component_id for r in got if r.doc_id == 1] == [1, 1]
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(59)]
+    inside = " ".join(base[:58])  # 54 of 55 shingles
+    other = [" ".join(f"{rng.randint(0, 999)}" for _ in range(30)) for _ in range(4)]
+    rows = [(5, " ".join(base)), (None, inside), (None, other[0]), (None, other[0] + " x"), (7, other[1]), (7, other[2]), (3, other[2]), (9, other[1]), (7, ""), (None, None), (2, other[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row", "2 as words", "3 as digest", "4 as bands")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in neardup.near_duplicates(docs).collect())
+    # A row without an id is linked; rows of one id are one document, and link what each of them is linked with.
+    assert got == sorted([(5, 55, 5, True), (0, 54, 5, False), (0, 26, 0, True), (0, 27, 0, True), (7, 26, 3, False), (7, 26, 3, False), (3, 26, 3, True), (9, 26, 3, False), (7, 0, 7, True), (0, 0, 0, True), (2, 26, 2, True)])
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_words_of_one_hash_are_no_link(spark, monkeypatch):
+    """Links are confirmed on words: equal hashes make candidates only."""
+    a, b = ("".join("ab"[bin(i + k).count("1") & 1] for i in range(1024)) for k in (0, 1024))
+    assert neardup.near_duplicates(spark.createDataFrame([(1, a), (2, b.translate(str.maketrans("ab", "ba")) if a == b else b)], "doc_id long, text string")).where("kept").count() == 2 - (a == b)
+    assert shingles.common_and_union(b"a b c d e f", b"a b c d e g") == (1, 3)
+    rng = random.Random(1)
+    for _ in range(300):
+        x, y = (" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        common, union = shingles.common_and_union(x.encode(), y.encode())
+        s, t = word_set(x), word_set(y)
+        assert common == len(s & t) and (not s or not t or not common or union == len(s | t))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     for n in (3, 40, 2000):
