@@ -3,28 +3,30 @@
 A feature is the presence of a character 3-, 4- or 5-gram in the lower-cased text, where every non-letter counts
 as one boundary mark. Its value is the log-count ratio of the n-gram between toxic and other training documents; a
 logistic regression on those values gives the score. Only n-grams whose ratio is clearly off zero become features, so a
-long clean document isn't carried over the threshold by its mere number of n-grams.
+long clean document isn't carried over the threshold by its mere number of n-grams. All such n-grams of the sample are
+features, counted exactly over all letters of all scripts.
 
-The classifier is fitted on a bounded sample of labelled rows (``TRAIN_DOCS``, a third of them toxic); scoring reads every
-whole text, in blocks, so that memory doesn't grow with the length of a text.
+The classifier is fitted on a bounded sample of labelled rows (``TRAIN_DOCS`` rows, a third of them toxic, and
+``TRAIN_BYTES`` of text); scoring reads every whole text, in blocks, so that memory doesn't grow with a text's length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.worker import tidy
-from assayloom.session import small_batches
+from assayloom.llm.worker import map_arrow, parts
 
 #: At most about so many labelled documents are fitted.
 TRAIN_DOCS = 3600
-MAX_FEATURES = 30_000
+#: Bytes of their texts, at most about (a class's first text counts whatever its size).
+TRAIN_BYTES = 32_000_000
 #: An n-gram is a feature from this absolute log-count ratio on.
 LEAST_RATIO = 1.8
 LEAST_DOCS = 3
@@ -33,21 +35,30 @@ THRESHOLD = 0.7
 BITS = 22
 BLOCK = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Training texts whose n-grams are counted at a time.
+COUNTED = 200
 
 
-def symbols(text: str, table: np.ndarray) -> np.ndarray:
-    """Alphabet numbers of the lower-cased text, between boundary marks."""
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """For each code point, itself if it is a letter, else 1."""
+    return np.array([c if chr(c).isalpha() else 1 for c in range(0x110000)], np.uint32)
+
+
+def symbols(text: str) -> np.ndarray:
+    """Letters of the lower-cased text as code points, between boundary marks."""
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    return table[points].astype(np.uint64)
+    return letters()[points].astype(np.uint64)
 
 
 def codes(marks: np.ndarray) -> Iterator[np.ndarray]:
-    """Exact codes of all n-grams, 7 bits a symbol; lengths don't collide as symbols are at least 1."""
+    """64-bit codes of all n-grams: a polynomial over at most five code points, its degree told by its last term."""
     have = marks
     for n in range(2, max(LENGTHS) + 1):
-        have = (have[:-1] << np.uint64(7)) | marks[n - 1 :]
+        have = have[:-1] * _STEP + marks[n - 1 :]
         if n in LENGTHS:
-            yield have
+            yield have + np.uint64(n << 40)
 
 
 def slot(code: np.ndarray) -> np.ndarray:
@@ -56,64 +67,51 @@ def slot(code: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Sorted n-gram codes with their weights (ratio times coefficient), bias, alphabet."""
+    """Sorted n-gram codes with their weights (ratio times coefficient), and the bias."""
 
-    table: np.ndarray
     code: np.ndarray
     weight: np.ndarray
     bias: float
 
 
-def alphabet(texts: list[str]) -> np.ndarray:
-    """Code point to symbol: 1 for all that isn't a letter, 2..126 for the commonest letters, 127 for other letters."""
-    seen: dict[str, int] = {}
-    for text in texts:
-        for c in set(text.lower()):
-            if c.isalpha():
-                seen[c] = seen.get(c, 0) + 1
-    table = np.ones(0x110000, np.uint8)
-    letters = sorted(seen, key=lambda c: (-seen[c], c))
-    for c in letters[125:]:
-        table[ord(c)] = 127
-    for i, c in enumerate(letters[:125]):
-        table[ord(c)] = i + 2
-    return table
+def grams(text: str) -> np.ndarray:
+    """Distinct codes of a text's n-grams."""
+    return np.unique(np.concatenate(list(codes(symbols(text)))))
+
+
+def places(code: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where in the sorted codes those found stand that are among them."""
+    at = np.searchsorted(code, found)
+    at[at == len(code)] = 0
+    return at[code[at] == found]
+
+
+def counted(sets: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their counts by class, added up."""
+    uniq, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    return uniq, np.stack([np.bincount(inverse, weights=w, minlength=len(uniq)).astype(np.int32) for w in np.concatenate(counts, axis=1)])
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 250, penalty: float = 2e-4) -> Model:
     """Ratios and logistic regression. Without both classes the score is constant: the share of toxic rows."""
-    table = alphabet(texts)
     y = np.array(toxic, float)
     none = np.zeros(0, np.uint64)
     if not 0 < y.sum() < len(y):
-        return Model(table, none, np.zeros(0), 40.0 if y.sum() else -40.0)
-    # Pass 1: documents of each class by hashed slot, to find where the telling n-grams are.
-    hashed = np.zeros((2, 1 << BITS), np.int32)
-    for text, t in zip(texts, toxic, strict=True):
-        marks = symbols(text, table)
-        hashed[int(t), np.unique(np.concatenate([slot(c) for c in codes(marks)] or [none]))] += 1
+        return Model(none, np.zeros(0), 40.0 if y.sum() else -40.0)
     sizes = np.array([len(y) - y.sum(), y.sum()])
-
-    def ratio(counts: np.ndarray) -> np.ndarray:
-        p = (counts + 1.0) / (sizes[:, None] + 2.0)
-        return np.log(p[1]) - np.log(p[0])
-
-    telling = (np.abs(ratio(hashed)) >= LEAST_RATIO) & (hashed.sum(axis=0) >= LEAST_DOCS)
-    # Pass 2: the exact n-grams there.
-    kept = [np.unique(np.concatenate([c[telling[slot(c)]] for c in codes(symbols(text, table))] or [none])) for text in texts]
-    lengths = np.array([len(k) for k in kept])
-    uniq, inverse = np.unique(np.concatenate(kept), return_inverse=True)
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    counts = np.stack([np.bincount(inverse[y[doc] == t], minlength=len(uniq)) for t in (0, 1)])
-    r = ratio(counts)
-    worth = np.where((np.abs(r) >= LEAST_RATIO) & (counts.sum(axis=0) >= LEAST_DOCS), np.abs(r) * np.sqrt(counts.sum(axis=0)), 0.0)
-    chosen = np.sort(np.argsort(-worth, kind="stable")[: min(MAX_FEATURES, int((worth > 0).sum()))])
+    uniq, counts = none, np.zeros((2, 0), np.int32)
+    for at in range(0, len(texts), COUNTED):
+        kept = [grams(t) for t in texts[at : at + COUNTED]]
+        classes = [np.stack([np.full(len(k), 1 - t, np.int32), np.full(len(k), t, np.int32)]) for k, t in zip(kept, toxic[at : at + COUNTED], strict=True)]
+        uniq, counts = counted([uniq, *kept], [counts, *classes])
+    p = (counts + 1.0) / (sizes[:, None] + 2.0)
+    r = np.log(p[1]) - np.log(p[0])
+    chosen = np.flatnonzero((np.abs(r) >= LEAST_RATIO) & (counts.sum(axis=0) >= LEAST_DOCS))
     if not len(chosen):
-        return Model(table, none, np.zeros(0), float(np.log(sizes[1] / sizes[0])))
-    place = np.full(len(uniq), -1)
-    place[chosen] = np.arange(len(chosen))
-    mine = place[inverse] >= 0
-    doc, feature, r = doc[mine], place[inverse[mine]], r[chosen]
+        return Model(none, np.zeros(0), float(np.log(sizes[1] / sizes[0])))
+    uniq, r = uniq[chosen], r[chosen]
+    found = [places(uniq, grams(t)) for t in texts]
+    doc, feature = np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.concatenate(found)
     w, bias = np.full(len(chosen), 0.05), 0.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for k in range(1, rounds + 1):  # Adam over all rows
@@ -123,7 +121,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 250, penalty: float =
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return Model(table, uniq[chosen], w * r, float(bias))
+    return Model(uniq, w * r, float(bias))
 
 
 class Scorer:
@@ -138,12 +136,9 @@ class Scorer:
         model, found = self.model, []
         if text and len(model.code):
             for start in range(0, len(text), BLOCK):
-                marks = symbols(text[max(0, start - max(LENGTHS)) : start + BLOCK], model.table)
+                marks = symbols(text[max(0, start - max(LENGTHS)) : start + BLOCK])
                 for c in codes(marks):
-                    c = c[self.here[slot(c)]]
-                    at = np.searchsorted(model.code, c)
-                    at[at == len(model.code)] = 0
-                    found.append(at[model.code[at] == c])
+                    found.append(places(model.code, c[self.here[slot(c)]]))
         z = model.bias + (model.weight[np.unique(np.concatenate(found))].sum() if found else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
@@ -153,10 +148,13 @@ def held_out_expr(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on about ``bound`` labelled rows that are not held out, chosen by the hash of the id, a third of them toxic.
+def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", size: int = TRAIN_BYTES) -> Model:
+    """Fit on about ``bound`` labelled rows that are not held out, chosen by the hash of the id, a third of them toxic,
+    with at most about ``size`` bytes of text.
 
-    The chosen ids are at most about 1.2 times ``bound`` rows, so they are broadcast to the documents.
+    The chosen ids are at most about 1.2 times ``bound`` rows, so they are broadcast to the documents. Labels other than
+    0 and 1, null ids and null texts aren't learnt from; an id that repeats counts each time; without both labels the
+    score is constant.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out_expr(id_col))
     usable = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic"))
@@ -166,9 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, id_col: s
     share = F.when(F.col("_toxic") == 1, min(1.0, 1.2 * want[1] / max(1, counts.get(1, 0)))).otherwise(min(1.0, 1.2 * want[0] / max(1, counts.get(0, 0))))
     few = usable.withColumn("_place", place).where(F.col("_place") < share)
     first = Window.partitionBy("_toxic").orderBy("_place", "_id")
-    ids = few.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= F.when(F.col("_toxic") == 1, want[1]).otherwise(want[0]))
+    ids = few.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= F.when(F.col("_toxic") == 1, want[1]).otherwise(want[0])).select("_id", "_toxic", "_place")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    rows = texts.join(F.broadcast(ids), "_id").select("_id", "_text", "_toxic").collect()
+    rows = texts.join(F.broadcast(ids), "_id").select("_id", "_text", "_toxic", "_place")
+    first = Window.partitionBy("_toxic").orderBy("_place", "_id", "_text")
+    rows = rows.withColumn("_k", F.row_number().over(first)).withColumn("_bytes", F.sum(F.octet_length("_text")).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    share = F.when(F.col("_toxic") == 1, size // 3).otherwise(size - size // 3)
+    rows = rows.where((F.col("_k") <= bound) & ((F.col("_bytes") <= share) | (F.col("_k") == 1))).select("_id", "_text", "_toxic").collect()
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
@@ -179,15 +181,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     Null and empty texts get the score of a text without any feature. Repeated rows are scored alike; an empty table
     gives an empty result. Other columns are passed on only if in ``keep``; a ``score`` of the input is replaced.
     """
-    keep = [c for c in (keep or [id_col]) if c not in ("score", "_text")]
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = rows.drop("_text").schema.add("score", "double")
+    keep = [c for c in (keep or [id_col]) if c != "score"]
+    rows = docs.select(F.col(text_col), *keep).toDF(*[f"c{i}" for i in range(len(keep) + 1)])
+    schema = docs.select(*keep).schema.add("score", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
-            out = batch.drop(columns="_text")
-            out["score"] = [scorer.score(t if isinstance(t, str) else None) for t in batch["_text"]]
-            yield out
+        for part in parts(batches, 1000):
+            scores = [scorer.score(t) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(scores, pa.float64())], schema.names)
 
-    return small_batches(rows).mapInPandas(tidy(run), schema)
+    return map_arrow(rows, run, schema)

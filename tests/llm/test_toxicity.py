@@ -1,7 +1,10 @@
 """Toxicity: held-out accuracy on a planted lexicon, block-wise scoring, and edge cases."""
 
+import math
 import random
 
+import numpy as np
+
 from assayloom.llm import toxicity
 
 GOOD = ["river", "stone", "garden", "window", "market", "silver", "letter", "summer"]
@@ -44,3 +47,34 @@ def test_table(spark):
     by = {r.doc_id: r.score for r in found}
     assert sum((by[i] >= 0.7) == bool(y) for i, (_, y) in enumerate(sample(3, 300))) >= 295
     assert toxicity.score_documents(docs.limit(0), toxicity.train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_model_equals_brute_force():
+    """Ratios and scores by plain dictionaries of strings."""
+    texts, marks = zip(*sample(4, 120), strict=True)
+    texts = [*texts, "Straße ПЛОХО река", "плохо 漢字かな 😀 x"]
+    marks = [*marks, 1, 0]
+    model = toxicity.fit(texts, marks)
+
+    def grams(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        return {s[i : i + n] for n in toxicity.LENGTHS for i in range(len(s) - n + 1)}
+
+    counts: dict = {}
+    for t, y in zip(texts, marks, strict=True):
+        for g in grams(t):
+            counts.setdefault(g, [0, 0])[y] += 1
+    sizes = (len(marks) - sum(marks), sum(marks))
+    ratio = {g: math.log((c[1] + 1) / (sizes[1] + 2)) - math.log((c[0] + 1) / (sizes[0] + 2)) for g, c in counts.items()}
+    telling = {g for g, r in ratio.items() if abs(r) >= toxicity.LEAST_RATIO and sum(counts[g]) >= toxicity.LEAST_DOCS}
+    assert len(telling) == len(model.code)
+
+    def code(g):
+        marks_ = np.array([ord(c) if c.isalpha() else 1 for c in g], np.uint64)
+        return int(list(toxicity.codes(marks_))[len(g) - 3][0])
+
+    weight = dict(zip(model.code.tolist(), model.weight.tolist(), strict=True))
+    scorer = toxicity.Scorer(model)
+    for t, _ in sample(6, 40):
+        z = model.bias + sum(weight[code(g)] for g in grams(t) & telling)
+        assert abs(scorer.score(t) - 1 / (1 + math.exp(-z))) < 1e-9
