@@ -2,37 +2,71 @@
 
 A word that the training sample knows is scored by its log frequency in each language. An unseen word falls back to its
 character n-grams, longest first: the first length of which any n-gram is known gives the score (their mean), down to
-single characters. A document's language has the largest sum over its words.
+single characters. A document's language has the largest sum over its words. A word is a run of letters with the marks
+that belong to them; Han characters and kana, which are written without spaces, are words each.
 
-The model is fitted on a bounded sample of labelled rows (``TRAIN_DOCS``, shared evenly by the languages); scoring reads
-every whole text. The model has at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams, whatever the input.
+The model is fitted on a bounded sample of labelled rows (``TRAIN_DOCS`` rows and ``TRAIN_BYTES`` of text, shared evenly by
+the languages, of which the ``TRAIN_DOCS`` commonest are learnt); it holds all words and n-grams of that sample that occur
+often enough to tell. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.worker import held, tidy
-from assayloom.session import small_batches
+from assayloom.llm.worker import held, map_arrow, parts
 
-#: At most about so many labelled documents are fitted, in all languages together.
+#: At most about so many labelled documents are fitted, in all languages together, with so many bytes of text.
 TRAIN_DOCS = 4000
-MAX_WORDS = 120_000
-MAX_GRAMS = 120_000
+TRAIN_BYTES = 24_000_000
 #: Unseen words whose scores a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
+#: Characters read at a time, about.
+BLOCK = 500_000
+SPACE = re.compile(r"\s")
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Han characters and kana.
+SINGLE = "\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
+
+@lru_cache(1)
+def word_pattern() -> re.Pattern:
+    """A single character, or a run of letters and the marks between and after them."""
+    marks = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"]
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(marks), lambda x: x[1] - x[0])]
+    joined = "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
+    return re.compile(f"[{SINGLE}]|[^\\W\\d_{SINGLE}]+(?:[{joined}]+[^\\W\\d_{SINGLE}]*)*")
+
+
+def words_of(text: str) -> list[str]:
+    found = word_pattern().findall(text.lower())
+    return found if text.isascii() else [w for w in found if any(map(str.isalpha, w))]  # fractions and the like are no words
+
+
+def blocks(text: str) -> Iterator[list[str]]:
+    """The words in parts of a bounded size, so that a very long text doesn't become one list."""
+    step, at = max(1, MEMO // 2), 0
+    while at < len(text):
+        end = len(text)
+        if end > at + BLOCK and (space := SPACE.search(text, at + BLOCK)):
+            end = space.start()
+        words = words_of(text[at:end])
+        yield from (words[i : i + step] for i in range(0, len(words), step))
+        at = end
 
 
 @dataclass
@@ -60,11 +94,10 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     at = {x: i for i, x in enumerate(names)}
     words: dict[str, list[int]] = {}
     for text, lang in zip(texts, langs, strict=True):
-        for word, n in Counter(WORD.findall(text.lower())).items():
+        for word, n in Counter(words_of(text)).items():
             words.setdefault(word, [0] * len(names))[at[lang]] += n
     known = [w for w, c in words.items() if sum(c) >= 2]
-    known.sort(key=lambda w: (-sum(words[w]), w))
-    known = known[:MAX_WORDS]
+    known.sort()
     grams: dict[str, list[int]] = {}
     for word, counts in words.items():
         for n in LENGTHS:
@@ -73,8 +106,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
                 for i, c in enumerate(counts):
                     had[i] += c
     kept = [g for g, c in grams.items() if sum(c) >= 3 and not g.isspace()]
-    kept.sort(key=lambda g: (-sum(grams[g]), g))
-    kept = kept[:MAX_GRAMS]
+    kept.sort()
 
     def posteriors(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
         logs = np.log((counts + 0.5) / (totals + 1.0))
@@ -84,8 +116,13 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     shape = (-1, len(names))
     by_word = np.array([words[w] for w in known], float).reshape(shape)
     by_gram = np.array([grams[g] for g in kept], float).reshape(shape)
-    totals = by_word.sum(axis=0) if len(known) else np.ones(len(names))
-    rows = np.concatenate([posteriors(by_word, totals), posteriors(by_gram, totals)])
+    rows = [posteriors(by_word, by_word.sum(axis=0))] if known else []
+    sizes = np.array([len(g) for g in kept])
+    by_size = np.zeros_like(by_gram)
+    for n in LENGTHS:  # n-grams of one length share their total
+        if (sizes == n).any():
+            by_size[sizes == n] = posteriors(by_gram[sizes == n], by_gram[sizes == n].sum(axis=0))
+    rows = np.concatenate([*rows, by_size])
     return Model(names, {w: i for i, w in enumerate(known)}, {g: len(known) + i for i, g in enumerate(kept)}, rows.astype(np.float32))
 
 
@@ -95,10 +132,18 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.base = model, len(model.rows)
         self.rows = np.concatenate([model.rows, np.zeros((MEMO, len(model.langs)), np.float32)])
-        self.forget()
-
-    def forget(self) -> None:
-        self.index, self.used = dict(self.model.words), self.base
+        self.index, self.memo = dict(model.words), []
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the scores of unseen words; when there are too many, those remembered so far go."""
+        if len(self.memo) + len(words) > len(self.rows) - self.base:
+            for w in self.memo:
+                del self.index[w]
+            self.memo = []
+        for w in words:
+            place = self.base + len(self.memo)
+            self.rows[place], self.index[w] = self.backoff(w), place
+            self.memo.append(w)
 
     def backoff(self, word: str) -> np.ndarray:
         for n in LENGTHS:
@@ -109,49 +154,38 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[str, float]:
         """The language and its posterior; ``und`` and 0 if the text is null or has no letter."""
-        words = WORD.findall(text.lower()) if text else []
-        if not any(map(str.isalpha, words)) and not any(map(str.isalpha, "".join(words))):
-            return UNKNOWN, 0.0
-        if not self.model.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.langs))
-        for start in range(0, len(words), 100_000):  # a very long text in parts, so that memory stays bounded
-            part = words[start : start + 100_000]
+        total, some = np.zeros(len(self.model.langs)), False
+        for part in blocks(text or "") if self.model.langs else ():
+            some = True
             places = list(map(self.index.get, part))
             if None in places:
-                new = {w for w, p in zip(part, places, strict=True) if p is None}
-                if self.used + len(new) > len(self.rows):
-                    self.forget()
-                for w in new:
-                    self.rows[self.used] = self.backoff(w)
-                    self.index[w] = self.used
-                    self.used += 1
+                self.learn(list({w: None for w, p in zip(part, places, strict=True) if p is None}))
                 places = list(map(self.index.get, part))
-                if None in places:  # known before forgetting: score those again
-                    for w in {w for w, p in zip(part, places, strict=True) if p is None}:
-                        self.rows[self.used] = self.backoff(w)
-                        self.index[w] = self.used
-                        self.used += 1
+                if None in places:  # remembered before the others went
+                    self.learn(list({w: None for w, p in zip(part, places, strict=True) if p is None}))
                     places = list(map(self.index.get, part))
-            total += self.rows[np.array(places)].sum(axis=0, dtype=np.float64)
+            total += self.rows[places].sum(axis=0, dtype=np.float64)
+        if not some:
+            return UNKNOWN, 0.0
         best = int(total.argmax())
         return self.model.langs[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
-def training_sample(docs: DataFrame, bound: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """About ``bound`` labelled texts, as many of each language, chosen by the hash of the text."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
-    if not counts:
+def training_sample(docs: DataFrame, bound: int, id_col: str, text_col: str, lang_col: str, size: int = TRAIN_BYTES) -> tuple[list[str], list[str]]:
+    """About ``bound`` labelled texts of about ``size`` bytes, as many of each language, chosen by the hash of the text.
+    A language's first text counts whatever its size."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    counts = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(bound)
+    counts = docs.sparkSession.createDataFrame([tuple(r) for r in counts.collect()], "_lang string, _n long")
+    langs = counts.count()
+    if not langs:
         return [], []
-    each = max(1, bound // len(counts))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.2 * each / n))).otherwise(share)
-    place = (F.pmod(F.xxhash64(text_col), F.lit(1 << 40)) / float(1 << 40)).alias("_place")
-    few = labelled.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), place, share.alias("_share")).where("_place < _share")
+    each = max(1, bound // langs)
+    place = F.pmod(F.xxhash64("_text"), F.lit(1 << 40)) / float(1 << 40)
+    few = labelled.join(F.broadcast(counts), "_lang").withColumn("_place", place).where(F.col("_place") < 1.2 * each / F.col("_n"))
     first = Window.partitionBy("_lang").orderBy("_place", "_text")
-    found = few.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= each).select("_text", "_lang").collect()
+    few = few.withColumn("_k", F.row_number().over(first)).withColumn("_bytes", F.sum(F.octet_length("_text")).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    found = few.where((F.col("_k") <= each) & ((F.col("_bytes") <= size // langs) | (F.col("_k") == 1))).select("_text", "_lang").collect()
     return [r[0] for r in found], [r[1] for r in found]
 
 
@@ -167,23 +201,31 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     gives ``und`` everywhere. Ties go to the language that sorts first. Other columns are passed on only if in ``keep``;
     ``lang_pred`` and ``score`` of the input are replaced.
     """
-    keep = [c for c in (keep or [id_col]) if c not in ("lang_pred", "score", "_text")]
-    own = text_col in keep  # then the text isn't sent twice
-    rows = docs.select(*keep) if own else docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    keep = [c for c in (keep or [id_col]) if c not in ("lang_pred", "score")]
+    found = predict(docs.select(F.col(text_col), *keep), model, text_col in keep)
+    return found
+
+
+def predict(rows: DataFrame, model: Model, own: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns after the first, which is the text, with language and posterior under the given names; if ``own``, the
+    text is among the others too and isn't sent twice."""
+    count = len(rows.columns)
+    plain = rows.toDF(*[f"c{i}" for i in range(count)])
+    text = rows.columns.index(rows.columns[0], 1) if own else 0
+    schema = plain.drop("c0").schema.add("lang_pred", "string").add("score", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held(("language", model.name), lambda: Scorer(model))
-        for batch in batches:
-            found = [scorer.score(t if isinstance(t, str) else None) for t in batch[text_col if own else "_text"]]
-            out = batch if own else batch.drop(columns="_text")
-            out["lang_pred"] = [f[0] for f in found]
-            out["score"] = [f[1] for f in found]
-            yield out
+        for part in parts(batches, 1000):
+            found = [scorer.score(t) for t in part.column(text - 1 if own else 0).to_pylist()]
+            columns = part.columns if own else part.columns[1:]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema.names)
 
-    return small_batches(rows).mapInPandas(tidy(run), schema)
+    out = map_arrow(plain.drop("c0") if own else plain, run, schema)
+    return out.toDF(*rows.columns[1:], *names)
 
 
 def train(docs: DataFrame, bound: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on the rows that are not held out and have a language."""
+    """Fit on the rows that are not held out and have a text and a language; repeated rows count once or more, as the sample
+    takes them. Without any such row the model knows no language. An empty text teaches nothing."""
     return fit(*training_sample(docs.where(~held_out_expr(id_col)), bound, id_col, text_col, lang_col))
