@@ -3,7 +3,7 @@
 1. Candidates: the base patterns (email, ip, card, phone) and looser ones (bracketed addresses, phone numbers without a
    country code, national ids, account numbers), each with its place, the text left and right of it.
 2. Five labelers vote on every candidate: strict form, usual shape, gazetteer, context words, clean borders.
-3. The votes of all candidates are counted by pattern (kind and votes: at most 8 * 3**5 rows, whatever the input);
+3. The candidates are counted by kind, votes and form (at most 384 patterns of votes times 80 forms, whatever the input);
    expectation-maximisation over those counts estimates each labeler's reliability by kind and the odds of each pattern.
 4. A logistic span classifier over form and context features is trained on the estimated odds, again over counts.
 5. Base matches that pass their checks are always spans; looser candidates are where the classifier says so.
@@ -106,14 +106,35 @@ def gazetteer_sql(kind: str, m: str) -> str:
     }[kind]
 
 
+#: Elements that a running sum or maximum copies at a time; it takes time in proportion to the array's length, and to the
+#: square of its number of blocks, which is small.
+SCAN = 256
+
+
+def running_sql(values: str, op: str) -> str:
+    """SQL of the sum (``+``) or maximum (``greatest``) of all values before each, for an array of integers; 0 at first."""
+    both = "{0} + {1}" if op == "+" else "greatest({0}, {1})"
+    inner = (
+        f"transform(sequence(0, greatest(size(v) - 1, 0) div {SCAN}), b -> aggregate(slice(v, b * {SCAN} + 1, {SCAN}), named_struct('at', 0, 'out', CAST(array() AS ARRAY<INT>)), "
+        f"(a, x) -> named_struct('at', {both.format('a.at', 'x')}, 'out', concat(a.out, array(a.at)))))"
+    )
+    outer = f"aggregate(w, named_struct('at', 0, 'out', CAST(array() AS ARRAY<INT>)), (a, x) -> named_struct('at', {both.format('a.at', 'x.at')}, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    joined = f"flatten(zip_with(w, {outer}, (x, o) -> transform(x.out, p -> {both.format('p', 'o')})))"
+    return let_sql("v", values, let_sql("w", inner, joined))
+
+
+def let_sql(name: str, value: str, body: str) -> str:
+    """SQL in which a value has a name, so that it is computed once and not once for each element that reads it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def candidates_sql(column: str, kind: str) -> str:
     """SQL of the array of candidates of a kind in a column with ``found`` (matches) and ``pieces`` (what is between)."""
     m, left, right = "c.m", "c.l", "c.r"
-    place = (
-        f"aggregate(sequence(1, size({column}.found)), named_struct('at', 0, 'out', CAST(array() AS ARRAY<STRUCT<s: INT, m: STRING, l: STRING, r: STRING>>)), "
-        f"(a, i) -> named_struct('at', a.at + length({column}.pieces[i - 1]) + length({column}.found[i - 1]), 'out', concat(a.out, array(named_struct("
-        f"'s', a.at + length({column}.pieces[i - 1]), 'm', {column}.found[i - 1], 'l', right({column}.pieces[i - 1], {LEFT}), 'r', left({column}.pieces[i], {RIGHT}))))), a -> a.out)"
-    )
+    sizes = f"zip_with({column}.found, slice({column}.pieces, 1, size({column}.found)), (m, q) -> length(m) + length(q))"
+    ends = f"zip_with({running_sql(sizes, '+')}, slice({column}.pieces, 1, size({column}.found)), (at, q) -> named_struct('s', at + length(q), 'l', right(q, {LEFT})))"
+    begun = f"zip_with({column}.found, {ends}, (m, x) -> named_struct('s', x.s, 'm', m, 'l', x.l))"
+    place = f"zip_with({begun}, slice({column}.pieces, 2, size({column}.found)), (x, q) -> named_struct('s', x.s, 'm', x.m, 'l', x.l, 'r', left(q, {RIGHT})))"
     vote = lambda test: f"IF({test}, 1, -1)"
     context = f"CASE WHEN rlike({left}, r'(?i)(?:^|[^a-z])(?:{GOOD_WORDS})[^a-z]{{1,4}}(?:is |at |no |number )?[^a-z]{{0,3}}$') THEN 1 WHEN rlike({left}, r'(?i)(?:^|[^a-z])(?:{BAD_WORDS})[^a-z]{{1,4}}$') THEN -1 ELSE 0 END"
     border = vote(f"NOT rlike({left}, r'[A-Za-z0-9_/=]$') AND NOT rlike({right}, r'^[A-Za-z0-9_/=]')")
@@ -266,11 +287,25 @@ def listed(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, c -> concat(c.kind, ':', c.start, ':', c.end)), ',')")
 
 
+#: Characters in a block of a text that is put together anew.
+BLOCK = 1024
+
+
+def gap_sql(blocks: str, start: str, end: str) -> str:
+    """SQL of a stretch of a text that is cut into blocks."""
+    first, last = f"({start}) div {BLOCK}", f"({end}) div {BLOCK}"
+    inside = f"substring({blocks}[CAST({first} AS INT)], ({start}) % {BLOCK} + 1, ({end}) - ({start}))"
+    begin = f"substring({blocks}[CAST({first} AS INT)], ({start}) % {BLOCK} + 1)"
+    middle = f"array_join(slice({blocks}, CAST({first} AS INT) + 2, CAST({last} - {first} AS INT) - 1), '')"
+    finish = f"IF(({end}) % {BLOCK} = 0, '', substring({blocks}[CAST({last} AS INT)], 1, ({end}) % {BLOCK}))"
+    return f"CASE WHEN ({start}) >= ({end}) THEN '' WHEN {first} = {last} THEN {inside} ELSE concat({begin}, {middle}, {finish}) END"
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one, of the first kind.
 
-    A row travels with its own candidates, so nothing is joined and repeated ids do no harm. Null and empty texts stay as
-    they are; all columns stay. Texts are searched twice: for the counts that train the classifier, then to replace.
+    A row travels with its own candidates, so nothing is joined; repeated rows and ids are each redacted alike. Null and
+    empty texts stay as they are; all columns stay; an empty table gives an empty result. Texts are searched twice: for the counts that train the classifier, then to replace.
     """
     found = find_candidates(docs.select(F.struct("*").alias("_row"), F.col(text_col)), "_row", text_col)
     model = fit(count_candidates(find_candidates(docs, id_col, text_col)))
@@ -278,11 +313,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kept = f"filter(found, c -> IF({is_base}, c.strict = 1, ({score_sql(model.weights)}) > 0))"
     ordered = f"array_sort(transform({kept}, c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind)))"
     text = f"doc_id.`{text_col}`"
-    cleaned = (
-        f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, c) -> IF(c.s < a.at, named_struct('at', greatest(a.at, c.e), 'out', a.out), "
-        f"named_struct('at', c.e, 'out', concat(a.out, substring({text}, a.at + 1, c.s - a.at), '[', upper(c.kind), ']'))), "
-        f"a -> concat(a.out, substring({text}, a.at + 1, length({text}))))"
+    # Spans that overlap become one: a span is its own head if it starts where all before it have ended. The text is cut
+    # into blocks, so that what stands between two spans is found without counting from the start of the text.
+    heads = (
+        f"filter(zip_with(spans, {running_sql('transform(spans, c -> c.e)', 'greatest')}, (c, past) -> named_struct('past', past, 's', c.s, 'kind', c.kind)), c -> c.s >= c.past)"
     )
+    between = gap_sql("blocks", "c.past", "c.s")
+    tail = gap_sql("blocks", "aggregate(spans, 0, (a, c) -> greatest(a, c.e))", "size_")
+    cleaned = f"concat(array_join(transform({heads}, c -> concat({between}, '[', upper(c.kind), ']')), ''), {tail})"
+    cleaned = let_sql("blocks", f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)", let_sql("size_", f"length({text})", cleaned))
     out = found.select("doc_id", F.expr(ordered).alias("spans"))
     out = out.select("doc_id", F.expr(f"IF(size(spans) = 0, {text}, {cleaned})").alias("_text"))
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns])

@@ -81,3 +81,30 @@ def test_estimation_finds_the_useless_labeler():
     assert a > 0.9 and b < 0.1 and abs(prior["email"] - 0.4) < 0.05
     a, b = right["email", "context"]
     assert abs(a - b) < 0.05
+
+
+def test_long_texts_take_linear_time(spark):
+    n = 40_000
+    text = " ".join(f"u{i}@m{i % 97}.example.com" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    base = pii.find_spans(docs).first().base
+    assert len(base) == n and [(c.start, c.end) for c in base[:2000]] == [(m.start(), m.end()) for m in re.finditer(r"\S+", text)][:2000] and base[-1].end == len(text)
+    assert pii.redact(docs).first().text == " ".join(["[EMAIL]"] * n)
+
+
+def test_redaction_equals_brute_force(spark):
+    rng = random.Random(6)
+    bits = ["a.b@c.de", "1.2.3.4", "4111 1111 1111 1111", "+1 716 555 8176", "x [at] y [dot] com", " ", "é😀", "\n", "555-123-4567", "123-45-6789", "DE44 5001 0517 5407 3249 31", "z" * 700, "10.0.0.1@host.com"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for r in pii.find_spans(docs).collect():
+        text, out, at = dict(rows)[r.doc_id], "", 0
+        for start, end, kind in sorted((c.start, c.end, c.kind) for c in r.spans):
+            if start >= at:
+                out += text[at:start] + f"[{kind.upper()}]"
+            at = max(at, end)
+        assert clean[r.doc_id] == out + text[at:]
+        extra = [(c.kind, c.start, c.end) for c in r.spans if c.kind in pii.EXTRA]
+        plain = {(k, m.start(), m.end()) for k in pii.EXTRA for m in re.finditer(pii.PATTERNS[k], text, re.ASCII)}
+        assert set(extra) <= plain
