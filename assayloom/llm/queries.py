@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.llm import decontaminate, language, media, neardup, packing, pii, secrets, sharding, store, tokens, toxicity
-from assayloom.session import scratch_path, table
+from assayloom.session import bound_batches, scratch_path, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def bounded(query: Query) -> Query:
+    """The query with Arrow batches of a bounded size, as it sends whole texts to Python."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,40 +32,6 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op1_sql(shards: int = 16, seed: int = 20) -> str:
-    """The sharding query for DuckDB: the rounds as a chain of selects, the walk as a recursive table."""
-    keys = sharding.round_keys(seed)
-
-    def rounds(source: str) -> str:
-        sql = source
-        for i, key in enumerate(keys):
-            a, b, mod = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
-            first, second = sharding.mix_sql(b, str(key), "//")
-            sql = f"SELECT * REPLACE (({a} + {second}) % {mod} AS {a}) FROM (SELECT *, {first} AS m FROM ({sql}))"
-            sql = f"SELECT * EXCLUDE (m) FROM ({sql})"
-        return f"SELECT * FROM ({sql})"
-
-    return f"""
-WITH RECURSIVE bits AS (SELECT range AS v, 0 AS k, range AS c FROM range(256)
-  UNION ALL SELECT v, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM bits WHERE k < 8),
-crc AS (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
-sized AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, {sharding.bucket_sql('doc_id')} AS bucket FROM documents),
-keyed AS (SELECT doc_id, length(h) // 2 + 1 AS size, bucket,
-    xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1),
-      lambda s, x: xor(t[xor(s & 255, x) + 1], s >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM sized, crc),
-counts AS (SELECT bucket, count(*) AS n FROM keyed GROUP BY bucket),
-offsets AS (SELECT bucket, coalesce(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_row, (sum(n) OVER ())::BIGINT AS total FROM counts),
-numbered AS (SELECT doc_id, size, text_crc32, total, first_row + row_number() OVER (PARTITION BY bucket ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number FROM keyed JOIN offsets USING (bucket)),
-sides AS (SELECT row_number, total, ceil(sqrt(total::DOUBLE))::BIGINT AS a FROM numbered),
-start AS (SELECT row_number, total, a, (total + a - 1) // a AS b, row_number % a AS l, row_number // a AS r FROM sides),
-walk AS (SELECT * FROM ({rounds('SELECT * FROM start')})
-  UNION ALL SELECT * FROM ({rounds('SELECT * FROM walk WHERE l + a * r >= total')})),
-done AS (SELECT row_number, l + a * r AS position FROM walk WHERE l + a * r < total)
-SELECT doc_id, size, text_crc32, 'rows' AS law, (position % {shards})::INTEGER AS shard, position // {shards} AS slot, NULL::INTEGER AS grown_shard, row_number, position
-FROM numbered JOIN done USING (row_number)
-"""
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -99,19 +79,33 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sharding": op1_sharding,
-    "op2_toxicity": op2_toxicity,
-    "op3_pii": op3_pii,
-    "op4_store": op4_store,
-    "op5_packing": op5_packing,
-    "op6_secrets": op6_secrets,
-    "op7_neardup": op7_neardup,
-    "op8_language": op8_language,
-    "op9_decontaminate": op9_decontaminate,
-    "op10_media": op10_media,
+QUERIES: dict[str, Query] = {
+    f.__name__: bounded(f) for f in (op1_sharding, op2_toxicity, op3_pii, op4_store, op5_packing, op6_secrets, op7_neardup, op8_language, op9_decontaminate, op10_media)
 }
 
+# Written apart from the query: keys, rounds and walk as recursive tables, a row for each round of each row number.
+OP1_SQL = """
+WITH RECURSIVE bits AS (SELECT range AS v, 0 AS k, range AS c FROM range(256)
+  UNION ALL SELECT v, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
+sized AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+keyed AS (SELECT doc_id, length(h) // 2 + 1 AS size,
+    xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1),
+      lambda s, x: xor(t[xor(s & 255, x) + 1], s >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM sized, crc),
+mixed AS (SELECT *, ((coalesce(doc_id, 0) % 2147483647 + 2147483647) % 2147483647 * 48271 + size % 2147483647 * 69621 + text_crc32) % 2147483647 AS m FROM keyed),
+numbered AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY m * 16807 % 2147483647 % 4096, doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number FROM mixed),
+round_keys AS (SELECT 0 AS i, 21::BIGINT * 48271 % 2147483647 AS key UNION ALL SELECT i + 1, key * 48271 % 2147483647 FROM round_keys WHERE i < 5),
+sides AS (SELECT count(*) AS total, ceil(sqrt(count(*)::DOUBLE))::BIGINT AS a FROM documents),
+walk AS (SELECT row_number, 0 AS i, row_number % a AS l, row_number // a AS r, total, a, (total + a - 1) // a AS b FROM numbered, sides
+  UNION ALL SELECT row_number, i + 1, CASE WHEN i % 2 = 0 THEN (l + f) % a ELSE l END, CASE WHEN i % 2 = 1 THEN (r + f) % b ELSE r END, total, a, b
+  FROM (SELECT *, (g + g // 32768 * 7919 + 12345) % 2147483647 * 69621 % 2147483647 AS f
+    FROM (SELECT w.*, (CASE WHEN w.i % 2 = 0 THEN w.r ELSE w.l END + key) % 2147483647 * 48271 % 2147483647 AS g FROM walk w JOIN round_keys k ON k.i = w.i % 6
+      WHERE w.i = 0 OR w.i % 6 <> 0 OR w.l + w.a * w.r >= w.total))),
+done AS (SELECT row_number, l + a * r AS position FROM walk WHERE i > 0 AND i % 6 = 0 AND l + a * r < total)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (position % 16)::INTEGER AS shard, position // 16 AS slot, NULL::INTEGER AS grown_shard, row_number, position
+FROM numbered JOIN done USING (row_number)
+"""
+
 OP7_SQL = r"""
 WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words),
@@ -124,5 +118,5 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, c.b AS component_id, doc_id = c.b A
 
 ORACLE: dict[str, str] = {
     "op7_neardup": OP7_SQL,
-    "op1_sharding": op1_sql(),
+    "op1_sharding": OP1_SQL,
 }

@@ -1,8 +1,10 @@
 """Reproducible sharding: a Feistel permutation with cycle walking over global row numbers.
 
-Rows get global numbers 0..N-1 without a global sort: ``id`` is mixed into one of ``BUCKETS`` buckets, each bucket is
-numbered by a window ordered by (id, size, checksum), and the running sum of the bucket counts is the offset of a
-bucket. The table of offsets has at most ``BUCKETS`` rows, whatever the input, so it is broadcast.
+Rows get global numbers 0..N-1 without a global sort: rows alike in id, size and checksum are counted as one group, whose
+key is mixed into one of ``BUCKETS`` buckets; each bucket is numbered by a window ordered by that key, and the running sum
+of the bucket counts is the offset of a bucket. The table of offsets has at most ``BUCKETS`` rows, whatever the input, so
+it is broadcast. A null or repeated id is spread by its texts, and copies without number are one group until they are
+written out, in stretches of ``STRETCH`` rows.
 
 The permutation works on Z_a x Z_b with a = ceil(sqrt(N)) and b = ceil(N / a): odd rounds add a keyed mix of the right
 half to the left one modulo a, even rounds the other way modulo b. a * b exceeds N by less than a, so fewer than one
@@ -16,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.session import materialize
+
 BUCKETS = 4096
 ROUNDS = 6
+#: Rows of one group that are written out together.
+STRETCH = 16_384
 PRIME = 2147483647
 
 
@@ -37,9 +43,9 @@ def mix_sql(value: str, key: str, div: str = "div") -> tuple[str, str]:
     return first, second
 
 
-def bucket_sql(key: str, buckets: int = BUCKETS) -> str:
-    """Bucket of an integer key, the same in Spark and in DuckDB; null keys share a bucket."""
-    return f"(((coalesce({key}, 0) % {PRIME} + {PRIME}) % {PRIME}) * 48271) % {PRIME} % {buckets}"
+def bucket_sql(key: str, size: str, crc: str, buckets: int = BUCKETS) -> str:
+    """Bucket of a group's key, three integers."""
+    return f"((((coalesce({key}, 0) % {PRIME} + {PRIME}) % {PRIME}) * 48271 + {size} % {PRIME} * 69621 + {crc}) % {PRIME} * 16807) % {PRIME} % {buckets}"
 
 
 def permuted(df: DataFrame, row: str, total: str, out: str, seed: int = 20) -> DataFrame:
@@ -79,23 +85,25 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 20, id_col: s
 
     Nulls: a null id is a key like any other and sorts first; a null text has size 1 and the checksum of nothing.
     Ties: rows alike in id, size and checksum are interchangeable; each still gets its own number. An empty table
-    gives an empty result. Other columns of the input are not read, so clashing names do no harm.
+    gives an empty result. Other columns of the input are not read, so clashing names do no harm. Texts are read once.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
-        F.col(id_col).cast("long").alias(id_col),
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.expr(bucket_sql(f"CAST(`{id_col}` AS BIGINT)")).alias("_bucket"),
+        F.col(id_col).cast("long").alias("_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
     )
-    counts = docs.select(F.expr(bucket_sql(f"CAST(`{id_col}` AS BIGINT)")).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    groups = keyed.groupBy("_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    groups = materialize(groups.withColumn("_bucket", F.expr(bucket_sql("_id", "size", "text_crc32"))), "groups")
+    counts = groups.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    inside = Window.partitionBy("_bucket").orderBy(id_col, "size", "text_crc32")
-    numbered = keyed.withColumn("_k", F.row_number().over(inside).cast("long") - 1).join(F.broadcast(offsets), "_bucket")
-    numbered = numbered.withColumn("row_number", F.col("_start") + F.col("_k"))
+    inside = Window.partitionBy("_bucket").orderBy("_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = groups.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(offsets), "_bucket")
+    numbered = numbered.withColumn("_first", F.col("_start") + F.col("_before")).withColumn("_end", F.col("_first") + F.col("_n"))
+    # A large group is dealt out in stretches, so that no task writes it alone.
+    stretches = numbered.select("*", F.explode(F.expr(f"sequence(_first, _end - 1, {STRETCH}L)")).alias("_at")).repartition("_at")
+    numbered = stretches.select(F.col("_id").alias(id_col), "size", "text_crc32", "_total", F.explode(F.expr(f"sequence(_at, least(_at + {STRETCH}, _end) - 1)")).alias("row_number"))
     placed = permuted(numbered, "row_number", "_total", "position", seed)
     return placed.select(
         id_col, "size", "text_crc32", "row_number", "position",

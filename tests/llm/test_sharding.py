@@ -36,3 +36,12 @@ def test_nulls_ties_and_empty(spark):
     assert sorted(r.position for r in found) == list(range(6))
     assert sorted((r.size, r.text_crc32) for r in found) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in data)
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_id_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STRETCH", 7)
+    data = [(None, f"t{i}") for i in range(300)] + [(5, "same")] * 200 + [(None, "same")] * 100
+    found = sharding.shard_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(r.row_number for r in found) == list(range(600)) and sorted(r.position for r in found) == list(range(600))
+    assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in found) == sorted((d or 0, len(t) + 1, zlib.crc32(t.encode())) for d, t in data)
+    assert all(sharding.locate(r.row_number, 600) == (r.shard, r.slot) for r in found)
