@@ -11,8 +11,11 @@ numbers or names maps each slot value to one value, and no two to the same; what
 slots is no leak. A document leaks an item if what matches on a diagonal, or on all diagonals within a quarter of the item
 (words put in or left out), covers at least ``COVER`` of the item's tokens, and no fewer than ``least_tokens``.
 
-The benchmark is a stated query set: its windows are joined by hash against every document in blocks of about
-``BLOCK_WINDOWS`` words (counted), with up to six windows a word, one pass over the documents for each block.
+Candidates come from a hash join in Spark: the windows of all distinct items are a table; a pass over the documents
+gives their windows that pass a filter of ``FILTER_BITS`` bits (a Bloom filter with two probes, of a fixed size, so that it
+may be sent to every task; a larger benchmark only lets more through), and both are joined by hash. A document and an item
+whose common windows could cover enough of the item are a candidate, and only those are compared word by word. Texts are
+told apart by 16 bytes of their SHA-256, so copies are compared once.
 """
 
 from __future__ import annotations
@@ -21,16 +24,17 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm.shingles import mix
-from assayloom.llm.worker import held, tidy
-from assayloom.session import small_batches
+from assayloom.llm.worker import held, map_arrow, parts, record
+from assayloom.session import materialize
 
 WINDOW = 8
 #: Words in a window that aren't placeholders, at least (or all words of a shorter item).
@@ -39,7 +43,8 @@ COVER = 0.5
 #: Items of fewer tokens have shorter windows too, as long as the piece that two changed words leave somewhere.
 LONG, LEAST_WINDOW = 26, 3
 LEAST_CONSISTENT = 0.8
-BLOCK_WINDOWS = 500_000
+#: Bits of the filter of window hashes, as a power of two.
+FILTER_BITS = 25
 MEMO = 600_000
 BITS = 20
 #: Words of a text handled at a time; parts overlap by the longest item.
@@ -160,7 +165,7 @@ def salted(found: np.ndarray, reading: int, n: int) -> np.ndarray:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: Any
     words: list[str]
     readings: list[Reading]
 
@@ -178,27 +183,50 @@ def value(words: list[str]) -> str:
     return " ".join(map(bare, words))
 
 
+def item_of(item_id: Any, text: str, lexicon: Lexicon) -> Item | None:
+    """Words and readings of an item; none if it has no word."""
+    words = text.split()
+    token, flag, at = lexicon.tokens(words)
+    return Item(item_id, [words[i] for i in at.tolist()], readings(token, flag)) if len(token) else None
+
+
+def item_windows(item: Item) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Reading, width, hashes and places of the windows of an item."""
+    for r, reading in enumerate(item.readings):
+        runs = Runs(reading.token)
+        for n, least in widths(r, len(reading.token)):
+            keep = np.flatnonzero(np.convolve(~reading.slot, np.ones(n, int), "valid") >= least)
+            yield r, n, salted(runs.of(n)[keep], r, n), keep
+
+
+def widths(reading: int, size: int) -> list[tuple[int, int]]:
+    """Widths of the windows of an item of so many tokens, and the words each must have that aren't placeholders."""
+    n = min(WINDOW, size)
+    out = [(n, 0 if reading == LITERAL else min(LEAST_WORDS, n))]
+    if WINDOW <= size < LONG:
+        n = max(LEAST_WINDOW, (size - 2) // 3)
+        out.append((n, -(-LEAST_WORDS * n // WINDOW)))
+    return out
+
+
+def needed(size: int) -> float:
+    """Words that a leak of an item of so many words covers at least."""
+    return max(COVER * size, least_tokens(size))
+
+
 class Index:
-    """Windows of the benchmark items, sorted by hash."""
+    """Windows of benchmark items, sorted by hash."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        lexicon, self.items = Lexicon(), []
+    def __init__(self, rows: Iterable[tuple[Any, str]], lexicon: Lexicon | None = None) -> None:
+        lexicon = lexicon or Lexicon()
+        self.items = [item for item_id, text in rows if (item := item_of(item_id, text, lexicon)) is not None]
         hashes, items, places, kinds = [], [], [], []
-        for item_id, text in rows:
-            words = text.split()
-            token, flag, at = lexicon.tokens(words)
-            if not len(token):
-                continue
-            number = len(self.items)
-            self.items.append(Item(item_id, [words[i] for i in at.tolist()], readings(token, flag)))
-            for r, reading in enumerate(self.items[-1].readings):
-                runs = Runs(reading.token)
-                for n, least in self.widths(r, len(reading.token)):
-                    keep = np.flatnonzero(np.convolve(~reading.slot, np.ones(n, int), "valid") >= least)
-                    hashes.append(salted(runs.of(n)[keep], r, n))
-                    items.append(np.full(len(keep), number))
-                    places.append(keep)
-                    kinds.append(np.full(len(keep), r * 64 + n))
+        for number, item in enumerate(self.items):
+            for r, n, found, keep in item_windows(item):
+                hashes.append(found)
+                items.append(np.full(len(keep), number))
+                places.append(keep)
+                kinds.append(np.full(len(keep), r * 64 + n))
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(self.hash, kind="stable")
         self.hash = self.hash[order]
@@ -208,16 +236,6 @@ class Index:
         self.here[self.hash >> np.uint64(64 - BITS)] = True
         self.longest = max((len(i.words) for i in self.items), default=0)
 
-    @staticmethod
-    def widths(reading: int, size: int) -> list[tuple[int, int]]:
-        """Widths of the windows of an item of so many tokens, and the words each must have that aren't placeholders."""
-        n = min(WINDOW, size)
-        out = [(n, 0 if reading == LITERAL else min(LEAST_WORDS, n))]
-        if WINDOW <= size < LONG:
-            n = max(LEAST_WINDOW, (size - 2) // 3)
-            out.append((n, -(-LEAST_WORDS * n // WINDOW)))
-        return out
-
     def hits(self, found: list[Reading]) -> Iterator[tuple[int, int, int, int, int]]:
         """(item, reading, width, place in the document, place in the item) of all equal windows."""
         runs = [Runs(r.token) for r in found]
@@ -231,27 +249,17 @@ class Index:
                 for k in range(a, b):
                     yield int(self.item[k]), r, n, at, int(self.place[k])
 
-    def leaks(self, words: list[str], lexicon: Lexicon) -> list[tuple[int, int, float, float, bool, int, int]]:
+    def leaks(self, words: list[str], lexicon: Lexicon) -> list[tuple]:
         """(item_id, matched tokens, cover, slot consistency, same slots, first and last word) of one document."""
-        return next(self.leaks_of([words], lexicon))
-
-    def leaks_of(self, texts: Iterable[list[str]], lexicon: Lexicon) -> Iterator[list[tuple]]:
-        """The leaks of each document: short ones are read together, long ones in parts."""
-        words, parts, best = [], [], []
-        for text in texts:
-            best.append({})
-            for start in range(0, max(1, len(text)), PART):
-                words.append(BEFORE if start == 0 or lexicon.read(text[start - 1])[1] & ENDS else BEFORE_INSIDE)
-                parts.append((len(words), start, best[-1]))
-                words += text[start : start + PART + 2 * self.longest]
-                if len(words) >= TOGETHER:
-                    self.read(words, parts, lexicon)
-                    words, parts = [], []
-            if not parts:
-                yield from (sorted(b.values()) for b in best)
-                best = []
-        self.read(words, parts, lexicon)
-        yield from (sorted(b.values()) for b in best)
+        return self.leaks_of([words], lexicon)[0]
+
+    def leaks_of(self, texts: Iterable[list[str]], lexicon: Lexicon) -> list[list[tuple]]:
+        """The leaks of each document."""
+        texts = list(texts)
+        best: list[dict] = [{} for _ in texts]
+        for words, pieces in together(texts, self.longest, lexicon):
+            self.read(words, [(begin, start, best[number]) for begin, start, number in pieces], lexicon)
+        return [sorted(b.values()) for b in best]
 
     def read(self, words: list[str], parts: list[tuple[int, int, dict]], lexicon: Lexicon) -> None:
         """Put the leaks of parts of documents (first word, its place in the document, best leak by item) to the best."""
@@ -295,7 +303,7 @@ class Index:
 
     def leak(self, item: Item, cells: list[tuple[int, int, int, int, int, int]], words: list[str], at: np.ndarray) -> tuple | None:
         """What equal tokens (reading, place, words of the item from and to, of the document from and to) make up."""
-        need = max(COVER * len(item.words), least_tokens(len(item.words)))
+        need = needed(len(item.words))
         if sum(b - a for _, _, a, b, _, _ in cells) < need:
             return None
         covered: set[int] = set()
@@ -325,6 +333,94 @@ class Index:
         return item.item_id, len(covered), cover, consistency, all(a == b for a, b in pairs), int(at[low]), int(at[high - 1])
 
 
+def together(texts: Iterable[list[str]], longest: int, lexicon: Lexicon) -> Iterator[tuple[list[str], list[tuple[int, int, int]]]]:
+    """Words to be read at once: short documents together, long ones in parts that overlap by twice the longest item.
+
+    Yields the words and their parts: first word, its place in the document, number of the document.
+    """
+    words: list[str] = []
+    pieces: list[tuple[int, int, int]] = []
+    for number, text in enumerate(texts):
+        for start in range(0, max(1, len(text)), PART):
+            words.append(BEFORE if start == 0 or lexicon.read(text[start - 1])[1] & ENDS else BEFORE_INSIDE)
+            pieces.append((len(words), start, number))
+            words += text[start : start + PART + 2 * longest]
+            if len(words) >= TOGETHER:
+                yield words, pieces
+                words, pieces = [], []
+    if pieces:
+        yield words, pieces
+
+
+class Filter:
+    """Bits of all window hashes of the benchmark."""
+
+    def __init__(self, bits: np.ndarray, kinds: list[tuple[int, int]], longest: int) -> None:
+        self.bits, self.kinds, self.longest = bits, kinds, longest
+        self.power = (8 * len(bits)).bit_length() - 1
+
+    def windows(self, texts: Iterable[list[str]], lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Number of the document and hash of the windows that may be the benchmark's, each once."""
+        coarse = self.bits.view(np.uint32) != 0
+        for words, pieces in together(texts, self.longest, lexicon):
+            token, flag, at = lexicon.tokens(words)
+            found = readings(token, flag)
+            begins, numbers = np.array([p[0] for p in pieces]), np.array([p[2] for p in pieces])
+            runs = [Runs(r.token) for r in found]
+            for r, n in self.kinds:
+                h = salted(runs[r].of(n), r, n)
+                place = np.flatnonzero(coarse[h >> np.uint64(69 - self.power)])
+                for shift in (64 - self.power, 40 - self.power):
+                    bit = h[place] >> np.uint64(shift) & np.uint64((1 << self.power) - 1)
+                    place = place[self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                if len(place):
+                    doc = numbers[np.searchsorted(begins, at[found[r].start[place]], "right") - 1]
+                    both = np.unique(np.stack([doc.astype(np.uint64), h[place]]), axis=1)
+                    yield both[0].astype(np.int64), both[1]
+
+
+def digest_expr(text: str) -> Column:
+    """16 bytes that stand for a text."""
+    return F.substring(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), 1, 16)
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """Windows of the items (item, text): item, hash, kind, words (that the windows of this hash cover together), need
+    (words that a leak covers), size (words of the item)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = held("lexicon", Lexicon)
+        for part in parts(batches, 200):
+            out: list[tuple] = []
+            for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if (item := item_of(name, text, lexicon)) is None:
+                    continue
+                size = len(item.words)
+                for r, n, found, keep in item_windows(item):
+                    start = item.readings[r].start
+                    uniq, inverse = np.unique(found, return_inverse=True)
+                    covered = np.bincount(inverse, weights=start[keep + n] - start[keep], minlength=len(uniq))
+                    out += [(name, h, r * 64 + n, int(w), needed(size), size) for h, w in zip(uniq.view(np.int64).tolist(), covered, strict=True)]
+            kinds = (("item", "binary"), ("hash", "int64"), ("kind", "int32"), ("words", "int64"), ("need", "double"), ("size", "int64"))
+            yield record(**{name: (list(x), kind) for (name, kind), x in zip(kinds, zip(*out, strict=True) if out else [()] * 6, strict=True)})
+
+    return map_arrow(items, run, "item binary, hash long, kind int, words long, need double, size long")
+
+
+def window_filter(windows: DataFrame) -> Filter:
+    """The filter of a written table of windows; what reaches the driver is bounded by its size."""
+    probes = [F.expr(f"shiftrightunsigned(hash, {shift}) & {(1 << FILTER_BITS) - 1}L") for shift in (64 - FILTER_BITS, 40 - FILTER_BITS)]
+    bits = windows.select(F.explode(F.array(*probes)).alias("bit")).groupBy(F.expr("bit div 64").alias("at"))
+    found = bits.agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits")).toArrow()
+    words = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    words[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    kinds = sorted(r[0] for r in windows.select("kind").distinct().collect())
+    return Filter(words.view(np.uint8), [(k // 64, k % 64) for k in kinds], windows.agg(F.max("size")).first()[0] or 0)
+
+
+LEAK = "n_tokens int, cover double, consistency double, same_slots boolean, first_word long, last_word long"
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_tokens, cover, consistency, same_slots (false: re-parameterised), first_word, last_word: one row
     for each document and item it leaks, with the best stretch.
@@ -333,24 +429,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     documents give the same rows each. Empty tables give an empty result; other columns aren't read.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    # Blocks by the size of the items: in each of three readings up to two windows for each word.
-    sizes = items.select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-sizes // BLOCK_WINDOWS))
+    items = materialize(items.select("item_id", digest_expr("text").alias("item"), "text"), "items")
+    texts = items.select("item", "text").dropDuplicates(["item"])
+    windows = materialize(benchmark_windows(texts), "windows")
+    wanted = window_filter(windows)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    schema = "doc_id long, item_id long, n_tokens int, cover double, consistency double, same_slots boolean, first_word long, last_word long"
-    out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = Index(sorted(((r[0], r[1]) for r in part), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
-
-        def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
-            lexicon = held("lexicon", Lexicon)
-            for batch in batches:
-                texts = (text.split() for text in batch["_text"])
-                found = [(doc, *leak) for doc, leaks in zip(batch["doc_id"], index.leaks_of(texts, lexicon), strict=True) for leak in leaks]
-                frame = pd.DataFrame(found, columns=["doc_id", "item_id", "n_tokens", "cover", "consistency", "same_slots", "first_word", "last_word"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "same_slots": bool})
-
-        one = small_batches(rows).mapInPandas(tidy(run), schema)
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = rows.select("doc_id", digest_expr("_text").alias("doc"), "_text")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = held("lexicon", Lexicon)
+        for part in parts(batches, 1000):
+            for doc, found in wanted.windows((t.split() for t in part.column(1).to_pylist()), lexicon):
+                yield record(doc=part.column(0).take(pa.array(doc)), hash=pa.array(found.view(np.int64)))
+
+    hits = map_arrow(rows.select("doc", "_text"), search, "doc binary, hash long")
+    # An upper bound of what the common windows cover, over all copies of a text: only pairs beyond it can be leaks.
+    pairs = hits.join(windows.select("item", "hash", "words", "need"), "hash").groupBy("doc", "item").agg(F.sum("words").alias("_most"), F.first("need").alias("need"))
+    pairs = materialize(pairs.where("_most >= need").select("doc", "item"), "candidates")
+    lists = pairs.join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "text")).alias("items"))
+    found = rows.select("doc", "_text").join(pairs.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).join(lists, "doc")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = held("lexicon", Lexicon)
+        for part in parts(batches, 100):
+            asked = {i["item"]: i["text"] for row in part.column(2).to_pylist() for i in row}
+            index = Index(sorted(asked.items()), lexicon)
+            leaks = index.leaks_of((t.split() for t in part.column(1).to_pylist()), lexicon)
+            out = [(doc, *leak) for doc, of in zip(part.column(0).to_pylist(), leaks, strict=True) for leak in of]
+            kinds = (("doc", "binary"), ("item", "binary"), ("n_tokens", "int32"), ("cover", "double"), ("consistency", "double"), ("same_slots", "bool"), ("first_word", "int64"), ("last_word", "int64"))
+            yield record(**{name: (list(x), kind) for (name, kind), x in zip(kinds, zip(*out, strict=True) if out else [()] * 8, strict=True)})
+
+    leaks = materialize(map_arrow(found.select("doc", "_text", "items"), compare, f"doc binary, item binary, {LEAK}"), "leaks")
+    out = rows.select("doc_id", "doc").join(leaks, "doc").join(items.select("item_id", "item"), "item")
+    return out.select("doc_id", "item_id", *leaks.columns[2:])

@@ -1,5 +1,7 @@
 """Decontamination: copies, re-parameterised questions, inconsistent slots, clean texts, blocks and edge cases."""
 
+import random
+
 from assayloom.llm import decontaminate
 
 ITEM = "Yesterday morning Alice bought 12 kg of red apples from Bob and then gave 5 kg of apples to her friend Carol before lunch"
@@ -35,10 +37,12 @@ def test_tables(spark, monkeypatch):
     rows = [(1, ITEM), (1, ITEM), (2, OTHER), (3, None), (4, ""), (None, "x " + ITEM), (5, "clean words only"), (6, "word " * 60000 + ITEM)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as cover")
     bench = spark.createDataFrame([(7, ITEM), (8, None), (9, ""), (10, "another question about seven green birds over the wide quiet river")], "item_id long, text string").selectExpr("*", "3 as doc_id")
-    for blocks in (500_000, 15):
-        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", blocks)
+    for bits in (25, 21):
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
         found = decontaminate.find_leaks(docs, bench).collect()
         assert sorted((r.doc_id or 0, r.item_id, r.same_slots) for r in found) == [(0, 7, True), (1, 7, True), (1, 7, True), (2, 7, False), (6, 7, True)]
+    twice = bench.unionByName(bench.selectExpr("item_id + 100 as item_id", "text", "doc_id"))
+    assert decontaminate.find_leaks(docs, twice).count() == 10
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
@@ -72,3 +76,41 @@ def test_stretches_on_neighbouring_diagonals():
     assert leaks(f"{' '.join(w[:8])} {far} {' '.join(w[8:16])} {far} {' '.join(w[16:])}", [(7, ITEM)]) == []
     assert leaks("how many of the other things", [(7, "how many of the birds are left")]) == []
     assert leaks("how many of the other things", [(7, "how many of the birds are there now")]) == []
+
+
+def words(rng, n):
+    return [rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice("bdglmnrst") + rng.choice(["", "a", "en", "ing"]) for _ in range(n)]
+
+
+def edited(rng, item):
+    """A planted copy: other numbers, other names, a word put in, dropped or changed, lower case."""
+    w = item.split()
+    kind = rng.choice(["same", "numbers", "names", "in", "out", "word", "lower"])
+    if kind == "numbers":
+        w = [str(int(x) + 7) if x.isdigit() else x for x in w]
+    if kind == "names":
+        other = {x: x[::-1].capitalize() for x in w[1:] if x[:1].isupper()}
+        w = [other.get(x, x) for x in w]
+    i = rng.randrange(len(w))
+    w = [*w[:i], "quite", *w[i:]] if kind == "in" else [*w[:i], *w[i + 1 :]] if kind == "out" else [*w[:i], "quite", *w[i + 1 :]] if kind == "word" else w
+    return " ".join(w).lower() if kind == "lower" else " ".join(w)
+
+
+def test_join_equals_brute_force_and_finds_planted_edits(spark):
+    rng = random.Random(12)
+    items = []
+    for i in range(60):
+        w = words(rng, rng.randint(9, 40))
+        w[rng.randrange(1, len(w))] = str(rng.randint(2, 99))
+        w[rng.randrange(1, len(w))] = "Anna"
+        items.append((i, " ".join(w)))
+    rows = []
+    for k in range(400):
+        body = words(rng, rng.randint(5, 120))
+        at = rng.randrange(len(body))
+        rows.append((k, " ".join([*body[:at], edited(rng, items[k % 60][1]), *body[at:]]) if k % 2 else " ".join(body)))
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    index, lexicon = decontaminate.Index(items), decontaminate.Lexicon()
+    assert sorted(tuple(r) for r in found) == sorted((k, *leak) for k, t in rows for leak in index.leaks(t.split(), lexicon))
+    planted, got = {(k, k % 60) for k in range(1, 400, 2)}, {(r.doc_id, r.item_id) for r in found}
+    assert got <= planted and len(got) >= 0.95 * len(planted)
