@@ -20,12 +20,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.worker import tidy
-from assayloom.session import small_batches
+from assayloom.llm.worker import map_arrow, parts, record
 
 SIDE, BLOCKS = 24, 9
 UNIT = 64 * BLOCKS
@@ -371,20 +370,23 @@ def clips(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> Da
     rows = df.where(F.col(media_col).isNotNull()).select(F.col(id_col), F.col(media_col).cast("binary").alias("_media"))
     schema = rows.select(id_col).schema.add("clip", "integer").add("start_ms", "long").add("end_ms", "long").add("n_frames", "integer").add("mean_luma", "double").add("error", "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, data in zip(batch[id_col], batch["_media"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 20):
+            at, out = [], []
+            for i, data in enumerate(part.column(1).to_pylist()):
                 try:
-                    avi = parse_avi(bytes(data))
+                    avi = parse_avi(data)
                     hist, luma, _ = measure(avi.frames)
-                    out += [(name, *row, None) for row in clip_rows(hist, luma, avi.fps)] or [(name, *[None] * 5, "no frames")]
+                    found = [(*row, None) for row in clip_rows(hist, luma, avi.fps)] or [(*[None] * 5, "no frames")]
                 except (ValueError, IndexError, KeyError, struct.error) as e:
-                    out.append((name, *[None] * 5, str(e) or "damaged"))
-            found = pd.DataFrame(out, columns=schema.names)
-            yield found.astype({"clip": "Int32", "start_ms": "Int64", "end_ms": "Int64", "n_frames": "Int32"})
+                    found = [(*[None] * 5, str(e) or "damaged")]
+                at += [i] * len(found)
+                out += found
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.string())
+            ids = part.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(x), kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True))], schema.names)
 
-    return small_batches(rows).mapInPandas(tidy(run), schema)
+    return map_arrow(rows, run, schema)
 
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,17 +398,17 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_data"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, 200):
             out = []
-            for doc, data in zip(batch["doc_id"], batch["_data"], strict=True):
-                media = store_payload(pad_payload(bytes(data)))
+            for data in part.column(1).to_pylist():
+                media = store_payload(pad_payload(data))
                 avi = parse_avi(media)
                 hist, luma, payload = measure(avi.frames)
                 feature = ";".join(f"{b}-{e}:{m:.2f}" for _, b, e, _, m in clip_rows(hist, luma, avi.fps))
-                out.append((doc, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            found = pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield found.astype({"doc_id": "Int64"})
+                out.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            names = (("n_bytes", "int64"), ("payload_bytes", "int64"), ("payload_sha256", "string"), ("tail_crc32", "int64"), ("media_bytes", "int64"), ("media_sha256", "string"), ("feature", "string"))
+            yield record(doc_id=part.column(0), **{name: (list(x), kind) for (name, kind), x in zip(names, zip(*out, strict=True), strict=True)})
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return small_batches(rows).mapInPandas(tidy(run), schema)
+    return map_arrow(rows, run, schema)
