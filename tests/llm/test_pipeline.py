@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from assayloom.llm import tokens
@@ -49,8 +50,8 @@ def test_stages(spark, tmp_path):
     assert at["personal_data"][53].text == "the contact of them is [EMAIL] and that was with the [PHONE]" and at["personal_data"][53].n_chars == len(at["personal_data"][53].text)
     assert not any(re.search(r"@", r.text) for r in at["personal_data"].values())
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    encode = tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"), "space")
-    want = sorted(zlib.crc32(np.array([*encode.direct([r.text])[0], 1], "<u4").tobytes()) for r in at["personal_data"].values())
+    plain = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
+    want = sorted(zlib.crc32(np.array([*plain.encode(r.text, add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in at["personal_data"].values())
     assert sorted(packed.ids_crc32) == want and packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
@@ -72,3 +73,24 @@ def test_missing_and_repeated_ids(spark, tmp_path):
     docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
     clean = corpus_pipeline.decontaminate_benchmark(spark, docs, str(tmp_path))
     assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted([(0, text[0]), (4, text[1]), (5, text[2])])
+
+
+def test_columns_of_any_name_stay(spark, tmp_path, monkeypatch):
+    text = [" ".join(f"{SENTENCES[(i * 7 + j) % len(SENTENCES)]} u{i}x{j}" for j in range(8)) for i in range(6)]
+    big = 2**53 + 1
+    rows = [(big + i, t, "en", 0.123, "p", "t", 7, 8) for i, t in enumerate(text)] + [(None, "so " + ITEM, None, 0.5, None, None, None, None), (big, text[0], "en", 0.123, "p", "t", 7, 8)]
+    names = "doc_id long, text string, lang string, score double, lang_pred string, _text string, _row long, _lang long"
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for bound in (1_000_000, 0):  # decisions broadcast, then shuffled
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", bound)
+        docs = spark.createDataFrame(rows, names)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in names.split(", ")]
+        assert sorted(tuple(r) for r in docs.collect()) == sorted(rows[:6])
+
+
+def test_unlabelled_and_short_texts(spark, tmp_path):
+    rows = [(1, "the house", None), (2, "123", None), (3, None, None), (4, "zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()} == {1, 4}
