@@ -55,10 +55,5 @@ def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, f"{size}b")
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Superseded by ``bound_batches``."""
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
