@@ -44,6 +44,13 @@ def excluded(s: Column, pattern: str = "ATG|TAA|TGA|TAG") -> Column:
     return F.upper(s).rlike(pattern)
 
 
+def fuzzy(s: str, motif: str, most: int = 1) -> Column:
+    """Whether the motif occurs in a column with at most so many letters changed."""
+    n, up = len(motif), f"upper({s})"
+    changed = f"aggregate(sequence(1, {n}), 0, (d, j) -> d + IF(substring({up}, i + j, 1) = substring('{motif.upper()}', j, 1), 0, 1))"
+    return F.expr(f"length({s}) >= {n} AND exists(sequence(0, greatest(length({s}) - {n}, 0)), i -> {changed} <= {most})")
+
+
 def entropy(s: Column) -> Column:
     """Shannon entropy of the base composition, in bits."""
     parts = []
@@ -86,23 +93,30 @@ def one_letter(residue: Column) -> Column:
     return F.coalesce(F.element_at(literal_map(RESIDUES), F.upper(residue)), F.lit("X"))
 
 
+def piece_sql(length: str, i: str, k: int) -> tuple[str, str]:
+    """Start and width of the i-th of k pieces of a string of so many letters; widths differ by one at most."""
+    return f"(({i}) * ({length}) div {k})", f"((({i}) + 1) * ({length}) div {k} - ({i}) * ({length}) div {k})"
+
+
 def kmer_windows(s: str, k: int) -> Column:
     """(size, pos, kmer) blocks for a search within distance k - 1: for each length that a string so near can have, the
     places where its k pieces can stand in this one, so that two strings with fewer than k edits share one with the
     other's ``piece_blocks``. An untouched piece is off by d places after at least abs(d) edits, and those behind it make
-    up the rest of the difference in length; the first one stands at the start, the last one at the end."""
-    w = f"CAST(ceil(l / CAST({k} AS DOUBLE)) AS INT)"
-    places = f"filter(sequence(-({k} - 1), {k} - 1), d -> abs(d) + abs(length({s}) - l - d) < {k} AND (i > 0 OR d = 0) AND ((i + 1) * {w} < l OR d = length({s}) - l))"
+    up the rest of the difference in length; the first one stands at the start, the last one at the end. A string of
+    fewer than k letters has empty pieces, which all strings of a length near to its own share."""
+    start, w = piece_sql("l", "i", k)
+    places = f"filter(sequence(-({k} - 1), {k} - 1), d -> abs(d) + abs(length({s}) - l - d) < {k} AND (i > 0 OR d = 0) AND (i < {k} - 1 OR d = length({s}) - l))"
     return F.expr(
         f"array_distinct(flatten(flatten(transform(sequence(greatest(length({s}) - ({k} - 1), 0), length({s}) + {k} - 1), l -> transform(sequence(0, {k} - 1), i -> transform({places}, d -> "
-        f"named_struct('size', l, 'pos', i, 'kmer', IF(i * {w} + d < 0, '', substring({s}, i * {w} + d + 1, least({w}, greatest(l - i * {w}, 0)))))))))))"
+        f"named_struct('size', l, 'pos', i, 'kmer', IF({start} + d < 0, '', substring({s}, CAST({start} AS INT) + d + 1, CAST({w} AS INT)))))))))"
+        f")"
     )
 
 
 def piece_blocks(s: str, k: int) -> Column:
     """The k pieces of a string themselves, with its length: (size, pos, kmer)."""
-    w = f"CAST(ceil(length({s}) / CAST({k} AS DOUBLE)) AS INT)"
-    return F.expr(f"transform(sequence(0, {k} - 1), i -> named_struct('size', length({s}), 'pos', i, 'kmer', substring({s}, i * {w} + 1, {w})))")
+    start, w = piece_sql(f"length({s})", "i", k)
+    return F.expr(f"transform(sequence(0, {k} - 1), i -> named_struct('size', length({s}), 'pos', i, 'kmer', substring({s}, CAST({start} AS INT) + 1, CAST({w} AS INT))))")
 
 
 def split_by_sequence(dna: Column, marker: str) -> tuple[Column, Column, Column]:

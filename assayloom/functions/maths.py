@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -99,68 +98,84 @@ def pixel_normalizer(method: str = "minmax", reset_zero: bool = False):
     return run
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))) / a
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    f = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + num * d, 1 + num / c
-            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
-            f *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * f
+# --- Distribution tails, in column expressions ------------------------------------------------------------------------
 
+#: Lanczos coefficients of the logarithm of the gamma function, g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+#: Numerators and denominators of the normal quantile (algorithm AS 241): centre, middle, far tail.
+CENTRE = ((3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727), (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610))
+MIDDLE = ((1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 0.000774545014278341407640), (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 0.000547593808499534494600, 1.05075007164441684324e-9))
+TAIL = ((6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 0.00124266094738807843860, 0.0000271155556874348757815, 2.01033439929228813265e-7), (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 0.000786869131145613259100, 0.0000184631831751005468180, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
 
-def t_two_sided(t: float, df: float) -> float:
-    return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
+def lgamma_sql(x: str) -> str:
+    """SQL of ln gamma(x) for x of at least 0.5."""
+    series = f"{LANCZOS[0]}D" + "".join(f" + {c}D / (z + {i}D)" for i, c in enumerate(LANCZOS[1:], 1))
+    return f"element_at(transform(array(CAST({x} AS DOUBLE) - 1D), z -> (z + 0.5D) * ln(z + 7.5D) - (z + 7.5D) + 0.9189385332046727D + ln({series})), 1)"
 
-def hypergeom_tail(k: int, total: int, good: int, drawn: int) -> float:
-    """P(at least k good ones among the drawn)."""
-    comb = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
-    base = comb(total, drawn)
-    terms = [comb(good, i) + comb(total - good, drawn - i) - base for i in range(max(k, drawn - (total - good), 0), min(good, drawn) + 1)]
-    return min(1.0, math.fsum(math.exp(t) for t in terms))
 
+def choose_sql(n: str, k: str) -> str:
+    """SQL of ln (n over k)."""
+    return f"({lgamma_sql(f'({n}) + 1')} - {lgamma_sql(f'({k}) + 1')} - {lgamma_sql(f'({n}) - ({k}) + 1')})"
+
+
+def beta_sql(a: str, b: str, x: str) -> str:
+    """SQL of the regularised incomplete beta function for 0 < x < 1 at names of columns or variables: the continued
+    fraction by Lentz's rule, in the half where it converges fast."""
+
+    def half(a: str, b: str, x: str) -> str:
+        front = f"exp({a} * ln({x}) + {b} * ln(1D - {x}) + {lgamma_sql(f'{a} + {b}')} - {lgamma_sql(a)} - {lgamma_sql(b)}) / {a}"
+        safe = lambda v: f"IF(abs({v}) < 1e-300D, 1e-300D, {v})"
 
-def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
-    """Exact test of a 2 x 2 table."""
-    comb = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
-    n, row, col = a + b + c + d, a + b, a + c
-    logs = {i: comb(row, i) + comb(n - row, col - i) - comb(n, col) for i in range(max(0, col - (n - row)), min(row, col) + 1)}
-    return min(1.0, math.fsum(math.exp(v) for v in logs.values() if v <= logs[a] + 1e-7))
+        def step(state: str, num: str) -> str:
+            d, c = safe(f"(1D + {num} * {state}.d)"), safe(f"(1D + {num} / {state}.c)")
+            return f"element_at(transform(array(named_struct('d', 1D / {d}, 'c', {c}, 'f', {state}.f)), t -> named_struct('d', t.d, 'c', t.c, 'f', t.f * t.d * t.c)), 1)"
 
+        even = f"(m * ({b} - m) * {x} / (({a} + 2 * m - 1) * ({a} + 2 * m)))"
+        odd = f"(-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2 * m) * ({a} + 2 * m + 1)))"
+        first = f"1D / {safe(f'(1D - ({a} + {b}) * {x} / ({a} + 1D))')}"
+        both = f"element_at(transform(array({step('s', even)}), u -> {step('u', odd)}), 1)"
+        rest = f"aggregate(sequence(1, 200), named_struct('d', {first}, 'c', 1D, 'f', {first}), (s, m) -> IF(abs(s.c * s.d - 1D) < 1e-15D, s, {both}), s -> s.f)"
+        return f"({front} * {rest})"
 
-@pandas_udf(DoubleType())
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(a, b) if a == a and b == b and b > 0 else None for a, b in zip(t.astype(float), df.astype(float), strict=True)], dtype="float64")
+    return f"IF({x} <= ({a} + 1D) / ({a} + {b} + 2D), {half(a, b, x)}, 1D - {half(b, a, f'(1D - {x})')})"
 
 
-@pandas_udf(DoubleType())
-def hypergeom_pvalue(k: pd.Series, total: pd.Series, good: pd.Series, drawn: pd.Series) -> pd.Series:
-    return pd.Series([hypergeom_tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, total, good, drawn, strict=True)], dtype="float64")
+def t_pvalue(t: str, df: str) -> Column:
+    """Two-sided tail of Student's t; null if either is null or NaN or there are no degrees of freedom."""
+    body = beta_sql("p.a", "0.5D", "p.x")
+    return F.expr(
+        f"CASE WHEN {t} IS NULL OR {df} IS NULL OR isnan(CAST({t} AS DOUBLE)) OR NOT {df} > 0 THEN CAST(NULL AS DOUBLE) WHEN {t} = 0 THEN 1D "
+        f"ELSE element_at(transform(array(named_struct('a', {df} / 2D, 'x', {df} / ({df} + {t} * {t}))), p -> IF(p.x <= 0D, 0D, {body})), 1) END"
+    )
 
 
-@pandas_udf(DoubleType())
-def fisher_pvalue(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([fisher_two_sided(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d, strict=True)], dtype="float64")
+def normal_two_sided(z: str) -> Column:
+    """Two-sided tail of the normal distribution: erfc(|z| / sqrt 2), as a series below 2.5, else a continued fraction."""
+    series = "aggregate(sequence(1, 120), named_struct('t', x, 's', x), (s, n) -> named_struct('t', s.t * 2D * x * x / (2 * n + 1), 's', s.s + s.t * 2D * x * x / (2 * n + 1)), s -> 1D - 1.1283791670955126D * exp(-x * x) * s.s)"
+    fraction = "0.5641895835477563D * exp(-x * x) / aggregate(transform(sequence(0, 79), i -> 80 - i), x, (f, k) -> x + k / 2D / f)"
+    return F.expr(f"CASE WHEN {z} IS NULL OR isnan(CAST({z} AS DOUBLE)) THEN CAST(NULL AS DOUBLE) ELSE element_at(transform(array(abs(CAST({z} AS DOUBLE)) / sqrt(2D)), x -> IF(x < 2.5D, {series}, {fraction})), 1) END")
 
 
-@pandas_udf(DoubleType())
-def probit(p: pd.Series) -> pd.Series:
-    """Normal quantile of probabilities strictly between 0 and 1."""
-    inv = NormalDist().inv_cdf
-    return p.map(lambda q: inv(q) if q is not None and 0 < q < 1 else None).astype("float64")
+def probit(p: Column) -> Column:
+    """Normal quantile of probabilities strictly between 0 and 1, else null."""
+    q = p - 0.5
+    poly = lambda cs, x: reduce(lambda acc, c: acc * x + c, reversed(cs[:-1]), F.lit(cs[-1]))
+    r = 0.180625 - q * q
+    t = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    tail = F.when(t <= 5, poly(MIDDLE[0], t - 1.6) / poly(MIDDLE[1], t - 1.6)).otherwise(poly(TAIL[0], t - 5) / poly(TAIL[1], t - 5))
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, q * poly(CENTRE[0], r) / poly(CENTRE[1], r)).otherwise(F.signum(q) * tail))
+
+
+def hypergeom_pvalue(k: str, total: str, good: str, drawn: str) -> Column:
+    """P(at least k good ones among the drawn)."""
+    low = f"greatest({k}, {drawn} - ({total} - {good}), 0)"
+    term = f"exp({choose_sql(good, 'i')} + {choose_sql(f'{total} - {good}', f'{drawn} - i')} - {choose_sql(total, drawn)})"
+    return F.expr(f"IF({low} > least({good}, {drawn}), 0D, least(1D, aggregate(sequence({low}, least({good}, {drawn})), 0D, (s, i) -> s + {term})))")
 
 
-@pandas_udf(DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None).astype("float64")
+def fisher_pvalue(a: str, b: str, c: str, d: str) -> Column:
+    """Two-sided exact test of a 2 x 2 table: the tables that are no likelier."""
+    row, col, n = f"({a} + {b})", f"({a} + {c})", f"({a} + {b} + {c} + {d})"
+    log = lambda i: f"({choose_sql(row, i)} + {choose_sql(f'{n} - {row}', f'{col} - {i}')} - {choose_sql(n, col)})"
+    return F.expr(f"element_at(transform(array({log(a)}), o -> least(1D, aggregate(transform(sequence(greatest(0, {col} - ({n} - {row})), least({row}, {col})), i -> {log('i')}), 0D, (s, l) -> s + IF(l <= o + 1e-7D, exp(l), 0D)))), 1)")

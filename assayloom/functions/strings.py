@@ -112,6 +112,17 @@ def sentence_case(x: Column) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))
 
 
+def pad(x: Column, width: int, fill: str = " ", left: bool = True) -> Column:
+    """Filled up to a width; longer strings stay whole."""
+    short = F.length(x) < width
+    return F.when(short, F.lpad(x, width, fill) if left else F.rpad(x, width, fill)).otherwise(x)
+
+
+def squish(x: Column) -> Column:
+    """Without white space at the ends, one space for each run inside."""
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
 def collection_parts(term: Column) -> tuple[Column, Column]:
     """Category and description of 'COLLECTION_REST_OF_NAME'."""
     p = F.split(term, "_", 2)

@@ -45,13 +45,14 @@ def summarize_field(df: DataFrame, by: list[str], mean_keys: list[str], sum_keys
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("cell_count"), *[mean(c).alias(c) for c in mean_keys if c in df.columns], *[total(c).alias(c) for c in sum_keys if c in df.columns])
 
 
-def mean_sd(df: DataFrame, by: list[str], cols: list[str], trim: float = 0.0) -> DataFrame:
-    """<col>_mean, <col>_sd and <col>_se."""
+def mean_sd(df: DataFrame, by: list[str], cols: list[str], trim: float = 0.0, digits: int | None = None) -> DataFrame:
+    """<col>_mean (trimmed if asked), <col>_sd and <col>_se, rounded to so many digits."""
     aggs = []
     for c in cols:
         x = clean(c)
         aggs += [(trimmed_mean_agg(c, trim) if trim else F.avg(x)).alias(f"{c}_mean"), F.stddev_samp(x).alias(f"{c}_sd"), se(x).alias(f"{c}_se")]
-    return df.groupBy(*by).agg(*aggs)
+    out = df.groupBy(*by).agg(*aggs)
+    return out if digits is None else out.withColumns({c: F.round(F.col(c), digits) for c in out.columns if c not in by})
 
 
 def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], approximate: bool = False) -> DataFrame:

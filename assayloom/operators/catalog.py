@@ -75,6 +75,11 @@ def folder_labels(files: DataFrame, include: str | None = None, exclude: str | N
     return out.withColumn("idx", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(natural_key(F.col("label")))) - 1)
 
 
+def term_genes(annotation: DataFrame, term: str, key: str = "go_id", gene: str = "symbol") -> DataFrame:
+    """Distinct genes of a term in a table of annotations."""
+    return annotation.where(F.col(key) == term).select(gene).where(F.col(gene).isNotNull()).distinct()
+
+
 def row_class(well: Column, classes: dict[str, str]) -> Column:
     """Class by the row letter of a well."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in classes.items() for x in kv]), well_row(well))

@@ -122,11 +122,12 @@ def replace_na(df: DataFrame, values: dict[str, object]) -> DataFrame:
     return df.fillna(values)
 
 
-def average_directions(df: DataFrame, pattern: str = r"^Texture_([A-Za-z0-9]+)_(.+)_([0-9]+)_([0-9]{2})_([0-9]+)$") -> DataFrame:
-    """Mean of the texture columns of all directions (fourth part of the name) in one column each."""
+def average_directions(df: DataFrame, pattern: str = r"^((?:.*_)?Texture)_([A-Za-z0-9]+)_(.+)_([0-9]+)_([0-9]{2})_([0-9]+)$") -> DataFrame:
+    """Mean of the texture columns of all directions (the part before the last) in one column each; an object's name may
+    stand before them."""
     groups: dict[str, list[str]] = {}
     for c in df.columns:
         if m := re.match(pattern, c):
-            groups.setdefault(f"Texture_{m[1]}_{m[2]}_{m[3]}_{m[5]}", []).append(c)
+            groups.setdefault(f"{m[1]}_{m[2]}_{m[3]}_{m[4]}_{m[6]}", []).append(c)
     used = {c for cs in groups.values() for c in cs}
     return df.select(*[F.col(c) for c in df.columns if c not in used], *[row_mean(cs).alias(n) for n, cs in groups.items()])

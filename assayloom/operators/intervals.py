@@ -201,6 +201,19 @@ def matrix_order(matrix: DataFrame, key: str, how: str = "mean") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("score").desc(), key)))
 
 
+def cluster_order(matrix: DataFrame, key: str, bins: int, k: int = 3, seed: int = 1) -> DataFrame:
+    """k-means clusters of the rows of a signal matrix: key, cluster (0 the one of the highest mean) and rank by cluster,
+    then falling mean."""
+    from assayloom.operators.chem import kmeans
+
+    rows = matrix.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "value"))), lambda x: x["value"]).alias("v"), F.avg("value").alias("score"))
+    rows = rows.where(F.size("v") == bins)
+    found = kmeans(rows, "v", k=k, seed=seed).select(key, "score", F.col("cluster").alias("_c"))
+    number = found.groupBy("_c").agg(F.avg("score").alias("_m")).withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_m"))) - 1)
+    out = found.join(F.broadcast(number.drop("_m")), "_c").drop("_c")  # a row for each cluster
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("cluster", F.desc("score"), key)))
+
+
 def column_profile(matrix: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Column means, and the 1 and 99 % limits over all values."""
     by = by or []
@@ -255,6 +268,14 @@ def category_totals(df: DataFrame, annotation: str, cols: list[str]) -> DataFram
     return df.groupBy(annotation_class(F.col(annotation)).alias("category")).agg(*[F.sum(c).alias(c) for c in cols])
 
 
+def differential_binding(counts: DataFrame, group: str, control: str, least: float = 1.0, alpha: float = 0.05, peak: str = "peak", sample: str = "sample", count: str = "count") -> DataFrame:
+    """Fold, p and adjusted p of each peak's counts between two groups, and its class."""
+    from assayloom.operators.expression import wald_test
+
+    out = wald_test(counts, group, control, gene=peak, sample=sample, count=count)
+    return out.withColumn("class", binding_class(F.col("log2FoldChange"), F.col("padj"), least, alpha))
+
+
 def binding_class(fold: Column, fdr: Column, least: float = 1.0, alpha: float = 0.05) -> Column:
     return F.when((fdr < alpha) & (fold >= least), "Gain").when((fdr < alpha) & (fold <= -least), "Loss").otherwise("NS")
 

@@ -7,7 +7,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.functions.nulls import clean
@@ -16,14 +16,17 @@ from assayloom.operators.relational import hashed_unit, split_train
 
 def informative(df: DataFrame, cols: list[str], ratio: float = 19.0, unique: float = 10.0) -> list[str]:
     """Columns without near-zero variance: those whose commonest value isn't too common, or that have enough values."""
-    n = df.count()
-    out = []
-    tops = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    for i, c in enumerate(cols):
-        top = [r["count"] for r in df.groupBy(c).count().orderBy(F.desc("count")).limit(2).collect()]
-        if len(top) > 1 and not (top[0] / top[1] > ratio and 100.0 * tops[f"d{i}"] / max(1, n) <= unique):
-            out.append(c)
-    return out
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("x")).select("x.*")
+    sizes = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    # The two largest counts of each column: the largest, and the largest of the rest.
+    tops = sizes.groupBy("c").agg(F.max(F.struct("n", F.coalesce("v", F.lit("")), F.col("v").isNull())).alias("_t"), F.count("v").alias("distinct"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values"), F.max("n").alias("first"))
+    second = sizes.join(tops.select("c", "first"), "c").groupBy("c").agg(F.max(F.when(F.col("n") < F.col("first"), F.col("n"))).alias("less"), F.sum((F.col("n") == F.col("first")).cast("int")).alias("ties"))
+    good = []
+    for r in tops.join(second, "c").collect():  # a row for each column
+        next_ = r["first"] if r["ties"] > 1 else r["less"]
+        if next_ is not None and not (r["first"] / next_ > ratio and 100.0 * r["distinct"] / max(1, r["rows"]) <= unique):
+            good.append(r["c"])
+    return [c for c in cols if c in good]
 
 
 def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -59,6 +62,28 @@ def classify(df: DataFrame, key: str, label: str, cols: list[str], trees: int =
     return scored.select(*df.columns, "set", predicted.alias("predicted"), vector_to_array("probability").alias("probability")), metrics, confusion
 
 
+def dummies(df: DataFrame, cols: list[str], most: int = 100) -> tuple[DataFrame, list[str]]:
+    """0/1 columns for the levels of text columns (without the first level of each), and their names; raises beyond so many
+    levels."""
+    names = []
+    for c in cols:
+        levels = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(most + 1).collect()]
+        if len(levels) > most:
+            raise ValueError(f"{c} has more than {most} levels")
+        new = {f"{c}_{level}": F.coalesce((F.col(c) == level).cast("double"), F.lit(0.0)) for level in levels[1:]}
+        df, names = df.withColumns(new) if new else df, [*names, *new]
+    return df, names
+
+
+def negative_log10(df: DataFrame, response: str) -> DataFrame:
+    """The response as -log10; rows without a positive one go."""
+    return df.where(F.col(response) > 0).withColumn(response, -F.log10(response))
+
+
+def metric_table(spark: SparkSession, metrics: dict[str, float]) -> DataFrame:
+    return spark.createDataFrame(sorted(metrics.items()), "metric string, value double")
+
+
 def regress(df: DataFrame, key: str, response: str, cols: list[str], trees: int = 50, seed: int = 1) -> tuple[DataFrame, dict[str, float], DataFrame]:
     """Predictions, rmse, r2 and mae on a held-back quarter, and importances by shuffled columns there."""
     rows = split_train(VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep").transform(df), key, 0.75, seed)

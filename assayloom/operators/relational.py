@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,6 +97,30 @@ def zip_rows(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
     return a.join(b, index)
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
+    """A running number from 1 by a total order, for lists."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+
+
+def bind_columns(a: DataFrame, order_a: list[str], b: DataFrame, order_b: list[str]) -> DataFrame:
+    """Columns of two lists of one length side by side, the rows of each by its own order; raises if lengths differ."""
+    both = numbered(a, order_a, "_row").join(numbered(b, order_b, "_row_b").withColumnRenamed("_row_b", "_row").withColumn("_there", F.lit(True)), "_row", "full")
+    uneven = F.col("_there").isNull() | F.col(order_a[0]).isNull() if order_a else F.col("_there").isNull()
+    first = a.columns[0]
+    checked = F.when(uneven, F.raise_error(F.lit("the tables differ in length")).cast(a.schema[first].dataType)).otherwise(F.col(first))
+    return both.withColumn(first, checked).drop("_row", "_there")
+
+
+def split_apply(df: DataFrame, key: str, call: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
+    """A function of each part of a table by key, put together; for up to so many parts, whose keys reach the driver. What a
+    window or a grouped aggregate can say needs no parts."""
+    keys = [r[0] for r in df.select(key).distinct().orderBy(key).limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"more than {most} parts")
+    parts = [call(df.where(F.col(key).eqNullSafe(F.lit(k)))) for k in keys]
+    return reduce(DataFrame.unionByName, parts) if parts else call(df)
+
+
 # --- Reshaping --------------------------------------------------------------------------------------------------------
 
 

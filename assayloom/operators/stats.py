@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.maths import normal_two_sided, t_pvalue
+from assayloom.functions.maths import normal_two_sided, signif, t_pvalue
 from assayloom.functions.nulls import clean, ratio, safe_log2
 from assayloom.operators.aggregate import trimmed_mean_agg
 from assayloom.operators.relational import null_safe_join
@@ -61,6 +61,23 @@ def welch(df: DataFrame, by: list[str], item: str, control: str, x: str, pvalue:
     return out.drop("n", "m", "v", "n0", "m0", "v0")
 
 
+def level_pvalues(df: DataFrame, by: list[str], item: str, control: str, cols: list[str], use_median: bool = False, digits: int = 4) -> DataFrame:
+    """Statistic and p of every level of ``item`` against the control level, for many measures: <col>_statistic and
+    <col>_pvalue to so many significant digits, beside the level's mean (or median) in <col>. Null where a test fails."""
+    middle = F.median if use_median else F.avg
+    out = df.where(F.col(item) != control).groupBy(*by, item).agg(*[middle(clean(c)).alias(c) for c in cols])
+    for c in cols:
+        t = welch(df, by, item, control, c).select(*by, item, signif(F.col("t"), digits).alias(f"{c}_statistic"), signif(F.col("pvalue"), digits).alias(f"{c}_pvalue"))
+        out = null_safe_join(out, t, [*by, item])
+    return out
+
+
+def enrich_fold(spots: DataFrame, rings: DataFrame, keys: list[str], cols: list[str], suffix: str = "_ring") -> DataFrame:
+    """(spot + 1) / (ring + 1) of each measure, to three digits; the rings' columns go."""
+    both = null_safe_join(spots, rings.withColumnsRenamed({c: c + suffix for c in cols}), keys)
+    return both.withColumns({f"{c}_enrich": F.round(ratio(F.col(c) + 1, F.col(c + suffix) + 1), 3) for c in cols}).drop(*[c + suffix for c in cols])
+
+
 def ks_two_sample(df: DataFrame, by: list[str], x: str, in_first: Column) -> DataFrame:
     """Largest gap between two empirical distributions by group, and its asymptotic p-value."""
     v = df.select(*by, clean(x).alias("_x"), in_first.alias("_f")).where("_x IS NOT NULL AND _f IS NOT NULL")
@@ -70,20 +87,22 @@ def ks_two_sample(df: DataFrame, by: list[str], x: str, in_first: Column) -> Dat
     g = g.withColumns({"_ca": F.sum("_a").over(upto), "_cb": F.sum("_b").over(upto), "_na": F.sum("_a").over(w), "_nb": F.sum("_b").over(w)})
     gap = F.abs(ratio(F.col("_ca"), F.col("_na")) - ratio(F.col("_cb"), F.col("_nb")))
     out = g.groupBy(*by).agg(F.max(gap).alias("D"), F.max("_na").alias("n1"), F.max("_nb").alias("n2"))
-    lam = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")).cast("double")) * F.col("D")
-    terms = [(2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 101)]
-    p = F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum(terms[1:], terms[0]))))
-    return out.withColumn("pvalue", p)
+    series = "aggregate(sequence(1, 100), 0D, (s, k) -> s + IF(k % 2 = 1, 2D, -2D) * exp(-2D * k * k * _l * _l))"
+    out = out.withColumn("_l", F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")).cast("double")) * F.col("D"))
+    return out.withColumn("pvalue", F.expr(f"IF(_l < 0.2D, 1D, least(1D, greatest(0D, {series})))")).drop("_l")
 
 
 def rank_sum(df: DataFrame, by: list[str], x: str, in_first: Column, pvalue: bool = True) -> DataFrame:
-    """Wilcoxon rank-sum: U of the first sample, z by the normal approximation without tie correction."""
+    """Wilcoxon rank-sum: U of the first sample, z by the normal approximation with ties taken into account."""
     v = df.select(*by, clean(x).alias("_x"), in_first.alias("_f")).where("_x IS NOT NULL AND _f IS NOT NULL")
     r = v.withColumn("_r", average_rank(by or ["_one"], F.col("_x")) if by else average_rank([F.lit(1)], F.col("_x")))
-    g = r.groupBy(*by).agg(F.sum(F.when(F.col("_f"), F.col("_r"))).alias("_s"), F.sum(F.col("_f").cast("int")).alias("n1"), F.sum((~F.col("_f")).cast("int")).alias("n2"))
+    # A value's ties enter as t^3 - t: summed over its t rows, t^2 - 1 each.
+    t = F.count(F.lit(1)).over(Window.partitionBy(*(by or [F.lit(1)]), "_x")).cast("double")
+    g = r.withColumn("_t", t * t - 1).groupBy(*by).agg(F.sum(F.when(F.col("_f"), F.col("_r"))).alias("_s"), F.sum(F.col("_f").cast("int")).alias("n1"), F.sum((~F.col("_f")).cast("int")).alias("n2"), F.sum("_t").alias("_ties"))
     u = F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    z = ratio(u - F.col("n1") * F.col("n2") / 2.0, F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12.0))
-    out = g.withColumns({"U": u, "z": z}).drop("_s")
+    n = (F.col("n1") + F.col("n2")).cast("double")
+    z = ratio(u - F.col("n1") * F.col("n2") / 2.0, F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - ratio(F.col("_ties"), n * (n - 1)))))
+    out = g.withColumns({"U": u, "z": z}).drop("_s", "_ties")
     return out.withColumn("pvalue", normal_two_sided("z")) if pvalue else out
 
 

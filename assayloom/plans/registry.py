@@ -46,4 +46,4 @@ def query(sql: str | None = None, floats: tuple[str, ...] | list[str] = (), name
     return register
 
 
-from assayloom.plans import numeric, relational, sequences, tables  # noqa: E402, F401
+from assayloom.plans import biology, files, layouts, measures, numeric, relational, sequences, tables  # noqa: E402, F401

@@ -48,9 +48,9 @@ def semi_in(t):
     return R.semi(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 def anti_in(t):
-    return R.anti(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_mktsegment")
+    return R.anti(t.customer, t.orders.where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT coalesce(c.k, o.k) AS k, c.c_name, o.n FROM (SELECT c_custkey AS k, c_name FROM customer) c FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) o ON c.k = o.k WHERE o.n IS NOT NULL")
@@ -229,9 +229,9 @@ def set_intersect(t):
     return _parts(t, "A").intersect(_parts(t, "R"))
 
 
-@query("SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25")
 def set_diff(t):
-    return _parts(t, "A").subtract(_parts(t, "R"))
+    return _parts(t, "A").subtract(t.lineitem.where("l_returnflag = 'R' AND l_quantity > 25").select("l_partkey"))
 
 
 @query("SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' UNION SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
@@ -239,9 +239,9 @@ def set_union(t):
     return _parts(t, "A").union(_parts(t, "R")).distinct()
 
 
-@query("SELECT in_A, in_N, in_R, count(*) AS n FROM (SELECT l_partkey, bool_or(l_returnflag = 'A') AS in_A, bool_or(l_returnflag = 'N') AS in_N, bool_or(l_returnflag = 'R') AS in_R FROM lineitem GROUP BY 1) GROUP BY 1, 2, 3")
+@query("SELECT in_A, in_N, in_R, count(*) AS n FROM (SELECT l_partkey, bool_or(l_returnflag = 'A') AS in_A, bool_or(l_returnflag = 'N') AS in_N, bool_or(l_returnflag = 'R') AS in_R FROM lineitem WHERE l_quantity > 45 GROUP BY 1) GROUP BY 1, 2, 3")
 def upset_counts(t):
-    return R.membership_counts(t.lineitem, "l_partkey", "l_returnflag", ["A", "N", "R"])
+    return R.membership_counts(t.lineitem.where("l_quantity > 45"), "l_partkey", "l_returnflag", ["A", "N", "R"])
 
 
 # --- Projections ------------------------------------------------------------------------------------------------------
@@ -252,10 +252,10 @@ def pixel_to_um(t):
     return C.pixel_to_um(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), "quantity", "price", 0.65)
 
 
-@query("SELECT l_discount, l_tax, l_quantity FROM lineitem WHERE l_discount > 0.02 AND l_tax > 0.02 AND (l_discount > 0.08 OR l_tax > 0.07)")
+@query("SELECT l_discount, l_tax, l_quantity FROM lineitem WHERE l_discount > 0.02 AND l_tax > 0.02 AND (l_discount > 0.07 OR l_tax > 0.07)")
 def filter_all_any(t):
     both = C.filter_all(t.lineitem.select("l_discount", "l_tax", "l_quantity"), ["l_discount", "l_tax"], lambda c: c > 0.02)
-    return both.where((F.col("l_discount") > 0.08) | (F.col("l_tax") > 0.07))
+    return C.filter_any(both, ["l_discount", "l_tax"], lambda c: c > 0.07)
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' WHEN p_type = 'PROMO' THEN 'promo' ELSE 'large' END AS class FROM part")

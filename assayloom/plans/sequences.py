@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assayloom.functions import dna
@@ -166,20 +165,6 @@ def barcode_filter(t):
     return D.constrain(seqs(t, 10).select(F.col("s").alias("barcode")))
 
 
-@query()
-def barcode_greedy(t):
-    """A sequential selection; equal to a plain scan in the tests."""
-    return D.prune(seqs(t, 10).groupBy(F.col("s").alias("barcode")).agg(F.min("p_partkey").alias("rank")), 4)
-
-
-@query(f"SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY s, p_partkey) AS replicate, 'CACCG' || s AS forward, 'AAAC' || reverse(translate(s, 'ACGT', 'TGCA')) || 'C' AS reverse FROM (SELECT p_partkey, p_brand, {SEQ.format(k='p_partkey', n=20)} AS s FROM part)")
-def guide_oligos(t):
-    x = seqs(t, 20).join(t.part.select("p_partkey", "p_brand"), "p_partkey").select("p_partkey", F.col("p_brand").alias("symbol"), F.col("s").alias("guide"))
-    out = D.guide_oligos(x)
-    k = F.row_number().over(Window.partitionBy("symbol").orderBy("guide", "p_partkey")).cast("long")
-    return out.select("p_partkey", k.alias("replicate"), "forward", "reverse")
-
-
 # --- Expression, screens, variants ------------------------------------------------------------------------------------
 
 COUNTS = "x AS (SELECT 'g' || l_partkey AS symbol, 's' || (l_suppkey % 8) AS sample, sum(l_quantity) AS count, min(p_size) AS length FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
@@ -211,12 +196,6 @@ def most_variable(t):
     return E.most_variable(counts(t), "symbol", "count", 50)
 
 
-@query()
-def wald_test(t):
-    """Negative binomial test; p-values need the error function. Checked on planted genes in the tests."""
-    return E.wald_test(counts(t).withColumn("grp", F.when(F.substring("sample", 2, 5).cast("int") % 2 == 0, "ctrl").otherwise("treated")), "grp", "ctrl")
-
-
 SETS = "sets AS (SELECT DISTINCT 'C' AS collection, p_brand AS gs_id, 'g' || p_partkey AS gene FROM part), lists AS (SELECT DISTINCT 'l' || (o_custkey % 5) AS list, 'g' || (o_custkey % 2000) AS gene FROM orders WHERE o_totalprice > 300000)"
 
 

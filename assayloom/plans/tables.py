@@ -125,12 +125,6 @@ def rf_classify(t):
     return learn.classify(x, "vec_id", "label", [f"f{i}" for i in range(8)], trees=10)[0].select("vec_id", "predicted")
 
 
-@query()
-def maxmin_picks(t):
-    """One pick after another; equal to a plain loop in the tests."""
-    return H.maxmin_picks(t.embeddings.select("vec_id", maths.sign_bits("embedding").alias("fp")), 8, "vec_id")
-
-
 # --- Events -----------------------------------------------------------------------------------------------------------
 
 

@@ -1,31 +1,50 @@
 """Readers and writers of laboratory text formats over Spark's text source.
 
-Line order within a file comes from the text source's row positions: a file whose lines depend on each other is read whole
-(one row a file, ``wholetext``) and cut in columns, so it stays in one task; formats of independent lines stay splittable.
+All files are read in splits. Records that begin with a mark of their own (FASTA, trajectory frames) are cut by it, as the
+source's line separator. Where lines depend on each other (FASTQ, lines before a header, sections) they are numbered: each
+split's lines are counted, and the counts before it make its first number, so a file needn't fit into a task.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.dna import one_letter
 from assayloom.functions.strings import stem
+from assayloom.session import materialize
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """file (base name) and text, a row for each file."""
+    """file (base name) and text, a row for each file: for logs and other small files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, n (1-based), line."""
-    t = whole_files(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("n", "line"))
-    return t.withColumn("n", F.col("n") + 1)
+    """file, n (1-based), line, of plain or gzipped files. An empty file has none; a line feed at the end begins no line.
+
+    A split's lines come one after another, so the running number of a line within its split follows from the written
+    table; what is joined to it is a row for each split.
+    """
+    text = spark.read.text(path).select("_metadata.file_path", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    lines = materialize(text, "lines")
+    blocks = lines.groupBy("file_path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    return lines.join(blocks, ["file_path", "block"]).select("file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("n"), "line")
+
+
+def marked_records(spark: SparkSession, path: str, mark: str) -> DataFrame:
+    """file and record (text without the mark) of files whose records begin with a mark, cut there by the reader."""
+    rows = spark.read.option("lineSep", mark).text(path)
+    return rows.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("record"))
 
 
 def scan_csv(spark: SparkSession, path: str, skip: int = 0, sep: str = ",", schema: str | None = None, name: str = "plate") -> DataFrame:
@@ -53,8 +72,8 @@ def scan_table(spark: SparkSession, path: str, names: list[str], comment: str =
 
 
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """file, name (first word), header, seq; records may span lines."""
-    recs = whole_files(spark, path).select("file", F.explode(F.split("text", r"(?:^|\n)>")).alias("r")).where(F.trim("r") != "")
+    """file, name (first word), header, seq; records may span lines. A mark stands only at the start of a line."""
+    recs = marked_records(spark, path, "\n>").withColumn("r", F.regexp_replace("record", "^>", "")).where(F.trim("r") != "")
     head = F.regexp_extract("r", r"^([^\r\n]*)", 1)
     return recs.select("file", F.regexp_extract(head, r"^(\S+)", 1).alias("name"), head.alias("header"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
@@ -81,10 +100,36 @@ def merge_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def scan_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """file, n (record number from 1), header, seq, plus, qual; plain or gzipped."""
-    lines = F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")
-    recs = whole_files(spark, path).select("file", lines.alias("l")).select("file", F.expr("posexplode(transform(sequence(0, size(l) div 4 - 1), i -> slice(l, i * 4 + 1, 4)))").alias("n", "r"))
-    return recs.select("file", (F.col("n") + 1).alias("n"), *[F.get("r", F.lit(i)).alias(c) for i, c in enumerate(("header", "seq", "plus", "qual"))])
+    """file, n (record number from 1), header, seq, plus, qual; plain or gzipped; an unfinished record at the end goes.
+
+    Records whose four lines stand in one batch are cut there; only the lines of others, a few at the ends of batches,
+    are shuffled to be joined.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(1).to_numpy() - 1
+            file = pc.dictionary_encode(b.column(0)).indices.to_numpy()
+            first = np.flatnonzero(n[:-3] % 4 == 0) if len(n) > 3 else np.zeros(0, np.int64)
+            first = first[(n[first + 3] == n[first] + 3) & (file[first + 3] == file[first])]
+            alone = np.ones(len(n), bool)
+            alone[(first[:, None] + np.arange(4)).ravel()] = False
+            rest = np.flatnonzero(alone)
+            at = np.concatenate([first, rest])
+            lines = [b.column(2).take(pa.array(first + i)) for i in range(4)]
+            none = pa.nulls(len(rest), pa.string())
+            columns = [pa.concat_arrays([x, none]) for x in lines]
+            place = pa.concat_arrays([pa.nulls(len(first), pa.int32()), pa.array((n[rest] % 4).astype(np.int32))])
+            line = pa.concat_arrays([pa.nulls(len(first), pa.string()), b.column(2).take(pa.array(rest))])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(n[at] // 4 + 1), *columns, place, line], names)
+
+    names = ["file", "n", "header", "seq", "plus", "qual", "place", "line"]
+    schema = "file string, n long, header string, seq string, plus string, qual string, place int, line string"
+    found = materialize(ordered_lines(spark, path).mapInArrow(run, schema), "records")
+    parts = ("header", "seq", "plus", "qual")
+    whole = found.where("place IS NULL").select("file", "n", *parts)
+    joined = found.where("place IS NOT NULL").groupBy("file", "n").agg(*[F.max(F.when(F.col("place") == i, F.col("line"))).alias(c) for i, c in enumerate(parts)])
+    return whole.unionByName(joined.where("qual IS NOT NULL"))
 
 
 def write_fastq(df: DataFrame, path: str, rep: str | None = None, compress: bool = True) -> None:
@@ -101,8 +146,6 @@ def replicate_name(base: str, rep: int, pair: int | None = None, gz: bool = True
 def parse_mpnn(spark: SparkSession, path: str) -> DataFrame:
     """id (template and running sample), score, seq_recovery, sequence: a header '>name' starts a template, later headers
     with 'sample=' its samples; the sequence is on the next line."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("file").orderBy("n")
     x = ordered_lines(spark, path).withColumn("_seq", F.lead("line").over(w)).where("line LIKE '>%'")
     x = x.withColumns({"_first": ~F.col("line").contains("sample="), "_name": F.when(~F.col("line").contains("sample="), F.regexp_extract("line", r"^>([^,\s]+)", 1))})
@@ -169,25 +212,24 @@ def clean_pdb(lines: DataFrame, remarks: list[str] = ()) -> DataFrame:
 
 
 def scan_lammps(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of all frames: file, timestep, id, type, x, y, z; scaled coordinates are stretched to the box."""
-    frames = whole_files(spark, path).select("file", F.explode(F.split("text", r"(?:^|\n)ITEM: TIMESTEP\s*\n")).alias("f")).where(F.trim("f") != "")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for file, text in zip(b["file"], b["f"], strict=True):
-                head, _, atoms = text.partition("ITEM: ATOMS")
-                step = int(head.split("\n", 1)[0])
-                box = [tuple(map(float, r.split()[:2])) for r in re.split(r"ITEM: BOX BOUNDS[^\n]*\n", head)[1].strip().split("\n")[:3]]
-                lines = atoms.strip("\n").split("\n")
-                names = lines[0].split()
-                for r in lines[1:]:
-                    v = dict(zip(names, r.split(), strict=False))
-                    xyz = [float(v[a]) if a in v else float(v[a + "s"]) * (hi - lo) + lo for a, (lo, hi) in zip("xyz", box, strict=True)]
-                    out.append((file, step, int(v["id"]), int(v.get("type", 0)), *xyz))
-            yield pd.DataFrame(out, columns=["file", "timestep", "id", "type", "x", "y", "z"])
-
-    return frames.mapInPandas(run, "file string, timestep long, id long, type int, x double, y double, z double")
+    """Atoms of all frames: file, timestep, id, type, x, y, z; scaled coordinates are stretched to the box. Frames without
+    atoms have none; a type that isn't listed is 0."""
+    frames = marked_records(spark, path, "ITEM: TIMESTEP").where(F.trim("record") != "")
+    step = F.regexp_extract("record", r"^\s*(\d+)", 1).try_cast("long")
+    number = r"([-+0-9.eE]+)"
+    box = rf"ITEM: BOX BOUNDS[^\n]*\n\s*{number}\s+{number}[^\n]*\n\s*{number}\s+{number}[^\n]*\n\s*{number}\s+{number}"
+    bounds = [F.regexp_extract("record", box, i).try_cast("double").alias(f"b{i}") for i in range(1, 7)]
+    names = F.split(F.trim(F.regexp_extract("record", r"ITEM: ATOMS([^\n]*)", 1)), r"\s+").alias("names")
+    atoms = F.split(F.trim(F.regexp_extract("record", r"(?s)ITEM: ATOMS[^\n]*\n(.*)", 1)), r"\s*\n\s*")
+    rows = frames.select("file", step.alias("timestep"), *bounds, names, F.explode(atoms).alias("line")).where("line <> ''")
+    rows = rows.select("*", F.map_from_arrays("names", F.slice(F.split("line", r"\s+"), F.lit(1), F.size("names"))).alias("v"))
+    value = lambda c: F.get(F.map_values(F.map_filter("v", lambda k, _: k == F.lit(c))), F.lit(0)).try_cast("double")
+
+    def axis(i: int, c: str) -> Column:
+        low, high = F.col(f"b{2 * i + 1}"), F.col(f"b{2 * i + 2}")
+        return F.coalesce(value(c), value(f"{c}s") * (high - low) + low).alias(c)
+
+    return rows.select("file", "timestep", value("id").cast("long").alias("id"), F.coalesce(value("type"), F.lit(0.0)).cast("int").alias("type"), *[axis(i, c) for i, c in enumerate("xyz")])
 
 
 def docking_best(spark: SparkSession, path: str) -> DataFrame:
@@ -242,7 +284,7 @@ def biotype_beds(gtf: DataFrame, biotype: str = "gene_type") -> DataFrame:
 def scan_salmon(spark: SparkSession, pattern: str, t2g: DataFrame | None = None) -> DataFrame:
     """quant.sf files of sample folders: gene, sample, count, tpm; transcripts are summed by gene."""
     rows = spark.read.options(header=True, sep="\t").schema("Name string, Length long, EffectiveLength double, TPM double, NumReads double").csv(pattern)
-    rows = rows.select(F.split("Name", "[.]")[0].alias("gene"), F.regexp_extract("_metadata.file_path", r"([^/]+)/quant\.sf$", 1).alias("sample"), F.col("NumReads").alias("count"), F.col("TPM").alias("tpm"))
+    rows = rows.select(F.split("Name", "[.]")[0].alias("gene"), F.regexp_extract("_metadata.file_path", r"([^/]+)/quant\.sf(?:/[^/]*)?$", 1).alias("sample"), F.col("NumReads").alias("count"), F.col("TPM").alias("tpm"))
     if t2g is not None:
         rows = rows.join(t2g.select(F.split("transcript_id", "[.]")[0].alias("gene"), F.col("gene_id").alias("_g")), "gene").withColumn("gene", F.col("_g"))
     return rows.groupBy("gene", "sample").agg(F.sum("count").alias("count"), F.sum("tpm").alias("tpm"))
@@ -263,7 +305,8 @@ def log_metrics(df: DataFrame, patterns: dict[str, str], text: str = "text") ->
 #: Where the usual logs hold their numbers.
 FLAGSTAT = {"total": r"(\d+) \+ \d+ in total", "mapped": r"(\d+) \+ \d+ mapped", "paired": r"(\d+) \+ \d+ properly paired", "duplicates": r"(\d+) \+ \d+ duplicates"}
 SALMON = {"mapping_rate": r"Mapping rate = ([0-9.]+)%"}
-STAR = {"input_reads": r"Number of input reads \|\s*(\d+)", "unique_reads": r"Uniquely mapped reads number \|\s*(\d+)", "unique_pct": r"Uniquely mapped reads % \|\s*([0-9.]+)%"}
+SALMON_META = {"processed": r'"num_processed":\s*(\d+)', "mapped": r'"num_mapped":\s*(\d+)', "percent_mapped": r'"percent_mapped":\s*([0-9.]+)'}
+STAR = {"input_reads": r"Number of input reads \|\s*(\d+)", "unique_reads": r"Uniquely mapped reads number \|\s*(\d+)", "unique_pct": r"Uniquely mapped reads % \|\s*([0-9.]+)%", "multi_reads": r"Number of reads mapped to multiple loci \|\s*(\d+)", "unmapped_pct": r"% of reads unmapped: too short \|\s*([0-9.]+)%"}
 
 
 def append_statistics(df: DataFrame, path: str) -> None:
@@ -272,8 +315,6 @@ def append_statistics(df: DataFrame, path: str) -> None:
 
 def read_channels(lines: DataFrame) -> DataFrame:
     """Sectioned text ('[file]' lines, then 'channel = name'): file section, channel, name."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("file").orderBy("n")
     x = lines.withColumn("section", F.last(F.nullif(F.regexp_extract("line", r"^\[(.+)\]$", 1), F.lit("")), ignorenulls=True).over(w))
     return x.where("line LIKE '%=%'").select("section", F.trim(F.regexp_extract("line", "^([^=]+)=", 1)).alias("channel"), F.trim(F.regexp_extract("line", "=(.*)$", 1)).alias("name"))
@@ -284,13 +325,64 @@ def positions_xml(df: DataFrame) -> DataFrame:
     return df.select(F.to_xml(F.struct("PositionID", "name", "x", "y", "z"), {"rowTag": "Point"}).alias("value"))
 
 
+def write_positions_xml(df: DataFrame, path: str) -> None:
+    """Files with a root each, as readers of XML need one."""
+    df.select("PositionID", "name", "x", "y", "z").write.options(rootTag="Points", rowTag="Point").xml(path)
+
+
 def read_positions_xml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(rowTag="Point").schema("PositionID long, name string, x double, y double, z double").xml(path)
 
 
-def sample_rows(df: DataFrame) -> list[dict]:
-    """A sample sheet (tens of rows) as dictionaries, for a driver's loop."""
-    return [r.asDict() for r in df.collect()]
+def sample_rows(df: DataFrame, most: int = 10_000) -> list[dict]:
+    """A sample sheet as dictionaries, for a driver's loop; raises beyond so many rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a sample sheet of more than {most} rows")
+    return [r.asDict() for r in rows]
+
+
+def for_each_sample(sheet: DataFrame, call: Callable[[dict], DataFrame]) -> DataFrame | None:
+    """What a call gives for each row of a sample sheet, put together; none for an empty sheet."""
+    found = [call(row) for row in sample_rows(sheet)]
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def merge_reads(spark: SparkSession, sheet: DataFrame) -> DataFrame:
+    """Records of all FASTQ files of each sample of a sheet (sample, path): sample, then the columns of ``scan_fastq``."""
+    names: dict[str, list[str]] = {}
+    for row in sample_rows(sheet.select("sample", "path").distinct().orderBy("sample", "path")):
+        names.setdefault(row["sample"], []).append(row["path"])
+    found = [scan_fastq(spark, path).withColumn("sample", F.lit(sample)) for sample, paths in names.items() for path in paths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "file string, n long, header string, seq string, plus string, qual string, sample string")
+
+
+def write_tables(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
+    """A folder for each named table, as the sheets of a workbook; replaces those of the same name."""
+    for name, df in tables.items():
+        w = df.write.mode("overwrite")
+        (w.option("header", True) if kind == "csv" else w).format(kind).save(f"{path}/{name}")
+
+
+def read_tables(spark: SparkSession, path: str, names: list[str], kind: str = "parquet") -> dict[str, DataFrame]:
+    return {n: spark.read.options(**({"header": True} if kind == "csv" else {})).format(kind).load(f"{path}/{n}") for n in names}
+
+
+def put_file(spark: SparkSession, path: str, content: str) -> str:
+    """A small file in any file system that Spark knows."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    return path
+
+
+def spike_free_table(sheet: DataFrame, columns: tuple[str, str] = ("sample", "group"), control: str = "control") -> DataFrame:
+    """ID, group and antibody of a sample sheet, with a constant column for the colour."""
+    return sheet.select(F.col(columns[0]).alias("ID"), F.coalesce(control, F.lit("none")).alias("ANTIBODY"), F.col(columns[1]).alias("GROUP"), F.lit("black").alias("COLOR"))
 
 
 def merge_samples(runs: DataFrame, sheet: DataFrame, key: str = "run") -> DataFrame:

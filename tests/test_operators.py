@@ -2,6 +2,7 @@
 
 import math
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -48,10 +49,27 @@ def dna_int():
     return "CAST(14 AS BIGINT)"
 
 
-def test_tails():
-    assert math.isclose(maths.t_two_sided(2.0, 10), 0.07338803, abs_tol=1e-7)
-    assert math.isclose(maths.hypergeom_tail(3, 20, 5, 6), 5090 / 38760, abs_tol=1e-9)
-    assert math.isclose(maths.fisher_two_sided(3, 1, 1, 3), 0.4857143, abs_tol=1e-6)
+def test_tails(spark):
+    """Column expressions against sums and integrals in plain Python."""
+    t = spark.createDataFrame([(x, d) for x in (0.0, 0.1, -1.3, 2.5, 8.0) for d in (1.0, 2.7, 10.0, 200.5)] + [(None, 3.0), (1.0, 0.0)], "t double, df double")
+    for r in t.withColumn("p", maths.t_pvalue("t", "df")).collect():
+        if r.t is None or r.df == 0:
+            assert r.p is None
+            continue
+        x = np.linspace(0, abs(r.t), 200_001)
+        c = math.exp(math.lgamma((r.df + 1) / 2) - math.lgamma(r.df / 2)) / math.sqrt(r.df * math.pi)
+        assert abs(r.p - (1 - 2 * np.trapezoid(c * (1 + x * x / r.df) ** (-(r.df + 1) / 2), x))) < 1e-8
+    z = spark.createDataFrame([(x / 10,) for x in range(-380, 381, 19)] + [(None,)], "z double").withColumn("p", maths.normal_two_sided("z")).collect()
+    assert all(r.p is None if r.z is None else abs(r.p / math.erfc(abs(r.z) / math.sqrt(2)) - 1) < 1e-9 for r in z)
+    q = spark.createDataFrame([(x,) for x in (0.0, 1e-300, 1e-9, 0.001, 0.2, 0.425, 0.5, 0.7, 0.9999, 1.0)], "p double").withColumn("q", maths.probit(F.col("p"))).collect()
+    assert all(r.q is None if r.p in (0, 1) else abs(r.q - NormalDist().inv_cdf(r.p)) < 1e-8 for r in q)
+    h = spark.createDataFrame([(3, 20, 5, 6), (0, 50, 10, 20), (11, 50, 10, 20), (5, 2000, 300, 40)], "k int, n int, g int, d int").withColumn("p", maths.hypergeom_pvalue("k", "n", "g", "d")).collect()
+    assert all(abs(r.p - sum(math.comb(r.g, i) * math.comb(r.n - r.g, r.d - i) for i in range(r.k, min(r.g, r.d) + 1)) / math.comb(r.n, r.d)) < 1e-9 for r in h)
+    f = spark.createDataFrame([(3, 1, 1, 3), (0, 0, 3, 4), (100, 80, 60, 90)], "a int, b int, c int, d int").withColumn("p", maths.fisher_pvalue("a", "b", "c", "d")).collect()
+    for r in f:
+        n, row, col = r.a + r.b + r.c + r.d, r.a + r.b, r.a + r.c
+        ways = {i: math.comb(row, i) * math.comb(n - row, col - i) for i in range(max(0, col - n + row), min(row, col) + 1)}
+        assert abs(r.p - sum(w for w in ways.values() if w <= ways[r.a]) / math.comb(n, col)) < 1e-9
 
 
 # --- Columns and relations --------------------------------------------------------------------------------------------
@@ -325,8 +343,8 @@ def test_catalog_and_plates(spark):
     df = spark.createDataFrame(cells, "sheet string, r int, c int, cell string")
     assert values(plates.reader_block(df, 24), "well", "value") == [("A1", 1.5), ("B1", 2.0)]
     assert values(plates.reader_block(df, 24, invert=True), "well", "value") == [("C6", 2.0), ("D6", 1.5)]
-    pos = plates.stage_positions(spark, 24, 4, 3000.0)
-    assert pos.count() == 96 and pos.where("name LIKE 'A1#%'").count() == 4 and plates.plate_types(spark).count() == 4
+    pos = plates.stage_positions(spark, "CellVis_P24", 4, 3000.0)
+    assert pos.count() == 96 and pos.where("name LIKE 'A1#%'").count() == 4 and plates.plate_types(spark).count() == 9 and pos.where("name LIKE 'A6#%'").agg({"x": "max"}).first()[0] < 93586
     with pytest.raises(ValueError, match="fit"):
         plates.field_offsets(spark, 900, 3000.0, 6000.0)
 
@@ -372,3 +390,32 @@ def test_similarity_join_of_mixed_lengths(spark):
         both = {(a, b) for a, b, _ in want} | {(b, a) for a, b, _ in want} | {(s, s) for s in seqs}
         found = design.similar_pairs(df, k, other=df)
         assert {(r.a, r.b) for r in found.collect()} == both
+
+
+def test_clusters_of_terms_and_signals(spark):
+    """Planted groups: two dense ones that one weak link joins, and rows of three shapes."""
+    genes = {g: [f"{g}{i}" for i in range(30)] for g in "ab"}
+    rng = np.random.default_rng(4)
+    rows = [(f"{g}t{k}", x) for g in "ab" for k in range(5) for x in rng.choice(genes[g], 24, replace=False)] + [("bridge", x) for x in genes["a"][:12] + genes["b"][:12]] + [("lonely", "z")]
+    sets = spark.createDataFrame(rows, "gs_id string, gene string")
+    sim = expression.term_similarity(sets, 0.2)
+    brute = {k: {g for t, g in rows if t == k} for k, _ in rows}
+    want = {(a, b): len(brute[a] & brute[b]) / len(brute[a] | brute[b]) for a in brute for b in brute if a < b}
+    assert {(r.a, r.b): round(r.jaccard, 9) for r in sim.collect()} == {k: round(v, 9) for k, v in want.items() if v >= 0.2}
+    found = {r.gs_id: r.cluster for r in expression.markov_clusters(sim, sets.select("gs_id")).collect()}
+    assert len({found[f"at{k}"] for k in range(5)}) == len({found[f"bt{k}"] for k in range(5)}) == 1 and found["at0"] != found["bt0"] and found["lonely"] == "lonely"
+    shape = lambda i, b: 10.0 * (i % 3) + (b if i % 3 == 1 else 0)
+    m = spark.createDataFrame([(i, b, shape(i, b) + 0.01 * i) for i in range(30) for b in range(4)], "key int, bin int, value double")
+    out = intervals.cluster_order(m, "key", 4).orderBy("rank").collect()
+    assert [r.rank for r in out] == list(range(1, 31)) and all(r.cluster == 2 - r.key % 3 for r in out) and [r.key for r in out][:3] == [29, 26, 23]
+
+
+def test_bound_columns_and_parts(spark):
+    a, b = spark.createDataFrame([(3, "x"), (1, "y")], "k int, v string"), spark.createDataFrame([(9,), (8,)], "w int")
+    assert [tuple(r) for r in relational.bind_columns(a, ["k"], b, ["w"]).orderBy("k").collect()] == [(1, "y", 8), (3, "x", 9)]
+    with pytest.raises(Exception, match="differ in length"):
+        relational.bind_columns(a, ["k"], b.limit(1), ["w"]).collect()
+    with pytest.raises(ValueError, match="parts"):
+        relational.split_apply(a, "k", lambda p: p, most=1)
+    with pytest.raises(ValueError, match="levels"):
+        learn.dummies(a, ["v"], most=1)

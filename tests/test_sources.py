@@ -111,3 +111,28 @@ def test_streams(spark, tmp_path):
             events.write.mode("append").parquet(src)
         incremental.available_now(spark, src, events.schema, sink, check).awaitTermination()
         assert spark.read.parquet(sink).count() == expected
+
+
+def test_files_of_many_splits(spark, tmp_path):
+    """Line numbers, FASTQ and FASTA records and frames don't depend on where a file is split."""
+    reads = [(f"@r{i}/1 {'x' * (i % 37)}", "ACGT" * (i % 9 + 1), "+", "@I+>" * (i % 9 + 1)) for i in range(700)]
+    q = put(tmp_path / "a_1.fq", "".join("\n".join(r) + "\n" for r in reads))
+    put(tmp_path / "b_1.fq", "@z\nAC\n+\nII\n@unfinished\nAC\n")
+    names = [(f"s{i}", "ACGT" * (i % 50 + 1)) for i in range(300)]
+    f = put(tmp_path / "x.fasta", "".join(f">{n} d\n{s[:7]}\n{s[7:]}\n" for n, s in names))
+    box = "ITEM: NUMBER OF ATOMS\n2\nITEM: BOX BOUNDS pp pp pp\n0 1e1\n0 20\n-5 5\n"
+    t = put(tmp_path / "t.lammpstrj", "".join(f"ITEM: TIMESTEP\n{i}\n{box}ITEM: ATOMS id type xs y z\n1 2 0.5 {i} 3\n2 1 0.25 0 0\n" for i in range(200)))
+    old, cost = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = text.ordered_lines(spark, q)
+        assert [r.line for r in lines.orderBy("n").collect()] == [x for r in reads for x in r] and lines.selectExpr("min(n)", "max(n)").first() == (1, 2800)
+        got = text.scan_fastq(spark, f"file://{tmp_path}/*.fq").orderBy("file", "n").collect()
+        assert [tuple(r)[2:] for r in got] == [*reads, ("@z", "AC", "+", "II")] and [r.n for r in got] == [*range(1, 701), 1]
+        assert sorted((r.name, r.seq) for r in text.scan_fasta(spark, f).collect()) == sorted(names)
+        atoms = text.scan_lammps(spark, t)
+        assert atoms.count() == 400 and sorted((r.timestep, r.x, r.y) for r in atoms.where("id = 1").collect()) == [(i, 5.0, float(i)) for i in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
