@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.functions.nulls import clean, ratio
+from assayloom.operators.relational import null_safe_join
+from assayloom.operators.windows import group_quantiles, ranked
 
 
 def trimmed_mean_agg(x: str, trim: float) -> Column:
@@ -19,15 +21,15 @@ def trimmed_mean_agg(x: str, trim: float) -> Column:
 
 
 def trimmed_mean(df: DataFrame, by: list[str], cols: list[str], trim: float, tie: list[str] | None = None) -> DataFrame:
-    """The same by ranks: one window a column, so a group may be as large as it likes (it spills)."""
+    """The same by ranks on two levels, so a group may be as large as it likes."""
     out = None
     for c in cols:
         x = df.select(*by, clean(c).alias(c), *(tie or [])).where(F.col(c).isNotNull())
-        w = Window.partitionBy(*by)
-        x = x.withColumns({"_n": F.count(F.lit(1)).over(w), "_k": F.row_number().over(w.orderBy(c, *(tie or [])))})
+        n = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        x = null_safe_join(ranked(x, by, F.col(c), [F.col(k) for k in tie or []]), n, by)
         drop = F.floor(F.col("_n") * F.lit(float(trim)))
         one = x.where((F.col("_k") > drop) & (F.col("_k") <= F.col("_n") - drop)).groupBy(*by).agg(F.avg(c).alias(c))
-        out = one if out is None else out.join(one, by, "outer")
+        out = one if out is None else null_safe_join(out, one, by, "outer")
     return out
 
 
@@ -63,8 +65,7 @@ def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], approxim
 
 def quantile_trimmed_sum(df: DataFrame, by: list[str], x: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Sum of the values strictly between two quantiles of their group."""
-    w = Window.partitionBy(*by)
-    q = df.select(*by, clean(x).alias("_x")).withColumns({"_a": F.percentile("_x", F.lit(low)).over(w), "_b": F.percentile("_x", F.lit(high)).over(w)})
+    q = null_safe_join(df.select(*by, clean(x).alias("_x")), group_quantiles(df, by, F.col(x), [low, high], ["_a", "_b"]), by)
     return q.groupBy(*by).agg(F.sum(F.when((F.col("_x") > F.col("_a")) & (F.col("_x") < F.col("_b")), F.col("_x"))).alias(x))
 
 
@@ -109,9 +110,9 @@ def group_sizes(df: DataFrame, group: list[str], by: list[str]) -> DataFrame:
 
 
 def gini(df: DataFrame, by: list[str], x: str, tie: list[str]) -> DataFrame:
-    """Gini index of counts, share of zeros, total; by ranks."""
-    w = Window.partitionBy(*by)
-    r = df.withColumns({"_k": F.row_number().over(w.orderBy(x, *tie)), "_n": F.count(F.lit(1)).over(w)})
+    """Gini index of counts, share of zeros, total; by ranks on two levels."""
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    r = null_safe_join(ranked(df, by, F.col(x), [F.col(k) for k in tie]), n, by)
     top = F.sum((2 * F.col("_k") - F.col("_n") - 1) * F.col(x).cast("double"))
     return r.groupBy(*by).agg(ratio(top, F.max("_n") * F.sum(x)).alias("gini"), (100.0 * F.avg((F.col(x) == 0).cast("double"))).alias("zero_pct"), F.sum(x).alias("total"))
 

@@ -1,7 +1,8 @@
 """Algebra of genomic intervals: closed integer coordinates (start and end both belong), chrom, optional strand.
 
 Overlap joins bucket both sides by bins of a fixed width and keep a pair only in the bin of the larger start, so the join
-is an equi-join, exact and free of duplicates. Everything else is windows over (chrom) ordered by start.
+is an equi-join, exact and free of duplicates. Merging, depth and nearest points are running values along the places, on
+two levels: stretches of ``STRETCH`` places, and within them, so a chromosome is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -10,24 +11,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.nulls import ratio
+from assayloom.operators.windows import running
+from assayloom.session import materialize
+
+#: Places of a stretch that is sorted on its own.
+STRETCH = 1_000_000
+
+
+def stretch(place: str | Column) -> Column:
+    return F.floor((F.col(place) if isinstance(place, str) else place) / STRETCH)
 
 
 def reduce_ranges(df: DataFrame, by: list[str], min_gap: int = 1, start: str = "start", end: str = "end") -> DataFrame:
     """Merged ranges of each group: overlapping ones, and such as are nearer than ``min_gap`` (1: adjacent)."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(*by, start, end).withColumn("_new", F.when(before.isNull() | (F.col(start) > before + min_gap), 1).otherwise(0))
-    island = marked.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = [F.col(start), F.col(end)]
+    seen = running(df.select(*by, start, end), by, stretch(start), order, {"_before": ("max", F.col(end), False)})
+    marked = seen.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + min_gap), 1).otherwise(0)).drop("_before")
+    marked = materialize(marked, "ranges")  # read twice below
+    island = running(marked, by, stretch(start), order, {"_i": ("sum", F.col("_new"), True)})
     return island.groupBy(*by, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged")).drop("_i")
 
 
 def coverage(df: DataFrame, by: list[str]) -> DataFrame:
     """Segments of constant depth (above 0): start, end, depth."""
     events = df.select(*by, F.inline(F.array(F.struct(F.col("start").cast("long").alias("_p"), F.lit(1).alias("_d")), F.struct((F.col("end").cast("long") + 1).alias("_p"), F.lit(-1).alias("_d")))))
-    steps = events.groupBy(*by, "_p").agg(F.sum("_d").alias("_d"))
-    w = Window.partitionBy(*by).orderBy("_p")
-    out = steps.select(*by, F.col("_p").alias("start"), (F.lead("_p").over(w) - 1).alias("end"), F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-    return out.where("depth > 0")
+    steps = materialize(events.groupBy(*by, "_p").agg(F.sum("_d").alias("_d")), "steps")  # read twice below
+    # The next step's place is the least one behind, along falling places.
+    steps = materialize(running(steps, by, stretch("_p"), [F.col("_p")], {"depth": ("sum", F.col("_d"), True)}), "depth")
+    steps = running(steps, by, -stretch("_p"), [F.col("_p").desc()], {"_next": ("min", F.col("_p"), False)})
+    return steps.where("depth > 0").select(*by, F.col("_p").alias("start"), (F.col("_next") - 1).alias("end"), "depth")
 
 
 def slice_depth(cov: DataFrame, by: list[str], low: int, high: int | None = None, min_gap: int = 1) -> DataFrame:
@@ -168,9 +180,10 @@ def nearest(a: DataFrame, points: DataFrame, key: str, position: str = "tss", na
     def side(edge: str, last: bool) -> DataFrame:
         q = a.select("chrom", F.col(edge).cast("long").alias("_at"), F.lit(None).cast(p.schema["_point"].dataType).alias("_point"), F.col(key).alias("_key"), F.lit(1).alias("_o"))
         both = q.unionByName(p.withColumns({"_key": F.lit(None).cast(a.schema[key].dataType), "_o": F.lit(0 if last else 2)}))
-        w = Window.partitionBy("chrom").orderBy(*([F.col("_at"), F.col("_o")] if last else [F.col("_at").desc(), (2 - F.col("_o")).alias("_x")]))
-        found = F.last("_point", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return both.withColumn("_found", found).where("_o = 1").select(F.col("_key").alias(key), F.col("_found"))
+        order = [F.col("_at"), F.col("_o")] if last else [F.col("_at").desc(), F.col("_o").desc()]
+        # The last point so far is the one of the largest place (the least on the way back): there is one for a place.
+        found = running(both, ["chrom"], stretch("_at") if last else -stretch("_at"), order, {"_found": ("max" if last else "min", F.col("_point"), True)})
+        return found.where("_o = 1").select(F.col("_key").alias(key), F.col("_found"))
 
     out = a.join(side("end", True).withColumnRenamed("_found", "_l"), key).join(side("start", False).withColumnRenamed("_found", "_r"), key)
 

@@ -13,7 +13,8 @@ from assayloom.functions.maths import normal_two_sided, signif, t_pvalue
 from assayloom.functions.nulls import clean, ratio, safe_log2
 from assayloom.operators.aggregate import trimmed_mean_agg
 from assayloom.operators.relational import null_safe_join
-from assayloom.operators.windows import average_rank
+from assayloom.operators.windows import along, average_rank, ranked, running
+from assayloom.session import materialize
 
 
 def fold_change(df: DataFrame, by: list[str], cols: list[str], control: Column, use_median: bool = False, log: bool = False, trim: float = 0.0, const: float = 0.0, const_on: str = "denominator") -> DataFrame:
@@ -138,7 +139,14 @@ def sample_correlation(df: DataFrame, item: str, sample: str, value: str) -> Dat
 
 
 def bh_adjust(df: DataFrame, by: list[str], p: str, tie: list[str], out: str = "padj") -> DataFrame:
-    """Benjamini-Hochberg: the running minimum of p * m / rank from the largest p."""
+    """Benjamini-Hochberg: the running minimum of p * m / rank from the largest p; without groups on two levels."""
+    if not by:
+        m = df.agg(F.count(p).alias("_m"))
+        v = ranked(df.where(F.col(p).isNotNull()), [], F.col(p), [F.col(c) for c in tie]).crossJoin(F.broadcast(m))  # one row
+        v = materialize(v, "ranked")  # read twice below
+        cut, bucket = along(v.withColumn("_q", F.col(p) * F.col("_m") / F.col("_k")), [], F.col("_k"), descending=True)
+        v = running(cut, [], bucket, [F.col("_k").desc()], {out: ("min", F.col("_q"), True)}).withColumn(out, F.least(F.col(out), F.lit(1.0)))
+        return v.select(*df.columns, out).unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
     w = Window.partitionBy(*(by or [F.lit(1)]))
     v = df.withColumns({"_m": F.count(p).over(w), "_k": F.row_number().over(w.orderBy(F.col(p).asc_nulls_last(), *tie))})
     q = F.min(F.col(p) * F.col("_m") / F.col("_k")).over(w.orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0))

@@ -1,4 +1,8 @@
-"""Ordered operators: ratios to controls, outliers, cumulative curves, ranks, serpentine orders, chunks."""
+"""Ordered operators: ratios to controls, outliers, cumulative curves, ranks, serpentine orders, chunks.
+
+Ranks and running sums of large groups work on two levels (``running``): a group is cut into buckets along its order, the
+buckets' totals are summed up over the few buckets, and each bucket is sorted on its own, so no group lands in one task.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,70 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.maths import probit
 from assayloom.functions.nulls import clean, ratio
+from assayloom.operators.relational import null_safe_join
+
+
+#: Buckets that a group is cut into, at approximate quantiles of its order.
+BUCKETS = 64
+_OPS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def running(df: DataFrame, by: list[str], bucket: Column, order: list[Column], out: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+    """Add running values within groups: name -> (sum, max or min, value, whether the row itself counts). ``bucket`` must
+    not fall along the order. A sum of nothing is 0, a maximum or minimum of nothing null."""
+    keys = [*by, "_bucket"]
+    x = df.withColumn("_bucket", bucket)
+    parts = x.groupBy(*keys).agg(*[_OPS[op](v).alias(f"_p{i}") for i, (op, v, _) in enumerate(out.values())])
+    before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, *[_OPS[op](f"_p{i}").over(before).alias(f"_q{i}") for i, (op, _, _) in enumerate(out.values())])
+    j = null_safe_join(x, parts, keys)
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    for i, (name, (op, value, own)) in enumerate(out.items()):
+        here = _OPS[op](value).over(inside.rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+        both = F.coalesce(F.col(f"_q{i}"), F.lit(0)) + F.coalesce(here, F.lit(0)) if op == "sum" else (F.greatest if op == "max" else F.least)(F.col(f"_q{i}"), here)
+        j = j.withColumn(name, both)
+    return j.drop("_bucket", *[f"_q{i}" for i in range(len(out))])
+
+
+def along(df: DataFrame, by: list[str], x: Column, descending: bool = False) -> tuple[DataFrame, Column]:
+    """The table with the cuts of each group along a number, and the bucket of a row (nulls first, or last if falling)."""
+    value = x.cast("double")
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, F.lit([i / BUCKETS for i in range(1, BUCKETS)]), F.lit(1000)).alias("_cuts"))
+    out = null_safe_join(df.withColumn("_along", value), cuts, by) if by else df.withColumn("_along", value).crossJoin(F.broadcast(cuts))  # one row
+    bucket = F.when(F.col("_along").isNull(), -1).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col("_along"))))
+    return out, -bucket if descending else bucket
+
+
+def ranked(df: DataFrame, by: list[str], x: Column, tie: list[Column] = (), descending: bool = False, out: str = "_k") -> DataFrame:
+    """Add the running number from 1 of each row in its group by a number, then ``tie``."""
+    cut, bucket = along(df, by, x, descending)
+    order = [F.col("_along").desc() if descending else F.col("_along"), *tie]
+    return running(cut, by, bucket, order, {out: ("sum", F.lit(1).cast("long"), True)}).drop("_cuts", "_along")
+
+
+def group_quantiles(df: DataFrame, by: list[str], x: Column, probs: list[float], names: list[str]) -> DataFrame:
+    """Exact interpolated quantiles by group, from the values at the ranks around each; NaN and null are left out."""
+    v = df.select(*by, clean(x).alias("_x")).where("_x IS NOT NULL")
+    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    r = ranked(v, by, F.col("_x"))
+    r = null_safe_join(r, n, by) if by else r.crossJoin(F.broadcast(n))  # one row
+    aggs = []
+    for p, name in zip(probs, names, strict=True):
+        at = (F.col("_n") - 1) * F.lit(float(p)) + 1
+        low, high = (F.max(F.when(F.col("_k") == f(at), F.col("_x"))) for f in (F.floor, F.ceil))
+        share = F.max(at - F.floor(at))
+        aggs.append((low + (high - low) * share).alias(name))
+    return r.groupBy(*by).agg(*aggs)
+
+
+def tied_ranks(df: DataFrame, by: list[str], x: Column) -> DataFrame:
+    """Rank with the mean for ties of the distinct values of each group: by, _x, _rank, _n (rows of the group)."""
+    v = df.select(*by, x.alias("_x")).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    cut, bucket = along(v, by, F.col("_x"))
+    r = running(cut, by, bucket, [F.col("_x")], {"_before": ("sum", F.col("_c"), False)}).drop("_cuts", "_along")
+    n = v.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    r = null_safe_join(r, n, by) if by else r.crossJoin(F.broadcast(n))  # one row
+    return r.withColumn("_rank", F.col("_before") + (F.col("_c") + 1) / F.lit(2.0)).drop("_before", "_c")
 
 
 def average_rank(by: list[str], order: Column) -> Column:
@@ -37,8 +105,10 @@ def lowest_dose_ratio(df: DataFrame, by: list[str], x: str, dose: str, out: str
 
 def remove_outliers(df: DataFrame, by: list[str], cols: list[str], coef: float = 1.5) -> DataFrame:
     """Rows without a value beyond the quartiles by more than coef times their distance; null isn't an outlier."""
-    w = Window.partitionBy(*by)
-    q = df.withColumns({f"_a{i}": F.percentile(clean(c), F.lit(0.25)).over(w) for i, c in enumerate(cols)} | {f"_b{i}": F.percentile(clean(c), F.lit(0.75)).over(w) for i, c in enumerate(cols)})
+    q = df
+    for i, c in enumerate(cols):
+        found = group_quantiles(df, by, F.col(c), [0.25, 0.75], [f"_a{i}", f"_b{i}"])
+        q = null_safe_join(q, found, by) if by else q.crossJoin(F.broadcast(found))  # one row
     tests = []
     for i, c in enumerate(cols):
         a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
@@ -47,16 +117,22 @@ def remove_outliers(df: DataFrame, by: list[str], cols: list[str], coef: float =
 
 
 def cdf(df: DataFrame, by: list[str], order: list[str], weight: str, out: str = "cdf") -> DataFrame:
-    w = Window.partitionBy(*by)
-    upto = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, ratio(F.sum(weight).over(upto), F.sum(weight).over(w)))
+    """Share of the group's weight up to each row, by a number and then the other columns of the order."""
+    cut, bucket = along(df, by, F.col(order[0]))
+    x = running(cut, by, bucket, [F.col(c) for c in order], {"_upto": ("sum", F.col(weight), True)}).drop("_cuts", "_along")
+    total = df.groupBy(*by).agg(F.sum(weight).alias("_total"))
+    x = null_safe_join(x, total, by) if by else x.crossJoin(F.broadcast(total))  # one row
+    return x.withColumn(out, ratio(F.col("_upto"), F.col("_total"))).drop("_upto", "_total")
 
 
 def lorenz(df: DataFrame, by: list[str], x: str, tie: list[str]) -> DataFrame:
     """Share of rows and cumulative share of the total, highest first."""
-    w = Window.partitionBy(*by)
-    o = w.orderBy(F.col(x).desc(), *tie)
-    return df.withColumns({"share_rows": F.row_number().over(o) / F.count(F.lit(1)).over(w).cast("double"), "share_total": ratio(F.sum(x).over(o.rowsBetween(Window.unboundedPreceding, 0)), F.sum(x).over(w))})
+    cut, bucket = along(df, by, F.col(x), descending=True)
+    upto = {"_k": ("sum", F.lit(1).cast("long"), True), "_upto": ("sum", F.col(x), True)}
+    r = running(cut, by, bucket, [F.col(x).desc(), *map(F.col, tie)], upto).drop("_cuts", "_along")
+    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(x).alias("_total"))
+    r = null_safe_join(r, total, by) if by else r.crossJoin(F.broadcast(total))  # one row
+    return r.withColumns({"share_rows": F.col("_k") / F.col("_n").cast("double"), "share_total": ratio(F.col("_upto"), F.col("_total"))}).drop("_k", "_upto", "_n", "_total")
 
 
 def binned_cdf(df: DataFrame, by: list[str], x: str, width: float) -> DataFrame:
@@ -66,13 +142,17 @@ def binned_cdf(df: DataFrame, by: list[str], x: str, width: float) -> DataFrame:
 
 
 def every_kth(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("_k") - 1) % k == 0).drop("_k")
+    """Rows 1, k + 1, 2k + 1 of each group, by a number or time and then the other columns of the order."""
+    first = F.col(order[0])
+    number = first if not df.schema[order[0]].dataType.simpleString().startswith("timestamp") else F.unix_micros(first.cast("timestamp"))
+    return ranked(df, by, number, [F.col(c) for c in order]).where((F.col("_k") - 1) % k == 0).drop("_k")
 
 
 def zscore(df: DataFrame, by: list[str], x: str, out: str = "z") -> DataFrame:
     """(x - mean) / sd within row or column groups of the long form; null where sd is 0."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(out, ratio(clean(x) - F.avg(clean(x)).over(w), F.stddev_samp(clean(x)).over(w)))
+    m = df.groupBy(*by).agg(F.avg(clean(x)).alias("_m"), F.stddev_samp(clean(x)).alias("_s"))
+    j = null_safe_join(df, m, by) if by else df.crossJoin(F.broadcast(m))  # one row
+    return j.withColumn(out, ratio(clean(x) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def serpentine(df: DataFrame, row: str, col: str, by: str = "lr", out: str = "visit", within: list[str] | None = None) -> DataFrame:
@@ -95,12 +175,16 @@ def snake_fields(df: DataFrame, within: list[str], x: str = "x", y: str = "y") -
 def inverse_normal(df: DataFrame, x: str, by: list[str] | None = None, out: str = "int") -> DataFrame:
     """Normal quantile of (average rank - 0.5) / n."""
     by = by or []
-    w = Window.partitionBy(*(by or [F.lit(1)]))
-    p = (average_rank(by or [F.lit(1)], F.col(x)) - 0.5) / F.count(F.lit(1)).over(w)
-    return df.withColumn(out, probit(p))
+    r = tied_ranks(df, by, F.col(x)).withColumnRenamed("_x", x)
+    return null_safe_join(df, r, [*by, x]).withColumn(out, probit((F.col("_rank") - 0.5) / F.col("_n"))).drop("_rank", "_n")
 
 
 def to_plates(df: DataFrame, order: list[str], capacity: int = 96, within: list[str] | None = None) -> DataFrame:
-    """plate_number and position 1..capacity by order."""
-    k = F.row_number().over(Window.partitionBy(*(within or [F.lit(1)])).orderBy(*order)) - 1
-    return df.withColumn("_k", k).withColumns({"plate_number": (F.floor(F.col("_k") / capacity) + 1).cast("int"), "position": (F.col("_k") % capacity + 1).cast("int")}).drop("_k")
+    """plate_number and position 1..capacity by order; a single number is ranked on two levels, other orders, as of labels,
+    in one task for each group."""
+    simple = len(order) == 1 and df.schema[order[0]].dataType.simpleString() in ("int", "bigint", "double", "float", "smallint")
+    if simple:
+        numbered = ranked(df, within or [], F.col(order[0])).withColumn("_k", F.col("_k") - 1)
+    else:
+        numbered = df.withColumn("_k", F.row_number().over(Window.partitionBy(*(within or [F.lit(1)])).orderBy(*order)) - 1)
+    return numbered.withColumns({"plate_number": (F.floor(F.col("_k") / capacity) + 1).cast("int"), "position": (F.col("_k") % capacity + 1).cast("int")}).drop("_k")
