@@ -21,6 +21,7 @@ told apart by 16 bytes of their SHA-256, so copies are compared once.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.shingles import mix
+from assayloom.llm.shingles import mix, piece_hashes
 from assayloom.llm.worker import held, map_arrow, parts, record
 from assayloom.session import materialize
 
@@ -45,7 +46,8 @@ LONG, LEAST_WINDOW = 26, 3
 LEAST_CONSISTENT = 0.8
 #: Bits of the filter of window hashes, as a power of two.
 FILTER_BITS = 25
-MEMO = 600_000
+#: Words that a worker remembers: such as aren't read in arrays.
+MEMO = 200_000
 BITS = 20
 #: Words of a text handled at a time; parts overlap by the longest item.
 PART = 400_000
@@ -60,32 +62,51 @@ OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%$€£]+$")
 IS_NUMBER, IS_UNIT, IS_CAPITAL, ENDS, IS_EMPTY = 1, 2, 4, 8, 16
 #: The reading without placeholders.
 LITERAL = 2
-#: Words that no text has, before a text and before a part that goes on inside a sentence: no window spans them.
-BEFORE, BEFORE_INSIDE = " ", "  "
+#: Words that no text has (they are white space), before a text and before a part that goes on inside a sentence: no window spans them.
+BEFORE, BEFORE_INSIDE = "\x1e", "\x1f"
 SLOTS = {name: xxhash.xxh64_intdigest(f"<{name}>") for name in ("number", "unit", "name")}
 
 
+def byte_table(test: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(test.encode())] = True
+    return out
+
+
+LOWER, UPPER = (byte_table(x) for x in (string.ascii_lowercase, string.ascii_uppercase))
+LETTER, STOP = LOWER | UPPER, byte_table(".!?:")
+#: What goes from the end of a word.
+MARK = byte_table("".join(c for c in string.punctuation if c not in "_%$"))
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return piece_hashes(b"".join([*words, bytes(8)]), np.append(0, ends[:-1]), ends) if words else np.zeros(0, np.uint64)
+
+
 class Lexicon(dict):
-    """Number of each word, with its bare form's hash and its flags."""
+    """Hashes of the bare forms of words, and flags. Words of Latin letters (up to U+00FF), with a mark at the end or
+    without, are read in arrays; of others the number is remembered."""
 
     def __init__(self) -> None:
         super().__init__()
         self.forget()
+        self.numbers, self.units = (np.sort(hashes_of([w.encode() for w in of if w.isalpha()])) for of in (NUMBER_WORDS, UNITS))
 
     def forget(self) -> None:
         self.clear()
-        self.waiting: list[tuple[int, int]] = []
-        self.hashes, self.flags = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
+        self.waiting: list[tuple[bytes, int]] = []
+        self.hashes, self.flags = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint8)
 
     def __missing__(self, word: str) -> int:
         self[word] = place = len(self)
         self.waiting.append(self.read(word))
         return place
 
-    def read(self, word: str) -> tuple[int, int]:
-        """Hash of the bare form, and flags."""
+    def read(self, word: str) -> tuple[bytes, int]:
+        """Bare form in lower case, and flags."""
         if word in (BEFORE, BEFORE_INSIDE):
-            return xxhash.xxh64_intdigest(word), ENDS if word == BEFORE else 0
+            return word.encode(), ENDS if word == BEFORE else 0
         bare = word if word.isalpha() else OUTER.sub("", word)
         low = bare.lower()
         flag = ENDS if word.rstrip("\"')]}»”’")[-1:] in ".!?:" else 0
@@ -97,24 +118,58 @@ class Lexicon(dict):
             flag |= IS_UNIT
         if bare[:1].isupper() and not bare.isupper():
             flag |= IS_CAPITAL
-        return xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), flag
+        return low.encode("utf-8", "surrogatepass"), flag
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash and flags of each word, and its place; words without letter or digit are left out."""
-        if len(self) > MEMO:
-            self.forget()
-        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.waiting:
-            first = len(self) - len(self.waiting)
-            while len(self.hashes) < len(self):
-                self.hashes, self.flags = np.concatenate([self.hashes, self.hashes]), np.concatenate([self.flags, self.flags])
-            self.hashes[first : len(self)], self.flags[first : len(self)] = zip(*self.waiting, strict=True)
-            self.waiting = []
-        token, flag = self.hashes[places], self.flags[places]
+        if not words:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        data = " ".join(words).encode("utf-8", "surrogatepass")
+        view = np.frombuffer(data, np.uint8)
+        spaces = np.flatnonzero(view == 32)
+        starts, ends = np.append(0, spaces + 1), np.append(spaces, len(view))
+        letter, upper, low = LETTER[view], UPPER[view], data.lower()
+        wide = np.flatnonzero(view == 0xC3)  # first bytes of U+00C0 to U+00FF
+        wide = wide[(view[wide + 1] != 0x97) & (view[wide + 1] != 0xB7)]  # but for the signs of multiplication and division
+        if len(wide):
+            capital = wide[view[wide + 1] < 0x9F]
+            letter[wide] = letter[wide + 1] = upper[capital] = True
+            lowered = np.frombuffer(low, np.uint8).copy()
+            lowered[capital + 1] += 0x20
+            low = lowered.tobytes()
+        count = lambda flags: np.append(np.int64(0), np.cumsum(flags))
+        upto, uppers = count(letter), count(upper)
+        letters, uppers = upto[ends] - upto[starts], uppers[ends] - uppers[starts]
+        size, last = ends - starts, view[ends - 1]
+        marked = (letters == size - 1) & (size > 1) & MARK[last]
+        token = piece_hashes(low + bytes(8), starts, ends - marked)
+        flag = np.where(marked & STOP[last], ENDS, 0).astype(np.uint8)
+        flag[upper[starts] & (uppers < letters - (np.searchsorted(wide, ends) - np.searchsorted(wide, starts)))] |= IS_CAPITAL
+        number = among(token, self.numbers)
+        flag[number] |= IS_NUMBER
+        flag[among(token, self.units) & ~number] |= IS_UNIT
+        odd = np.flatnonzero(~marked & (letters != size))
+        if len(odd):
+            if len(self) > MEMO:
+                self.forget()
+            places = np.fromiter((self[words[i]] for i in odd.tolist()), np.int64, len(odd))
+            if self.waiting:
+                first = len(self) - len(self.waiting)
+                while len(self.hashes) < len(self):
+                    self.hashes, self.flags = np.concatenate([self.hashes, self.hashes]), np.concatenate([self.flags, self.flags])
+                self.hashes[first : len(self)] = hashes_of([w for w, _ in self.waiting])
+                self.flags[first : len(self)] = [f for _, f in self.waiting]
+                self.waiting = []
+            token[odd], flag[odd] = self.hashes[places], self.flags[places]
         at = np.flatnonzero(flag & IS_EMPTY == 0)
         return token[at], flag[at], at
 
 
+def among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Whether each value is one of a few sorted ones."""
+    return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values
+
+
 @dataclass
 class Reading:
     """Tokens of one reading: hashes, whether each is a placeholder, and the first word of each (and the end)."""

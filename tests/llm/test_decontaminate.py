@@ -114,3 +114,14 @@ def test_join_equals_brute_force_and_finds_planted_edits(spark):
     assert sorted(tuple(r) for r in found) == sorted((k, *leak) for k, t in rows for leak in index.leaks(t.split(), lexicon))
     planted, got = {(k, k % 60) for k in range(1, 400, 2)}, {(r.doc_id, r.item_id) for r in found}
     assert got <= planted and len(got) >= 0.95 * len(planted)
+
+
+def test_words_read_in_arrays_equal_those_read_one_by_one():
+    rng = random.Random(1)
+    alphabet = "abzAZéÉßÿÀ×÷ñÑ.,!?:;\"')%$€_-+19½²ΩωжЖ漢"
+    text = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 7))) for _ in range(20000)] + ["I", "A", "a", "twenty", "Twenty.", "kg", "KG", "kg.", "ÉTÉ", "Été", "été", "STRASSE", "Straße."]
+    lexicon = decontaminate.Lexicon()
+    token, flag, at = lexicon.tokens(text)
+    read = [lexicon.read(w) for w in text]
+    assert at.tolist() == [i for i, (_, f) in enumerate(read) if not f & decontaminate.IS_EMPTY]
+    assert flag.tolist() == [read[i][1] for i in at] and token.tolist() == decontaminate.hashes_of([read[i][0] for i in at]).tolist()
