@@ -27,7 +27,7 @@ SEQUENCE = 2048
 #: Pieces per block, about.
 BLOCK = 8192
 END = 1
-#: Pieces of text that a worker remembers the ids of; fewer than it could, as pipelines end with packing.
+#: Pieces of text that a worker remembers the ids of.
 REMEMBERED = 1_000_000
 
 
@@ -108,7 +108,7 @@ def pack_pieces(pieces: DataFrame, limits: tuple[int, int, int] = (SEQUENCE, 256
     return packed.unionByName(full)
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Encode every whole text (null: empty), append id 1 and cut it into pieces of ``size`` ids and a rest.
 
     Returns per piece: doc_id, start, length, ids_crc32 (unsigned, little-endian unsigned 32-bit ids), doc_tokens. A
@@ -117,7 +117,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUE
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, style, REMEMBERED)
+        encode = encoder(tokenizer, style, remembered)
         for part in parts(batches, 1024):
             out = []
             for doc, ids in zip(part.column(0).to_pylist(), encode.encode(part.column(1).to_pylist()), strict=True):
@@ -132,14 +132,14 @@ def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUE
     return map_arrow(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, style: str, limits: tuple[int, int, int] = (SEQUENCE, 256, SEQUENCE - 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, style: str, limits: tuple[int, int, int] = (SEQUENCE, 256, SEQUENCE - 1), id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Cut whole documents and pack the pieces. A piece's first token follows nothing that it could be foretold from, so
     all but that one bear loss: a sequence of many short pieces bears less than one of few, and the three limits differ.
 
     Returns the columns of ``cut_documents``, n_loss, sequence_id and offset. Null and empty texts give one piece, the
-    end id; repeated rows are packed each. Texts are encoded once.
+    end id; repeated rows are packed each. Texts are encoded once; a worker remembers about ``remembered`` pieces of text.
     """
-    pieces = cut_documents(docs, tokenizer, style, limits[0], id_col, text_col).withColumn("n_loss", F.col("length") - 1)
+    pieces = cut_documents(docs, tokenizer, style, limits[0], id_col, text_col, remembered).withColumn("n_loss", F.col("length") - 1)
     return pack_pieces(pieces, limits, loss="n_loss")
 
 
