@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayloom.functions import dna, maths
+from assayloom.functions import dna, maths, tables
 from assayloom.operators import catalog as K
 from assayloom.operators import chem as H
 from assayloom.operators import design as D
@@ -431,6 +431,23 @@ def term_genes(t):
     return K.term_genes(t.part.select(F.concat(F.lit("GO:"), "p_size").alias("go_id"), F.col("p_brand").alias("symbol")), "GO:7")
 
 
+# --- Table functions --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey, i::INTEGER AS pos, substr(n_name, i, 3) AS kmer FROM (SELECT n_nationkey, n_name, unnest(range(1, length(n_name) - 1)) AS i FROM nation)")
+def kmer_rows(t):
+    """A table function, laterally."""
+    tables.register(t.spark)
+    t.nation.createOrReplaceTempView("kmer_nations")
+    return t.spark.sql("SELECT n_nationkey, k.pos, k.kmer FROM kmer_nations, LATERAL kmers(n_name, 3) AS k")
+
+
+@query("SELECT r_regionkey, r::INTEGER AS row, c::INTEGER AS col, chr((64 + r)::INTEGER) || c AS well FROM region, (SELECT unnest(range(1, 9)) AS r), (SELECT unnest(range(1, 13)) AS c)")
+def plate_rows(t):
+    tables.register(t.spark)
+    return R.expand_grid(t.region.select("r_regionkey"), t.spark.sql("SELECT * FROM plate_wells(8, 12)"))
+
+
 # --- Streams ----------------------------------------------------------------------------------------------------------
 
 
