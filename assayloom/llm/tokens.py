@@ -10,7 +10,6 @@ which runs of white space could reach over a cut are encoded whole by the librar
 
 from __future__ import annotations
 
-import json
 import os
 import re
 
@@ -101,7 +100,7 @@ class Encoder:
 
     def __init__(self, path: str, style: str, most: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if style not in ("space", "drop"):
             raise ValueError("style must be space or drop")
@@ -111,8 +110,8 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.style, self.most = style, most
         # The same model without its text handling, for words of which the result of that handling is plain.
-        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.bare, self.letters = Tokenizer.from_str(json.dumps(bare)), byte_letters()
+        self.bare, self.letters = Tokenizer(self.tokenizer.model), byte_letters()
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.bare_between = f" {self.letters[1]} "
         self.bare_mark = self.bare.encode(self.bare_between, add_special_tokens=False).ids
         #: What stands between segments that are encoded in one call, and its id: a pre-token of its own.
@@ -125,8 +124,9 @@ class Encoder:
         self.long: dict[bytes, int] = {}
         self.long_bytes = 0
         self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        #: Bytes of the remembered pieces in eights: the numbers, where each piece's begin, and its size.
-        self.bytes, self.at, self.size = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        #: Sizes of the remembered pieces, and of those beyond eight bytes the bytes in eights and where they begin. The hash
+        #: of a shorter piece is one to one with its bytes and size, so these stand for it.
+        self.bytes, self.at, self.size = np.zeros(1 << 14, np.uint64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         """By the library alone."""
@@ -205,8 +205,8 @@ class Encoder:
             self._keep(numbers, lanes, starts[at], sizes[at])
             self.memo.add(fresh, numbers.astype(np.int32))
             places[missing] = numbers[np.searchsorted(fresh, hashes[missing])]
-        same = (self.size[places] == sizes) & (self.bytes[self.at[places]] == lane)
-        todo, k = np.flatnonzero(same & (sizes > 8)), 1
+        same = (self.size[places] == sizes) & (hashes != 1)  # 1 stands for 0 too
+        todo, k = np.flatnonzero(same & (sizes > 8)), 0
         while len(todo):
             rest = sizes[todo] - 8 * k
             equal = self.bytes[self.at[places[todo]] + k] == lanes[starts[todo] + 8 * k] & MASK[np.minimum(rest, 8)]
@@ -216,8 +216,8 @@ class Encoder:
         return out
 
     def _keep(self, numbers: np.ndarray, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        """Remember the bytes of pieces."""
-        eights = np.maximum(1, (sizes + 7) // 8)
+        """Remember the sizes of pieces, and the bytes of those beyond eight."""
+        eights = np.where(sizes > 8, (sizes + 7) // 8, 0)
         begin = self.kept + np.cumsum(eights) - eights
         self.kept += int(eights.sum())
         self.bytes = grown(self.bytes, self.kept)
