@@ -126,18 +126,24 @@ class Avi:
 
 
 def parse_avi(data: bytes) -> Avi:
-    """The video frames by the index; by the ``movi`` list where there is no index. Raises ValueError if it's no AVI."""
+    """The video frames by the index; by walking the ``movi`` lists where there is no index, and in the segments (AVIX) that
+    follow the first one in large files. Raises ValueError if it's no AVI."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    fps, width, height, movi, index = float(FPS), 0, 0, None, None
-    todo = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
+    fps, width, height, index = float(FPS), 0, 0, None
+    movis: list[tuple[int, int]] = []
+    todo, start = [], 0
+    while start + 12 <= len(data) and data[start : start + 4] == b"RIFF" and data[start + 8 : start + 12] in (b"AVI ", b"AVIX"):
+        size = struct.unpack_from("<I", data, start + 4)[0]
+        todo.append((start + 12, min(len(data), start + 8 + size)))
+        start += 8 + size + (size & 1)
     while todo:
         at, end = todo.pop()
         while at + 8 <= end:
             name, size = struct.unpack_from("<4sI", data, at)
             if name == b"LIST":
                 if data[at + 8 : at + 12] == b"movi":
-                    movi = (at + 8, min(end, at + 8 + size))
+                    movis.append((at + 8, min(end, at + 8 + size)))
                 else:
                     todo.append((at + 12, at + 8 + size))
             elif name == b"idx1":
@@ -148,20 +154,27 @@ def parse_avi(data: bytes) -> Avi:
                 scale, rate = struct.unpack_from("<II", data, at + 28)
                 fps = rate / scale if scale and rate else fps
             at += 8 + size + (size & 1)
-    if movi is None:
-        return Avi([], fps, width, height)
+    movis.sort()
     frames = []
-    if index is not None:
+    if index is not None and movis:
+        first = movis.pop(0)
         entries = np.frombuffer(data[index[0] : index[1] - (index[1] - index[0]) % 16], np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
         # Offsets count from the list's name or, in some files, from the file's start.
-        base = movi[0] if len(entries) and data[movi[0] + int(entries["at"][0]) :][:4] == entries["id"][0] else 0
+        base = first[0] if len(entries) and data[first[0] + int(entries["at"][0]) :][:4] == entries["id"][0] else 0
         for name, at, size in zip(entries["id"].tolist(), (entries["at"].astype(np.int64) + base + 8).tolist(), entries["size"].tolist(), strict=True):
             if name[2:4] in (b"dc", b"db"):
                 frames.append(data[at : at + size])
-    else:
-        at = movi[0] + 4
-        while at + 8 <= movi[1]:
+    for low, end in movis:
+        stops, at = [end], low + 4
+        while stops:
+            if at + 8 > stops[-1]:
+                at = stops.pop()
+                continue
             name, size = struct.unpack_from("<4sI", data, at)
+            if name == b"LIST" and data[at + 8 : at + 12] == b"rec ":
+                stops.append(min(stops[-1], at + 8 + size + (size & 1)))
+                at += 12
+                continue
             if name[2:4] in (b"dc", b"db"):
                 frames.append(data[at + 8 : at + 8 + size])
             at += 8 + size + (size & 1)
@@ -207,6 +220,39 @@ def inverse(blocks: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(out + 128), 0, 255).astype(np.uint8)
 
 
+# The usual Huffman tables: numbers of codes by length, then their symbols; DC and AC, of luma and chroma.
+STANDARD = {
+    0x00: ("00010501010101010100000000000000", "000102030405060708090a0b"),
+    0x01: ("00030101010101010101010000000000", "000102030405060708090a0b"),
+    0x10: (
+        "0002010303020403050504040000017d",
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a"
+        "636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
+    ),
+    0x11: (
+        "00020102040403040705040400010277",
+        "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a"
+        "636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+    ),
+}
+
+
+def code_table(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
+    """Symbols by length and code: codes of one length count up, and double at each further bit."""
+    table, code, p = {}, 0, 0
+    for bits, n in enumerate(counts, 1):
+        for _ in range(n):
+            table[bits, code] = symbols[p]
+            code, p = code + 1, p + 1
+        code <<= 1
+    return table
+
+
+@lru_cache(1)
+def standard_tables() -> dict[int, dict[tuple[int, int], int]]:
+    return {name: code_table(bytes.fromhex(counts), bytes.fromhex(symbols)) for name, (counts, symbols) in STANDARD.items()}
+
+
 def decode_luma(frame: bytes) -> np.ndarray:
     """Luma pixels of a baseline JPEG frame (height x width). Raises ValueError for anything else."""
     if frame[:2] != b"\xff\xd8":
@@ -227,14 +273,9 @@ def decode_luma(frame: bytes) -> np.ndarray:
                 data = data[65 + 64 * wide :]
         elif mark == 0xC4:
             while data:
-                counts, table, code, p = data[1:17], {}, 0, 17
-                for bits, n in enumerate(counts, 1):
-                    for _ in range(n):
-                        table[bits, code] = data[p]
-                        code, p = code + 1, p + 1
-                    code <<= 1
-                huff[data[0]] = table
-                data = data[p:]
+                end = 17 + sum(data[1:17])
+                huff[data[0]] = code_table(data[1:17], data[17:end])
+                data = data[end:]
         elif mark == 0xC0:
             _, height, width, n = struct.unpack_from(">BHHB", data)
             size = (height, width)
@@ -246,6 +287,7 @@ def decode_luma(frame: bytes) -> np.ndarray:
         elif mark == 0xDA:
             tables = {data[1 + 2 * i]: data[2 + 2 * i] for i in range(data[0])}
             break
+    huff = standard_tables() | huff  # motion JPEG may leave out the usual tables
     if not parts or not all(p[3] in quant and (tables[p[0]] >> 4) in huff and (0x10 | tables[p[0]] & 15) in huff for p in parts):
         raise ValueError("a JPEG frame without its tables")
     if len(parts) == 1:
@@ -341,8 +383,13 @@ def clip_rows(hist: np.ndarray, luma: np.ndarray, fps: float) -> list[tuple[int,
     return [(i, round(1000 * b / fps), round(1000 * e / fps), e - b, float(luma[b:e].mean())) for i, (b, e) in enumerate(zip(begins, ends, strict=False)) if e > b]
 
 
-def measure(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes | None]:
-    """Histograms and mean lumas of frames, and the payload if they are payload frames; decoded a chunk at a time."""
+def measure(frames: list[bytes], damaged: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, bytes | None]:
+    """Histograms and mean lumas of frames, and the payload if they are payload frames; decoded a chunk at a time.
+
+    An empty frame repeats the one before, as AVI means it. With ``damaged``, so does one that can't be decoded, whose
+    number is put there (a grey one at the start); without, it raises.
+    """
+    last = np.full((1, 8, 8), 128, np.uint8)
     hists, means, payload = [np.zeros((0, BINS))], [np.zeros(0)], []
     for at in range(0, len(frames), CHUNK):
         part = frames[at : at + CHUNK]
@@ -354,8 +401,15 @@ def measure(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes | None]:
             means.append(pixels.reshape(len(part), -1).mean(axis=1))
         else:
             payload = None
-            for frame in part:
-                pixels = decode_luma(frame)[None]
+            for number, frame in enumerate(part, at):
+                try:
+                    pixels = decode_luma(frame)[None] if frame else last
+                except (ValueError, IndexError, KeyError, struct.error):
+                    if damaged is None:
+                        raise
+                    damaged.append(number)
+                    pixels = last
+                last = pixels
                 hists.append(histograms(pixels))
                 means.append(pixels.reshape(1, -1).mean(axis=1))
     return np.concatenate(hists), np.concatenate(means), b"".join(payload) if payload is not None else None
@@ -364,7 +418,8 @@ def measure(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes | None]:
 def clips(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
     """Timed clip rows of AVI columns: id, clip, start_ms, end_ms, n_frames, mean_luma, error.
 
-    Null media gives no row; what can't be read gives one row with ``error`` and nulls, as does a file without frames.
+    Null media gives no row; what can't be read gives one row with ``error`` and nulls, as does a file without frames, or
+    with no frame that can be decoded; where only some can't, ``error`` says in how many of a clip's frames.
     Repeated rows are read alike; an empty table gives none; other columns aren't read.
     """
     rows = df.where(F.col(media_col).isNotNull()).select(F.col(id_col), F.col(media_col).cast("binary").alias("_media"))
@@ -376,8 +431,16 @@ def clips(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> Da
             for i, data in enumerate(part.column(1).to_pylist()):
                 try:
                     avi = parse_avi(data)
-                    hist, luma, _ = measure(avi.frames)
-                    found = [(*row, None) for row in clip_rows(hist, luma, avi.fps)] or [(*[None] * 5, "no frames")]
+                    bad: list[int] = []
+                    hist, luma, _ = measure(avi.frames, bad)
+                    if bad and len(bad) == len(avi.frames):
+                        raise ValueError("no frame can be decoded")
+                    found, first = [], 0
+                    for row in clip_rows(hist, luma, avi.fps):
+                        n = sum(first <= k < first + row[3] for k in bad)
+                        found.append((*row, f"{n} damaged frames" if n else None))
+                        first += row[3]
+                    found = found or [(*[None] * 5, "no frames")]
                 except (ValueError, IndexError, KeyError, struct.error) as e:
                     found = [(*[None] * 5, str(e) or "damaged")]
                 at += [i] * len(found)

@@ -83,3 +83,36 @@ def test_not_avi():
     with pytest.raises(ValueError, match="AVI"):
         media.parse_avi(b"RIFF\x00\x00\x00\x00WAVE")
     assert np.array_equal(np.sort(media.zigzag()), np.arange(64)) and media.zigzag()[:5].tolist() == [0, 1, 8, 16, 9]
+
+
+def bare_frame(level: int) -> bytes:
+    """As ``flat_frame``, but coded by the usual tables, which it leaves out."""
+    words = {k: {v: format(code, f"0{n}b") for (n, code), v in t.items()} for k, t in media.standard_tables().items()}
+    value = level - 128
+    n = abs(value).bit_length()
+    amplitude = format(value if value > 0 else value + (1 << n) - 1, f"0{n}b") if n else ""
+    bits = words[0][n] + amplitude + words[0x10][0] + (words[0][0] + words[0x10][0]) * 3 + (words[1][0] + words[0x11][0]) * 2
+    bits += "1" * (-len(bits) % 8)
+    quant = b"\xff\xdb" + struct.pack(">HB", 67, 0) + b"\x08" * 64
+    sof = b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, 16, 16, 3) + b"\x01\x22\x00\x02\x11\x00\x03\x11\x00"
+    sos = b"\xff\xda" + struct.pack(">HB", 12, 3) + b"\x01\x00\x02\x11\x03\x11\x00\x3f\x00"
+    return b"\xff\xd8" + quant + sof + sos + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
+
+
+def test_usual_tables_segments_and_damage(spark):
+    assert all((media.decode_luma(bare_frame(v)) == v).all() for v in (3, 127, 128, 129, 250))
+    for name, (counts, symbols) in media.STANDARD.items():
+        assert sum(bytes.fromhex(counts)) == len(set(bytes.fromhex(symbols))) == (162 if name & 16 else 12)
+    first, more = [bare_frame(60)] * 8, [bare_frame(200)] * 4
+
+    def chunk(name, data):
+        return name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+
+    movi = b"movi" + chunk(b"LIST", b"rec " + chunk(b"00dc", more[0]) + chunk(b"00dc", more[1])) + b"".join(chunk(b"00dc", f) for f in more[2:])
+    data = media.write_avi(first, 16, 16, 10)
+    large = data + b"\0" * (len(data) % 2) + chunk(b"RIFF", b"AVIX" + chunk(b"LIST", movi))
+    assert media.parse_avi(large).frames == first + more
+    broken = media.write_avi([*first, b"\xff\xd8junk", b"", *more], 16, 16, 10)
+    df = spark.createDataFrame([(1, bytearray(large)), (2, bytearray(broken))], "doc_id long, media binary")
+    found = {(r.doc_id, r.clip): (r.start_ms, r.end_ms, r.n_frames, r.error) for r in media.clips(df).collect()}
+    assert found == {(1, 0): (0, 800, 8, None), (1, 1): (800, 1200, 4, None), (2, 0): (0, 1000, 10, "1 damaged frames"), (2, 1): (1000, 1400, 4, None)}
