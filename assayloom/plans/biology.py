@@ -128,11 +128,16 @@ def ora_pvalues(t):
     return E.enrich_ora(lists, sets)
 
 
-@query()
+@query(f"""WITH {RANKED}, s AS (SELECT DISTINCT p_brand AS gs_id, 'g' || p_partkey AS gene FROM part), j AS (SELECT gs_id, gene, k, n, count(*) OVER (PARTITION BY gs_id) AS z, abs(stat) / sum(abs(stat)) OVER (PARTITION BY gs_id) AS w FROM s JOIN rk USING (gene)),
+r AS (SELECT *, sum(w) OVER (PARTITION BY gs_id ORDER BY k) AS h, row_number() OVER (PARTITION BY gs_id ORDER BY k) AS i FROM j WHERE z BETWEEN 10 AND 500), d AS (SELECT gs_id, gene, k, z, h - (k - i) / (n - z) AS up, h - (k - i) / (n - z) - w AS down FROM r),
+e AS (SELECT gs_id, min(z) AS set_size, CASE WHEN max(up) >= -min(down) THEN max(up) ELSE min(down) END AS es, CASE WHEN max(up) >= -min(down) THEN arg_max(k, up) END AS hi, CASE WHEN max(up) < -min(down) THEN arg_min(k, down) END AS lo FROM d GROUP BY 1)
+SELECT gs_id, set_size::INTEGER AS set_size, es, string_agg(gene, '/' ORDER BY k) FILTER (k <= hi OR k >= lo) AS leading, true AS fine FROM d JOIN e USING (gs_id) GROUP BY gs_id, set_size, es""", ["es"])
 def gsea_test(t):
-    """Normalised scores and p by random places of a seeded generator; the scores alone have SQL in ``gsea_score``."""
+    """Scores and leading genes; normalised scores have the sign of the score, and p lies between 0 and 1 and below its adjusted one."""
     ranked = t.part.select(F.concat(F.lit("g"), "p_partkey").alias("gene"), F.sin("p_partkey").alias("stat"))
-    return E.enrich_gsea(ranked, t.part.select(F.col("p_brand").alias("gs_id"), F.concat(F.lit("g"), "p_partkey").alias("gene")), 200)
+    x = E.enrich_gsea(ranked, t.part.select(F.col("p_brand").alias("gs_id"), F.concat(F.lit("g"), "p_partkey").alias("gene")), 200)
+    fine = (F.signum("nes") == F.signum("es")) & (F.col("pvalue") > 0) & (F.col("pvalue") <= F.col("padj")) & (F.col("padj") <= 1)
+    return x.select("gs_id", "set_size", "es", "leading", fine.alias("fine"))
 
 
 @query("""WITH x AS (SELECT p_brand AS facet, p_name || p_partkey AS gs_id, p_size - 25 AS "NES", (p_size % 13) || '/' || p_size AS "GeneRatio", p_name || '/b/c' AS core FROM part WHERE p_size <> 25),
@@ -164,11 +169,14 @@ def term_clusters(t):
     return E.term_clusters(E.term_similarity(x, 0.5), x.select("gs_id").distinct())
 
 
-@query()
+@query("SELECT 't' || n_nationkey AS gs_id, 't' || min(n_nationkey::VARCHAR) OVER (PARTITION BY n_regionkey) AS cluster FROM nation")
 def term_markov(t):
-    """Markov clustering of suppliers by their parts; planted clusters are found in the tests."""
-    x = t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("gs_id"), F.col("l_partkey").alias("gene"))
-    return E.markov_clusters(E.term_similarity(x, 0.2), x.select("gs_id").distinct())
+    """Terms of a region share most genes; one gene that all terms have links the regions weakly."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    own = t.nation.select(F.concat(F.lit("t"), k).alias("gs_id"), F.explode(F.sequence(r * 100, r * 100 + 8)).alias("gene"))
+    extra = t.nation.select(F.concat(F.lit("t"), k).alias("gs_id"), F.explode(F.array(F.lit(-1), k * 1000 + 7)).alias("gene"))
+    x = own.unionByName(extra)
+    return E.markov_clusters(E.term_similarity(x, 0.03), x.select("gs_id"))
 
 
 EXPR = f"{COUNTS}, gs AS (SELECT DISTINCT p_brand AS gs_id, 'g' || p_partkey AS symbol FROM part)"
@@ -248,10 +256,18 @@ def poisson_distance(t):
     return E.poisson_distance(counts(t))
 
 
-@query()
+@query("WITH p AS (SELECT n_nationkey AS k, n_nationkey * 37 % 100 AS x, n_nationkey * 53 % 90 AS y FROM nation) SELECT a.k AS a, b.k AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM p a, p b", ["distance"])
 def sample_map(t):
-    """Two coordinates of the samples from their distances, by eigenvectors."""
-    return E.mds(E.poisson_distance(counts(t)))
+    """Two coordinates from a matrix of distances: those of points in a plane come back."""
+    k = F.col("n_nationkey")
+    p = t.nation.select(k.alias("k"), (k * 37 % 100).alias("x"), (k * 53 % 90).alias("y"))
+
+    def pairs(df, x, y):
+        other = df.withColumnsRenamed({"k": "b", x: "_x", y: "_y"})
+        d = F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
+        return df.crossJoin(other).select(F.col("k").alias("a"), "b", d.alias("distance"))  # 25 nations
+
+    return pairs(E.mds(pairs(p, "x", "y")).withColumnRenamed("sample", "k"), "dim1", "dim2")
 
 
 def binomial_tail(u: str, k: str, n: str) -> str:
@@ -402,10 +418,13 @@ def signal_profile(t):
     return I.column_profile(matrix(t))
 
 
-@query()
+@query("WITH s AS (SELECT n_nationkey AS key, 10 * (n_nationkey % 3) + CASE WHEN n_nationkey % 3 = 1 THEN 1.5 ELSE 0 END + n_nationkey / 100 AS score FROM nation) SELECT key, score, 2 - key % 3 AS cluster, row_number() OVER (ORDER BY 2 - key % 3, score DESC, key) AS rank FROM s", ["score"])
 def signal_clusters(t):
-    """Rows of a signal matrix by k-means; planted clusters are found in the tests."""
-    return I.cluster_order(matrix(t), "key", 10)
+    """Rows of three shapes, a shape for a cluster."""
+    k = F.col("n_nationkey")
+    rows = t.nation.select(k.alias("key"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("bin"))
+    m = rows.withColumn("value", 10.0 * (F.col("key") % 3) + F.when(F.col("key") % 3 == 1, F.col("bin")).otherwise(0) + F.col("key") / 100)
+    return I.cluster_order(m, "key", 4).select("key", "score", F.col("cluster").cast("int").alias("cluster"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT l_linestatus AS condition, l_suppkey AS key, l_linenumber AS bin, avg(l_quantity * CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 3 ELSE 4 END) AS value FROM lineitem GROUP BY 1, 2, 3", ["value"])

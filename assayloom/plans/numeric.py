@@ -237,13 +237,6 @@ def minmax_scale(t):
     return S.minmax_scale(t.embeddings.select("vec_id", F.col("embedding")[0].cast("double").alias("x")), "x")
 
 
-@query()
-def dose_response_fit(t):
-    """Iterative fits; parameters of exact curves are recovered in the tests."""
-    d = t.events.groupBy((F.col("user_id") % 20).alias("grp"), (F.floor(F.col("value") / 25) + 1).alias("dose")).agg(F.avg("value").alias("response"))
-    return S.fit_dose_response(d.select("grp", F.col("dose").cast("double").alias("dose"), "response"), ["grp"])
-
-
 @query("SELECT user_id, floor(value / 50)::BIGINT AS dose, avg(value) AS mean, stddev_samp(value) / sqrt(count(value)) AS se FROM events GROUP BY 1, 2", ["mean", "se"])
 def dose_summary(t):
     return S.dose_summary(t.events.withColumn("dose", F.floor(F.col("value") / 50).cast("long")), ["user_id"], "dose", "value")
