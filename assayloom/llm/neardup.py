@@ -7,8 +7,9 @@
    the full bin that ranks first in its own random order (a consistent choice, so similar sets choose alike).
 3. ``ROWS`` bins make a band; documents with an equal band share a bucket. Sets of similarity 0.75 share none of the 48
    bands with a probability below 3 in a million.
-4. Stars: each document is compared with one hub, the least row of a bucket, namely that which it shares most bands with.
-   Confirmed links give components; rows that share an id are linked as well.
+4. Stars: each document is compared with one hub, namely that which it shares most bands with. The hub of a bucket is its
+   member that meets most others in all its buckets, which is the original of a group of copies of it, wherever it
+   stands. Confirmed links give components; rows that share an id are linked as well.
 5. What is left are pairs in one bucket but in different components. The members of such buckets are joined exactly by
    prefixes: with each set's shingles ordered rarest first (by their count among these members), two sets that are
    similar enough share one early in both, where enough of both is still to come. Those outside the commonest component
@@ -18,7 +19,8 @@
    least-neighbour stars.
 
 Nothing grows in the driver: rows, links and components stay in tables, cut from their lineage in the shared folder.
-Joins leave it to Spark whether a side is small enough to be broadcast.
+Numbers of rows whose texts are wanted again are broadcast only up to
+``BROADCAST_ROWS`` of them (counted), and shuffled beyond that; other joins leave it to Spark.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ WORDS = 5
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
 BANDS, ROWS = 48, 5
+#: Row numbers that are broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 @lru_cache(1)
@@ -110,7 +114,14 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingles.shingle_set(d, WORDS).view(np.int64) for d in part.column(1).to_pylist()]
             yield record(row=part.column(0), shingles=pa.array(sets, pa.list_(pa.int64())))
 
-    return map_arrow(texts.select("row", "words").join(wanted, "row", "left_semi"), run, "row long, shingles array<long>")
+    return map_arrow(only(texts.select("row", "words"), wanted), run, "row long, shingles array<long>")
+
+
+def only(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of some rows: these are broadcast up to a counted bound, so that no other text is shuffled; more are
+    shuffled with the texts."""
+    rows = rows.distinct()
+    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", "left_semi")
 
 
 def size_class(n: str) -> str:
@@ -147,7 +158,7 @@ def prefix_pairs(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 def confirm(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b), a written table, those whose full sets are similar enough, compared as words."""
-    words = texts.select("row", "words")
+    words = only(texts.select("row", "words"), pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))))
     both = pairs.join(words.withColumnsRenamed({"row": "a", "words": "x"}), "a").join(words.withColumnsRenamed({"row": "b", "words": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +217,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = same_id.join(number, "digest").select("a", F.col("least").alias("digest")).join(number.withColumnRenamed("a", "b"), "digest").select("a", "b")
 
     keys = reps.select(F.explode("bands").alias("key"), "row", "n")
-    hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct("row", "n")).alias("hub")).where("_size > 1").drop("_size")
-    buckets = materialize(keys.join(hubs, "key").select("key", "row", "n", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(keys.join(sizes, "key"), "shared")
+    met = shared.groupBy("row").agg(F.sum("size").alias("_met"))
+    hubs = shared.join(met, "row").groupBy("key").agg(F.max(F.struct("_met", (-F.col("row")).alias("_neg"), "n")).alias("hub"))
+    buckets = materialize(shared.join(hubs, "key").select("key", "row", "n", (-F.col("hub._neg")).alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
 
     stars = buckets.where((F.col("row") != F.col("hub")) & similar_sizes("n", "hub_n")).groupBy("row", "hub").agg(F.count(F.lit(1)).alias("_shared"))
     stars = stars.groupBy("row").agg(F.max(F.struct("_shared", (-F.col("hub")).alias("_neg"))).alias("best"))

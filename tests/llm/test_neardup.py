@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from assayloom.llm import neardup, shingles
 from assayloom.session import materialize
@@ -50,7 +51,9 @@ def documents():
     return list(enumerate(rows))
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_components_equal_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", bound)
     rows = documents()
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as key", "3 as n")
     got = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
