@@ -104,11 +104,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame
 
 def bind_columns(a: DataFrame, order_a: list[str], b: DataFrame, order_b: list[str]) -> DataFrame:
     """Columns of two lists of one length side by side, the rows of each by its own order; raises if lengths differ."""
-    both = numbered(a, order_a, "_row").join(numbered(b, order_b, "_row_b").withColumnRenamed("_row_b", "_row").withColumn("_there", F.lit(True)), "_row", "full")
-    uneven = F.col("_there").isNull() | F.col(order_a[0]).isNull() if order_a else F.col("_there").isNull()
-    first = a.columns[0]
+    left, right = numbered(a, order_a, "_row").withColumn("_here", F.lit(True)), numbered(b, order_b, "_row").withColumn("_there", F.lit(True))
+    both, first = left.join(right, "_row", "full"), a.columns[0]
+    uneven = F.col("_there").isNull() | F.col("_here").isNull()
     checked = F.when(uneven, F.raise_error(F.lit("the tables differ in length")).cast(a.schema[first].dataType)).otherwise(F.col(first))
-    return both.withColumn(first, checked).drop("_row", "_there")
+    return both.withColumn(first, checked).drop("_row", "_here", "_there")
 
 
 def split_apply(df: DataFrame, key: str, call: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
