@@ -47,7 +47,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+def bound_batches(spark: SparkSession, size: int = 1 << 20) -> None:
     """For queries over whole texts: Arrow batches of at most about so many bytes, if the session allows larger ones. The
     operators leave the session's settings alone."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
