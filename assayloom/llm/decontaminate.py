@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm.shingles import mix, piece_hashes
-from assayloom.llm.worker import held, map_arrow, parts, record
+from assayloom.llm.worker import map_arrow, parts, record
 from assayloom.session import materialize
 
 WINDOW = 8
@@ -46,7 +46,7 @@ LONG, LEAST_WINDOW = 26, 3
 LEAST_CONSISTENT = 0.8
 #: Bits of the filter of window hashes, as a power of two.
 FILTER_BITS = 25
-#: Words that a worker remembers: such as aren't read in arrays.
+#: Words that a task remembers: such as aren't read in arrays.
 MEMO = 200_000
 BITS = 20
 #: Words of a text handled at a time; parts overlap by the longest item.
@@ -444,7 +444,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     (words that a leak covers), size (words of the item)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = held("lexicon", Lexicon)
+        lexicon = Lexicon()
         for part in parts(batches, 200):
             out: list[tuple] = []
             for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -492,7 +492,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = rows.select("doc_id", digest_expr("_text").alias("doc"), "_text")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = held("lexicon", Lexicon)
+        lexicon = Lexicon()
         for part in parts(batches, 1000):
             for doc, found in wanted.windows((t.split() for t in part.column(1).to_pylist()), lexicon):
                 yield record(doc=part.column(0).take(pa.array(doc)), hash=pa.array(found.view(np.int64)))
@@ -505,7 +505,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found = rows.select("doc", "_text").join(pairs.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).join(lists, "doc")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = held("lexicon", Lexicon)
+        lexicon = Lexicon()
         for part in parts(batches, 100):
             asked = {i["item"]: i["text"] for row in part.column(2).to_pylist() for i in row}
             index = Index(sorted(asked.items()), lexicon)

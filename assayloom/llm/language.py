@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.worker import held, map_arrow, parts
+from assayloom.llm.worker import map_arrow, parts
 
 #: At most about so many labelled documents are fitted, in all languages together, with so many bytes of text.
 TRAIN_DOCS = 4000
@@ -77,8 +76,6 @@ class Model:
     words: dict[str, int] = field(default_factory=dict)
     grams: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    #: Tells models apart in a worker.
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -215,7 +212,7 @@ def predict(rows: DataFrame, model: Model, own: bool = False, names: tuple[str,
     schema = plain.drop("c0").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(("language", model.name), lambda: Scorer(model))
+        scorer = Scorer(model)  # of this task: quickly made, and nothing stays in the worker
         for part in parts(batches, 1000):
             found = [scorer.score(t) for t in part.column(text - 1 if own else 0).to_pylist()]
             columns = part.columns if own else part.columns[1:]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from assayloom.llm.tokens import encoder
-from assayloom.llm.worker import map_arrow, parts, record
+from assayloom.llm.worker import map_arrow, parts, record, release
 from assayloom.session import materialize
 
 SEQUENCE = 2048
@@ -108,7 +108,7 @@ def pack_pieces(pieces: DataFrame, limits: tuple[int, int, int] = (SEQUENCE, 256
     return packed.unionByName(full)
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """Encode every whole text (null: empty), append id 1 and cut it into pieces of ``size`` ids and a rest.
 
     Returns per piece: doc_id, start, length, ids_crc32 (unsigned, little-endian unsigned 32-bit ids), doc_tokens. A
@@ -128,18 +128,21 @@ def cut_documents(docs: DataFrame, tokenizer: str, style: str, size: int = SEQUE
                     out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n))
             docs_, starts, lengths, crcs, sizes = (list(x) for x in zip(*out, strict=True))
             yield record(doc_id=(docs_, "int64"), start=(starts, "int64"), length=(lengths, "int64"), ids_crc32=(crcs, "int64"), doc_tokens=(sizes, "int64"))
+        if not keep:
+            release()
 
     return map_arrow(rows, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, style: str, limits: tuple[int, int, int] = (SEQUENCE, 256, SEQUENCE - 1), id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, style: str, limits: tuple[int, int, int] = (SEQUENCE, 256, SEQUENCE - 1), id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """Cut whole documents and pack the pieces. A piece's first token follows nothing that it could be foretold from, so
     all but that one bear loss: a sequence of many short pieces bears less than one of few, and the three limits differ.
 
     Returns the columns of ``cut_documents``, n_loss, sequence_id and offset. Null and empty texts give one piece, the
-    end id; repeated rows are packed each. Texts are encoded once; a worker remembers about ``remembered`` pieces of text.
+    end id; repeated rows are packed each. Texts are encoded once; a worker
+    remembers about ``remembered`` pieces of text, from task to task if ``keep``.
     """
-    pieces = cut_documents(docs, tokenizer, style, limits[0], id_col, text_col, remembered).withColumn("n_loss", F.col("length") - 1)
+    pieces = cut_documents(docs, tokenizer, style, limits[0], id_col, text_col, remembered, keep).withColumn("n_loss", F.col("length") - 1)
     return pack_pieces(pieces, limits, loss="n_loss")
 
 
