@@ -20,7 +20,7 @@ from assayloom.session import bound_batches, materialize, table
 LEAST_LANGUAGE_SCORE, LEAST_WORDS = 0.5, 4
 #: Keys of dropped rows that are broadcast; more are shuffled.
 BROADCAST_KEYS = 1_000_000
-#: Pieces of text that a packing worker remembers: fewer than where it runs alone.
+#: Pieces of text that a packing task remembers: fewer than where packing runs alone, and only while the task lasts.
 REMEMBERED = 300_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -103,7 +103,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 2048 tokens; a null or empty text is the end id alone."""
-    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"), "space", remembered=REMEMBERED)
+    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"), "space", remembered=REMEMBERED, keep=False)
 
 
 STAGES = [
