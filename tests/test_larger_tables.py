@@ -20,3 +20,18 @@ def test_frames_turn_by_exact_tenths(spark):
     for k in range(1, 40):
         x, y = k * 37 % 100 / 10, k * 53 % 90 / 10
         assert got[3, k] == x * math.cos(0.9) - y * math.sin(0.9) + 3
+
+
+def test_reads_across_an_empty_flank(spark):
+    """Left of a region at place 1 lies the empty stretch [1, 0]; the SQL counts a read from 0 on there."""
+    regions = spark.createDataFrame([(1, "c", 1, 50), (2, "c", 100, 120)], "key int, chrom string, start long, end long")
+    reads = spark.createDataFrame([("c", 0, 5, "n"), ("c", 1, 5, "n"), ("c", 51, 60, "n"), ("c", 0, 5, "t")], "chrom string, start long, end long, sample string")
+    got = {r.key: (r.body, r.left, r.right) for r in intervals.flank_coverage(regions, reads, "key", 20, width=10).collect()}
+    assert got == {1: (3, 2, 1), 2: (0, 0, 0)}
+    groups = spark.createDataFrame([("n", "n"), ("t", "t")], "sample string, group string")
+    row = intervals.region_matrix(regions, reads, "key", "sample", groups, "n", ["n", "t"], 20, width=10).first()
+    assert (row.key, row.n, row.t, row.t_diff) == (1, 1.0, 1.0, 0.0)
+    ends = spark.createDataFrame([("c", 100, 99)], "chrom string, start long, end long")  # empty, at the edge of two bins
+    over = spark.createDataFrame([("c", 90, 100), ("c", 100, 110), ("c", 90, 99)], "chrom string, start long, end long")
+    assert [r.start_b for r in intervals.overlap_join(ends, over, 100, 0).collect()] == [90]
+    assert intervals.overlap_join(over, over, 100, 0).count() == 7  # neighbours without a common place are no pairs
