@@ -35,3 +35,27 @@ def test_reads_across_an_empty_flank(spark):
     over = spark.createDataFrame([("c", 90, 100), ("c", 100, 110), ("c", 90, 99)], "chrom string, start long, end long")
     assert [r.start_b for r in intervals.overlap_join(ends, over, 100, 0).collect()] == [90]
     assert intervals.overlap_join(over, over, 100, 0).count() == 7  # neighbours without a common place are no pairs
+
+
+def test_merging_equal_ranges_read_in_any_order(spark, monkeypatch):
+    """The first of equal ranges opens an island, whatever order they come back from the folder in."""
+    write = intervals.materialize
+    monkeypatch.setattr(intervals, "materialize", lambda df, name: write(df.repartition(1).sortWithinPartitions("_new"), name))
+    rows = [("c", 10 * i, 10 * i + 4) for i in range(50) for _ in range(3)]
+    got = intervals.reduce_ranges(spark.createDataFrame(rows, "chrom string, start long, end long"), ["chrom"]).collect()
+    assert sorted((r.start, r.end, r.n_merged) for r in got) == [(10 * i, 10 * i + 4, 3) for i in range(50)]
+
+
+def test_kendall_of_a_large_group(spark):
+    """A group of 40,000 rows has 8e8 pairs, which the old join formed; ties, nulls and small groups as by pairs."""
+    big = spark.range(40_000).selectExpr("'big' g", "id k", "id % 1000 x", "CAST(-(id % 1000) AS DOUBLE) y")
+    rng = random.Random(3)
+    rows = [(g, k, rng.choice([None, *range(6)]), float(rng.randrange(5))) for g in ("p", None) for k in range(37)] + [("one", 1, 1, 1.0)]
+    small = spark.createDataFrame(rows, "g string, k long, x long, y double")
+    got = {r.g: r.tau for r in stats.kendall(small.unionByName(big), ["g"], "k", "x", "y").collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    for g in ("p", None):
+        v = [(x, y) for h, _, x, y in rows if h == g and x is not None]
+        s = [sign((a[0] - b[0]) * (a[1] - b[1])) for a, b in itertools.combinations(v, 2)]
+        assert got[g] == pytest.approx(sum(s) / len(s), abs=1e-12)
+    assert set(got) == {"p", None, "big"} and got["big"] == pytest.approx(-(40 * 40 * 1000 * 999 / 2) / (40_000 * 39_999 / 2))
