@@ -67,3 +67,10 @@ def test_gsea_of_a_long_ranking(spark):
     sets = spark.range(1, 13).selectExpr("'top' gs_id", "concat('g', id) gene").unionByName(spark.range(600).selectExpr("'wide' gs_id", "concat('g', id) gene"))
     row = expression.enrich_gsea(ranked, sets, 5).collect()
     assert [(r.gs_id, r.set_size, r.leading) for r in row] == [("top", 12, "/".join(f"g{i}" for i in range(1, 13)))]
+
+
+def test_nearest_points_without_a_join_back(spark):
+    """Ranges of one key each keep their own row: they carry their columns through both windows."""
+    a = spark.createDataFrame([("k", "c", 1, 5), ("k", "c", 50, 60)], "key string, chrom string, start long, end long")
+    points = spark.createDataFrame([("c", 7, "g", "+"), ("c", 45, "h", "-")], "chrom string, tss long, gene string, strand string")
+    assert sorted((r.start, r.gene, r.distance) for r in intervals.nearest(a, points, "key").collect()) == [(1, "g", -2), (50, "h", -5)]
