@@ -97,9 +97,15 @@ def test_similar_terms_write_no_candidates(spark, monkeypatch):
     sets = {f"t{k}": rng.sample(range(3000), 300) for k in range(160)}
     for k in range(0, 40, 2):
         sets[f"t{k + 1}"] = sets[f"t{k}"][:200] + sets[f"t{k + 1}"][:100]
-    monkeypatch.setattr(expression, "BLOCK_GENES", 10_000)
-    had = disk_bytes(spark)
-    got = {(r.a, r.b): r.jaccard for r in expression.term_similarity(spark.createDataFrame([(t, g) for t, x in sets.items() for g in x], "gs_id string, gene long"), 0.2).collect()}
+    monkeypatch.setattr(expression, "BLOCK_GENES", 10_000, raising=False)
+    key, had = "spark.sql.autoBroadcastJoinThreshold", disk_bytes(spark)
+    monkeypatch.setattr(expression, "MANY_FILES", 8, raising=False)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as for tables too large to be sent
+    try:
+        got = {(r.a, r.b): r.jaccard for r in expression.term_similarity(spark.createDataFrame([(t, g) for t, x in sets.items() for g in x], "gs_id string, gene long"), 0.2).collect()}
+    finally:
+        spark.conf.set(key, before)
     assert disk_bytes(spark) - had < 5_000_000
     want = {(a, b): len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a in sets for b in sets if a < b}
     assert got == {k: v for k, v in want.items() if v >= 0.2} and len(got) >= 20
@@ -147,3 +153,10 @@ def test_greedy_scan_of_dense_strings(spark, monkeypatch):
     assert all(other is None and n <= 480 for n, other in joined) and joined[0][0] == 60
     monkeypatch.setattr(design, "MOST_KEYS", 10, raising=False)  # many chosen strings are joined
     assert [r.barcode for r in design.prune(df, 3).orderBy("rank").collect()] == kept and any(other is not None for _, other in joined)
+
+
+def test_similarity_of_just_the_bound(spark):
+    """7 of 100 genes are 0.07, though 100 * 0.07 exceeds 7 in its last bits; the shared genes are the commonest."""
+    rows = [("a", k) for k in range(100)] + [("b", k) for k in range(93, 100)]
+    got = expression.term_similarity(spark.createDataFrame(rows, "gs_id string, gene long"), 0.07).collect()
+    assert [(r.a, r.b, r.jaccard) for r in got] == [("a", "b", 0.07)]
