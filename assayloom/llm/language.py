@@ -182,8 +182,8 @@ def training_sample(docs: DataFrame, bound: int, id_col: str, text_col: str, lan
     few = labelled.join(F.broadcast(counts), "_lang").withColumn("_place", place).where(F.col("_place") < 1.2 * each / F.col("_n"))
     first = Window.partitionBy("_lang").orderBy("_place", "_text")
     few = few.withColumn("_k", F.row_number().over(first)).withColumn("_bytes", F.sum(F.octet_length("_text")).over(first.rowsBetween(Window.unboundedPreceding, 0)))
-    found = few.where((F.col("_k") <= each) & ((F.col("_bytes") <= size // langs) | (F.col("_k") == 1))).select("_text", "_lang").collect()
-    return [r[0] for r in found], [r[1] for r in found]
+    found = few.where((F.col("_k") <= each) & ((F.col("_bytes") <= size // langs) | (F.col("_k") == 1))).select("_text", "_lang").toArrow()
+    return found.column("_text").to_pylist(), found.column("_lang").to_pylist()
 
 
 def held_out_expr(id_col: str = "doc_id"):

@@ -16,9 +16,10 @@
    of a bucket look for partners of each size class only as far as that class allows. So no colliding pair that could
    be a link goes unexamined, while a large group of loose copies doesn't give all its pairs.
 6. Links are confirmed on the full sets, as words, not as hashes: 100 * intersection >= 75 * union. Components by repeated
-   least-neighbour stars.
+   least-neighbour stars, down to a bounded number of edges.
 
-Nothing grows in the driver: rows, links and components stay in tables, cut from their lineage in the shared folder.
+Nothing grows in the driver: rows, links and components stay in tables, cut from their lineage in the shared folder, and
+the driver joins up at most ``MOST_EDGES`` edges. That saves most of the jobs, whose plans and tasks fill its memory.
 Numbers of rows whose texts are wanted again are broadcast only up to
 ``BROADCAST_ROWS`` of them (counted), and shuffled beyond that; other joins leave it to Spark.
 """
@@ -44,6 +45,8 @@ PERCENT = 75
 BANDS, ROWS = 48, 5
 #: Row numbers that are broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Edges that the driver joins up itself, in a few arrays; a larger graph goes through rounds of stars until so many are left.
+MOST_EDGES = 200_000
 
 
 @lru_cache(1)
@@ -169,13 +172,40 @@ def confirm(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and the least node that each reaches: the ends of each edge point to the lesser of their
+    labels, and pointers are followed to their ends, until nothing moves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        new, least = label.copy(), np.minimum(label[x], label[y])
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        while not np.array_equal(ends := new[new], new):
+            new = ends
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def joined(edges: DataFrame, u: str, v: str) -> DataFrame:
+    """node, label of a written table of few edges, joined up in the driver."""
+    found = edges.select(F.col(u).cast("long"), F.col(v).cast("long")).toArrow()
+    nodes, labels = least_reachable(*(c.to_numpy() for c in found.columns))
+    return materialize(edges.sparkSession.createDataFrame(pa.table({"node": nodes, "label": labels})), "labels")
+
+
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
-    """node, label (least node reachable), for every node of an edge; alternating large and small stars.
+    """A table of node, label (least node reachable), for every node of an edge (a written table, of longs). More than ``MOST_EDGES``
+    go through alternating large and small stars first.
 
     A node's least neighbour is a partial aggregate and comes back by a join that can be split, so a node with very many
     neighbours doesn't land in one task. Every round is written to the shared folder.
     """
-    edges = materialize(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "edges")
+    edges = edges.where(F.col(u) != F.col(v))
+    if edges.count() <= MOST_EDGES:
+        return joined(edges, u, v)
+    edges = materialize(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -186,8 +216,11 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         edges = materialize(small.where("u <> v").distinct(), "edges")
         # Done when every node has one edge and no node stands on both sides: then all are stars around the least.
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state.n <= MOST_EDGES:
+            return joined(edges, "u", "v")
         if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+            ends = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+            return materialize(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(ends), "labels")
         seen = state
 
 
@@ -236,7 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialize(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
 
-    labels = materialize(components(links.unionByName(confirm(rows, pairs))), "labels")
+    more = materialize(confirm(rows, pairs), "more-links")
+    labels = components(links.unionByName(more))
     # Written first, so that the join below is between two shuffles and a digest of very many copies can be split.
     of = labelled(reps.select("digest", "row", "id"), labels)
     least = of.groupBy("label").agg(F.min("id").alias("_component"))

@@ -122,3 +122,32 @@ def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200), (300, 200), (5, 5)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(chain).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[100] == got[200] == got[300] == 100
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 40, 0])
+def test_components_of_random_graphs(spark, monkeypatch, bound):
+    """Alike, whether the driver joins up all edges, those left after some rounds, or none."""
+    monkeypatch.setattr(neardup, "MOST_EDGES", bound)
+    rng = random.Random(bound)
+    edges = [(rng.randrange(-90, 90) * 2**40 + 1, rng.randrange(-90, 90) * 2**40 + 1) for _ in range(75)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = neardup.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(label.items())
+    assert neardup.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def test_few_links_take_few_jobs(spark):
+    """Rounds of stars over a few links were most of the jobs, whose tasks and plans fill the driver's memory."""
+    tracker, group = spark.sparkContext.statusTracker(), "few-links"
+    docs = materialize(spark.createDataFrame(documents(), "doc_id long, text string"), "documents")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        neardup.near_duplicates(docs).write.format("noop").mode("overwrite").save()
+        jobs = len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 80
